@@ -30,6 +30,7 @@ from spanlens.llm.storage import materialize
 
 _LEAF_PRODUCT = 64
 _CHUNK = 1 << 19
+LEAST_BITS = 3
 
 
 def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
@@ -218,9 +219,8 @@ def links(classes: DataFrame, budget: int = 4) -> DataFrame:
     spark = classes.sparkSession
     n = classes.count()
     target = max(1 << 15, min(1 << 17, 64 * math.isqrt(n)))
-    bits = min(16, max(0, math.ceil(math.log2(max(1, n / target)))))
-    prefix = F.shiftrightunsigned("fp", 64 - bits).cast("int") if bits else F.lit(0)
-    tagged = classes.select("fp", prefix.alias("block"))
+    bits = min(16, max(LEAST_BITS, math.ceil(math.log2(max(1, n / target)))))
+    tagged = classes.select("fp", F.shiftrightunsigned("fp", 64 - bits).cast("int").alias("block"))
     counts = {r["block"]: r["count"] for r in tagged.groupBy("block").count().collect()}
     rows, tasks = _block_plan(counts, bits, budget, target)
     if not rows:
@@ -231,13 +231,16 @@ def links(classes: DataFrame, budget: int = 4) -> DataFrame:
     cut = tagged.join(F.broadcast(sizes), "block").select(
         "fp", "block", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int").alias("part")
     )
-    dealt = cut.join(F.broadcast(plan.drop("parts")), ["block", "part"]).select("task", "side", "fp")
+    # a part is one row of about ``target`` values, so what is sent to several tasks is few rows
+    packed = cut.groupBy("block", "part").agg(F.collect_list("fp").alias("fps"))
+    dealt = packed.join(F.broadcast(plan.drop("parts")), ["block", "part"]).select("task", "side", "fps")
+    dealt = dealt.repartition(min(tasks, 10_000), "task")
 
     def join(table: pa.Table) -> pa.Table:
-        side = table.column("side").to_numpy()
-        fp = table.column("fp").to_numpy().view(np.uint64)
-        left, right = np.sort(fp[side == 0]), np.sort(fp[side == 1])
-        a, b = TrieJoin(left, right if (side == 1).any() else None, budget).run()
+        side = table.column("side").to_pylist()
+        values = [v.values.to_numpy(zero_copy_only=False).view(np.uint64) for v in table.column("fps")]
+        part = {s: np.sort(v) for s, v in zip(side, values)}
+        a, b = TrieJoin(part[0], part.get(1), budget).run()
         return pa.table({"u": a.view(np.int64), "v": b.view(np.int64)}, schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
 
     return dealt.groupBy("task").applyInArrow(join, "u long, v long")
