@@ -18,6 +18,7 @@ import math
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,7 +34,7 @@ from spanlens.llm.storage import open_store, publish
 MAGIC = b"TOKREC01"
 SHARD_BYTES = 32 << 20
 MOST_SHARDS = 100_000
-CACHE_UNITS = 400_000
+CACHE_UNITS = 600_000
 READ_PIECE = 8 << 20
 
 
@@ -68,6 +69,7 @@ class Encoder:
         self.tokenizer.no_padding()
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.type = np.dtype("<u2" if max(size - 1, end_id) < 1 << 16 else "<u4")
+        self.code = "H" if self.type.itemsize == 2 else "I"
         self.end = np.array([end_id], self.type).tobytes()
         state = json.loads(self.tokenizer.to_str())
         pre = state.get("pre_tokenizer") or {}
@@ -86,18 +88,23 @@ class Encoder:
         return np.array(ids, self.type).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        shown = piece.encode().decode("latin-1").translate(self.letters)
-        found = self._pack([t.id for t in self.tokenizer.model.tokenize(shown)])
+        if piece.isascii() and piece.isprintable():  # each byte stands for itself, but for the space
+            shown = piece.replace(" ", self.letters[32])
+        else:
+            shown = piece.encode().decode("latin-1").translate(self.letters)
+        found = array(self.code, [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
         if len(self.pieces) >= CACHE_UNITS:
             self.pieces.clear()
         self.pieces[piece] = found
         return found
 
     def _learn(self, units: set[str]) -> None:
-        odd, known = [], self.pieces.get
+        odd, known, learnt = [], self.pieces.get, self.units
         for unit in units:
-            if self.PLAIN.match(unit):
-                self.units[unit] = b"".join([known(p) or self._piece(p) for p in self.PATTERN.findall(unit)])
+            if unit.isascii() and unit[1:].isalpha() and (unit[0] == " " or unit[0].isalpha()):
+                learnt[unit] = known(unit) or self._piece(unit)  # a word is one piece
+            elif self.PLAIN.match(unit):
+                learnt[unit] = b"".join([known(p) or self._piece(p) for p in self.PATTERN.findall(unit)])
             else:
                 odd.append(unit)
         for unit, found in zip(odd, self.tokenizer.encode_batch(odd, add_special_tokens=False)):
