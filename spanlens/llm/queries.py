@@ -38,6 +38,12 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), rules_frame(spark, [Rule(*r) for r in URL_RULES]))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanlens.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanlens.llm.storage import new_folder
     from spanlens.llm.token_output import tokenize
@@ -62,6 +68,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_url_filter": op2_url_filter,
+    "op3_mixing": op3_mixing,
     "op5_token_output": op5_token_output,
     "op10_decontaminate": op10_decontaminate,
 }
