@@ -51,6 +51,13 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize(table(spark, sf_dir, "documents"), new_folder(spark, "tokens"), tokenizer_path())
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanlens.llm.quality import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanlens.llm.decontam import contamination
 
@@ -70,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_mixing": op3_mixing,
     "op5_token_output": op5_token_output,
+    "op8_quality": op8_quality,
     "op10_decontaminate": op10_decontaminate,
 }
 
