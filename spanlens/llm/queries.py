@@ -51,6 +51,15 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize(table(spark, sf_dir, "documents"), new_folder(spark, "tokens"), tokenizer_path())
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanlens.llm.storage import new_folder
+    from spanlens.llm.warc import archive
+
+    records = archive(table(spark, sf_dir, "pages"), new_folder(spark, "warc"))
+    found = records.where(F.col("record_type").isin("response", "revisit"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanlens.llm.quality import score, train
 
@@ -77,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_mixing": op3_mixing,
     "op5_token_output": op5_token_output,
+    "op6_warc": op6_warc,
     "op8_quality": op8_quality,
     "op10_decontaminate": op10_decontaminate,
 }
@@ -94,6 +104,17 @@ fits AS (
 SELECT page_id, host, path, rule, coalesce(act, 'allow') AS verdict FROM fits WHERE k = 1
 """
 
+_OP6_SQL = """
+WITH p AS (SELECT row_number() OVER () AS n, page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT n, page_id, octet_length(b) AS payload_bytes, sha1(b) AS hex, min(page_id) OVER (PARTITION BY b) AS first_id FROM p),
+q AS (SELECT n, i, CAST('0x' || substr(hex, CAST(5 * i + 1 AS INTEGER), 5) AS INTEGER) AS v FROM d, range(8) AS r(i)),
+l AS (SELECT n, 4 * i + k AS at, substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> CAST(15 - 5 * k AS INTEGER)) & 31) + 1, 1) AS c FROM q, range(4) AS r(k)),
+b AS (SELECT n, string_agg(c, '' ORDER BY at) AS payload_digest FROM l GROUP BY n)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM d JOIN b USING (n)
+"""
+
 _OP10_SQL = """
 WITH words AS (
   SELECT 0 AS is_item, row_number() OVER () AS n, doc_id AS id,
@@ -120,5 +141,6 @@ FROM words d LEFT JOIN hit_words USING (n) LEFT JOIN hit_items USING (n) WHERE d
 
 ORACLE_SQL: dict[str, str] = {
     "op2_url_filter": _OP2_SQL,
+    "op6_warc": _OP6_SQL,
     "op10_decontaminate": _OP10_SQL,
 }
