@@ -108,8 +108,8 @@ _OP6_SQL = """
 WITH p AS (SELECT row_number() OVER () AS n, page_id, encode(coalesce(html, '')) AS b FROM pages),
 d AS (SELECT n, page_id, octet_length(b) AS payload_bytes, sha1(b) AS hex, min(page_id) OVER (PARTITION BY b) AS first_id FROM p),
 q AS (SELECT n, i, CAST('0x' || substr(hex, CAST(5 * i + 1 AS INTEGER), 5) AS INTEGER) AS v FROM d, range(8) AS r(i)),
-l AS (SELECT n, 4 * i + k AS at, substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> CAST(15 - 5 * k AS INTEGER)) & 31) + 1, 1) AS c FROM q, range(4) AS r(k)),
-b AS (SELECT n, string_agg(c, '' ORDER BY at) AS payload_digest FROM l GROUP BY n)
+l AS (SELECT n, 4 * i + k AS place, substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> CAST(15 - 5 * k AS INTEGER)) & 31) + 1, 1) AS c FROM q, range(4) AS r(k)),
+b AS (SELECT n, string_agg(c, '' ORDER BY place) AS payload_digest FROM l GROUP BY n)
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
   CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to
 FROM d JOIN b USING (n)

@@ -34,7 +34,7 @@ from spanlens.llm.storage import open_store, publish
 MAGIC = b"TOKREC01"
 SHARD_BYTES = 32 << 20
 MOST_SHARDS = 100_000
-CACHE_UNITS = 600_000
+CACHE_UNITS = 1_000_000
 READ_PIECE = 8 << 20
 
 
@@ -57,7 +57,6 @@ class Encoder:
     #: The splitting pattern and the bytes that stand for themselves in byte-level BPE.
     PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
     PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*\Z")
-    BLANK_SPACE = re.compile(r"\s ")
     CUT = re.compile(r"(?<=\S)(?= )")
 
     def __init__(self, path: str, end_id: int):
@@ -87,50 +86,65 @@ class Encoder:
     def _pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.type).tobytes()
 
-    def _piece(self, piece: str) -> bytes:
+    def _bpe(self, piece: str) -> bytes:
         if piece.isascii() and piece.isprintable():  # each byte stands for itself, but for the space
             shown = piece.replace(" ", self.letters[32])
         else:
             shown = piece.encode().decode("latin-1").translate(self.letters)
-        found = array(self.code, [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
-        if len(self.pieces) >= CACHE_UNITS:
-            self.pieces.clear()
-        self.pieces[piece] = found
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.units.get(piece[1:]) if piece[0] == " " else self.pieces.get(piece)
+        if found is None:
+            found = self._bpe(piece)
+            if piece[0] != " ":
+                if len(self.pieces) >= CACHE_UNITS:
+                    self.pieces.clear()
+                self.pieces[piece] = found
         return found
 
-    def _learn(self, units: set[str]) -> None:
-        odd, known, learnt = [], self.pieces.get, self.units
-        for unit in units:
-            if unit.isascii() and unit[1:].isalpha() and (unit[0] == " " or unit[0].isalpha()):
-                learnt[unit] = known(unit) or self._piece(unit)  # a word is one piece
-            elif self.PLAIN.match(unit):
-                learnt[unit] = b"".join([known(p) or self._piece(p) for p in self.PATTERN.findall(unit)])
+    def _learn(self, words: set[str]) -> None:
+        """Ids of units that are a space and a word, by word."""
+        odd, learnt = [], self.units
+        if len(learnt) + len(words) > CACHE_UNITS:
+            learnt.clear()
+        for word in words:
+            if word.isascii() and word.isalpha():
+                learnt[word] = self._bpe(" " + word)  # such a unit is one piece
+            elif self.PLAIN.match(word):
+                learnt[word] = b"".join(map(self._piece, self.PATTERN.findall(" " + word)))
             else:
-                odd.append(unit)
-        for unit, found in zip(odd, self.tokenizer.encode_batch(odd, add_special_tokens=False)):
-            self.units[unit] = self._pack(found.ids)
-
-    def _split(self, text: str) -> list[str]:
-        if self.BLANK_SPACE.search(text):
-            return self.CUT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + piece for piece in rest]]
+                odd.append(word)
+        for word, found in zip(odd, self._whole([" " + w for w in odd])):
+            learnt[word] = found
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [self._pack(found.ids) for found in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> bytes | None:
+        """Ids of a run of units; None if a word that is not known ends in white space or is empty."""
+        known = self.units.get
+        found = list(map(known, words))
+        if None in found:
+            new = {w for w, f in zip(words, found) if f is None}
+            if any(not w or w[-1].isspace() for w in new):
+                return None
+            self._learn(new)
+            found = [known(w) if f is None else f for w, f in zip(words, found)]
+        return b"".join(found)
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Packed ids of each text, with the end id."""
-        if not self.by_unit:
-            for found in self.tokenizer.encode_batch(texts, add_special_tokens=False):
-                yield self._pack(found.ids) + self.end
-            return
         for text in texts:
-            units = self._split(text)
-            new = set(units).difference(self.units)
-            if new:
-                if len(self.units) + len(new) > CACHE_UNITS:
-                    self.units.clear()
-                    new = set(units)
-                self._learn(new)
-            yield b"".join(map(self.units.__getitem__, units)) + self.end
+            if not self.by_unit:
+                yield self._whole([text])[0] + self.end
+                continue
+            first, *words = text.split(" ")
+            rest = self._words(words)
+            if rest is None:  # a space after white space: cut only where a space follows something else
+                first, *units = self.CUT.split(text)
+                rest = b"".join(self._whole(units))
+            yield b"".join((self._whole([first])[0], rest, self.end))
 
 
 @lru_cache(maxsize=2)
