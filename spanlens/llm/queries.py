@@ -67,6 +67,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanlens.llm.embedding_dedup import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanlens.llm.decontam import contamination
 
@@ -88,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_output": op5_token_output,
     "op6_warc": op6_warc,
     "op8_quality": op8_quality,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
 
