@@ -44,6 +44,25 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanlens.llm.license_scan import scan_licenses
+
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    starts = F.col("base.start")
+    base = F.array_distinct(F.col("base.label"))
+    both = F.array_distinct(F.concat(F.col("base.label"), F.col("spans.label")))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        F.array_join(F.array_sort(base), ",").alias("base_labels"),
+        F.array_join(F.array_sort(both), ",").alias("labels"),
+        "score",
+    )
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanlens.llm.storage import new_folder
     from spanlens.llm.token_output import tokenize
@@ -60,6 +79,12 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanlens.llm.lm_score import score_against_labelled
+
+    return score_against_labelled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanlens.llm.quality import score, train
 
@@ -91,8 +116,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_url_filter": op2_url_filter,
     "op3_mixing": op3_mixing,
+    "op4_license_scan": op4_license_scan,
     "op5_token_output": op5_token_output,
     "op6_warc": op6_warc,
+    "op7_lm_score": op7_lm_score,
     "op8_quality": op8_quality,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_decontaminate": op10_decontaminate,
