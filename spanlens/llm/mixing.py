@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spanlens.llm.rowmarks import FILE, ROW, apply_decisions, placed
 from spanlens.llm.storage import materialize
 from spanlens.llm.textbytes import utf8
 
@@ -30,15 +31,16 @@ _EDGE = 1e-9
 
 
 def sizes(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
-    """``(doc_id, source, size)``: words of each whole text, 0 for a null text."""
+    """``(doc_id, source, size)`` and the row's place (0 where ``docs`` has none): words of each whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = [len(t.split()) for t in utf8(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["doc_id", "source", "size"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64()), *batch.columns[3:]], names=["doc_id", "source", "size", FILE, ROW])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, source string, size long")
+    place = [F.col(c) if c in docs.columns else F.lit(0).cast("long").alias(c) for c in (FILE, ROW)]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"), *place)
+    return rows.mapInArrow(run, f"doc_id long, source string, size long, {FILE} long, {ROW} long")
 
 
 def targets(measured: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -125,7 +127,7 @@ def landing(size: list[int], x: list[float], held: list[int], words: float, docs
 
 def _walk(land: bool, seed: int):
     def run(table: pa.Table) -> pa.Table:
-        order = table.sort_by([("mix", "ascending"), ("doc_id", "ascending"), ("size", "ascending"), ("x", "ascending")])
+        order = table.sort_by([("mix", "ascending"), ("doc_id", "ascending"), ("size", "ascending"), ("x", "ascending"), (FILE, "ascending"), (ROW, "ascending")])
         size, x = order.column("size").to_pylist(), order.column("x").to_pylist()
         name = f"{seed}|{order.column('source')[0].as_py()!r}|{order.column('block')[0].as_py()}"
         x, held = flight(size, x, Random(zlib.crc32(name.encode("utf-8", "surrogatepass"))))
@@ -149,7 +151,7 @@ def mix(
 ) -> DataFrame:
     """``(doc_id, source, size, source_size, target, copies, taken)``, a row for each row of ``docs``.
 
-    ``copies`` (0 to ``most``) is how often the document is taken and ``taken``
+    Rows of a `placed` table keep their place.  ``copies`` (0 to ``most``) is how often the document is taken and ``taken``
     its words times that.  Null sources are a source of their own; null and
     empty texts have size 0 and are taken like others, for 0 words; a source of
     such texts only has target 0 and no copies.  Repeated rows are drawn each.
@@ -172,8 +174,10 @@ def mix(
         (F.col("rate") - F.floor("rate")).alias("x"),
         key.alias("mix"),
         F.col("blocks"),
+        FILE,
+        ROW,
     )
-    schema = "doc_id long, source string, size long, source_size long, target double, base int, x double, mix long, blocks int, block int"
+    schema = f"doc_id long, source string, size long, source_size long, target double, base int, x double, mix long, blocks int, {FILE} long, {ROW} long, block int"
     largest = per.agg(F.max(counts)).first()[0] or 1
     done: list[DataFrame] = []
     while True:
@@ -193,7 +197,8 @@ def mix(
     for more in done[1:]:
         out = out.unionByName(more)
     copies = F.col("base") + F.col("x").cast("int")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    place = [FILE, ROW] if FILE in docs.columns else []
+    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"), *place)
 
 
 def _deal(key: Column, blocks: Column) -> Column:
@@ -201,30 +206,6 @@ def _deal(key: Column, blocks: Column) -> Column:
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, each as often as `mix` takes it, with all columns unchanged.
-
-    Where rows agree in id, source and size, their copies are dealt over them in
-    order of a hash of all columns.
-    """
-    drawn = mix(docs, id_col, source_col, text_col, **options)
-    total = materialize(
-        drawn.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies_all"), F.count("*").alias("rows_all")), "copies"
-    ).select(F.col("doc_id").alias("k1"), F.col("source").alias("k2"), F.col("size").alias("k3"), "copies_all", "rows_all")
-    columns = [docs[c] for c in docs.columns]
-    one_row_ids = total.groupBy("k1").agg(F.sum("rows_all").alias("n"), F.sum("copies_all").alias("c"))
-    single = one_row_ids.where("n = 1 AND c > 0 AND k1 IS NOT NULL")
-    rows = docs.join(single, docs[id_col].cast("long") == single.k1)
-    out = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("c")))).select(*columns)
-    shared = one_row_ids.where("n > 1 OR k1 IS NULL")
-    if shared.isEmpty():
-        return out
-    # rows that share an id: told apart by source, size and a hash of all columns
-    words = F.size(F.filter(F.split(F.coalesce(docs[text_col], F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    some = docs.join(shared.select("k1"), docs[id_col].cast("long").eqNullSafe(F.col("k1")), "left_semi").withColumn("__size", words.cast("long"))
-    some = some.join(
-        total, some[id_col].cast("long").eqNullSafe(total.k1) & some[source_col].cast("string").eqNullSafe(total.k2) & (F.col("__size") == total.k3)
-    )
-    window = Window.partitionBy("k1", "k2", "k3").orderBy(F.xxhash64(*docs.columns))
-    own = (F.floor(F.col("copies_all") / F.col("rows_all")) + (F.row_number().over(window) <= F.col("copies_all") % F.col("rows_all")).cast("int")).cast("int")
-    more = some.withColumn("__own", own).where("__own > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__own"))))
-    return out.unionByName(more.select(*[F.col(c) for c in docs.columns]))
+    """The rows of ``docs``, each as often as `mix` takes it, all columns unchanged; texts are not shuffled."""
+    rows = placed(docs)
+    return apply_decisions(rows, mix(rows, id_col, source_col, text_col, **options))

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanlens.llm.components import connected_components
+from spanlens.llm.rowmarks import FILE, ROW, apply_decisions, placed
 from spanlens.llm.storage import materialize
 
 _LEAF_PRODUCT = 64
@@ -53,17 +54,16 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(table)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """``(doc_id, fp long)``, a row for each row of ``docs``; ``fp`` holds the 64 bits."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, fp long)`` and long columns to carry, a row for each row; ``fp`` holds the 64 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *carry])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "doc_id long, fp long"
-    )
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carry)
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *carry)))
 
 
 def _merge(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -246,6 +246,18 @@ def links(classes: DataFrame, budget: int = 4) -> DataFrame:
     return dealt.groupBy("task").applyInArrow(join, "u long, v long")
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, budget: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, fp, root, component_id)`` and carried columns; ``root`` names the group."""
+    prints = materialize(fingerprints(docs, id_col, text_col, width, carry), "fingerprints")
+    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
+    roots = connected_components(links(classes.select("fp"), budget))
+    rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    by_class = rooted.join(least, "root").select(F.col("fp").alias("class_fp"), "root", "component_id")
+    by_class = materialize(by_class, "groups")
+    return prints.join(by_class, prints.fp == by_class.class_fp).drop("class_fp")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, budget: int = 4
 ) -> DataFrame:
@@ -258,33 +270,18 @@ def near_duplicates(
     Rows with a null id are kept; a group of such rows alone has a null
     component.  Other columns of ``docs`` are not read.
     """
-    prints = materialize(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
-    roots = connected_components(links(classes.select("fp"), budget))
-    rooted = classes.join(roots, classes.fp == roots.node, "left").select(
-        "fp", "first_id", F.coalesce("component", "fp").alias("root")
-    )
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_class = materialize(rooted.join(least, "root").select(F.col("fp").alias("class_fp"), "component_id"), "groups")
-    return prints.join(by_class, prints.fp == by_class.class_fp).select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    found = _grouped(docs, id_col, text_col, width, budget)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without all but the smallest id of every group of near-duplicates.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, budget: int = 4) -> DataFrame:
+    """One row of every group of near-duplicates, with all columns unchanged; texts are not shuffled.
 
-    Where rows repeat the id that stays, one of them stays, the one with the
-    smallest hash of all columns.  Rows with a null id cannot be told apart
-    and stay only where no other row of their group has an id.
+    The row with the smallest id stays, of rows that repeat it the first by
+    place; a row with a null id stays only where its group has no other.
     """
-    found = materialize(near_duplicates(docs, id_col, text_col), "near-duplicates")
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    counted = kept.groupBy("doc_id").agg(F.count("*").alias("n"))
-    ids = counted.select(F.col("doc_id").alias("kept_id"), "n")
-    stay = docs.join(ids, docs[id_col].cast("long").eqNullSafe(ids.kept_id))
-    if counted.where("n > 1").isEmpty():
-        return stay.select(*[docs[c] for c in docs.columns])
-    once = stay.where("n = 1").select(*[docs[c] for c in docs.columns])
-    again = stay.where("n > 1").select(*[docs[c] for c in docs.columns])
-    return once.unionByName(again.dropDuplicates([id_col]))
+    rows = placed(docs)
+    found = _grouped(rows, id_col, text_col, width, budget, carry=(FILE, ROW))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", FILE, ROW)).alias("first")
+    kept = found.groupBy("root").agg(first).select(f"first.{FILE}", f"first.{ROW}", F.lit(1).alias("copies"))
+    return apply_decisions(rows, kept)
