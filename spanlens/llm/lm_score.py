@@ -16,9 +16,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanlens.llm.rowmarks import FILE, ROW, Marks, placed, write_marks
 from spanlens.llm.storage import new_folder, open_store, publish
 from spanlens.llm.textbytes import utf8
 
@@ -58,36 +59,46 @@ def trigrams(now: np.ndarray, starts: np.ndarray, wide: int, end: int) -> np.nda
     return (second * wide + first) * wide + now
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+def _count(folder: str):
+    """Rows ``(text, file, row)`` to this task's counts; target rows are those with a mark."""
 
-    def fold() -> None:
-        codes, t, b = (np.concatenate(v) for v in zip(*held))
+    def fold(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        codes, target, all_rows = (np.concatenate(v) for v in zip(*held))
         names, at = np.unique(codes, return_inverse=True)
         sums = [np.zeros(len(names), np.int64) for _ in range(2)]
-        np.add.at(sums[0], at, t)
-        np.add.at(sums[1], at, b)
-        held[:] = [(names, *sums)]
+        np.add.at(sums[0], at, target)
+        np.add.at(sums[1], at, all_rows)
+        return names, *sums
 
-    for batch in batches:
-        texts, target = utf8(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
-        for lo, hi in _chunks(texts):
-            for flag in (False, True):
-                some = [t for t, f in zip(texts[lo:hi], target[lo:hi]) if f == flag]
-                if some:
-                    codes, n = np.unique(trigrams(*tokens(some), WIDE, END), return_counts=True)
-                    held.append((codes, n if flag else np.zeros_like(n), n))
-            if len(held) > 16:
-                fold()
-    if held:
-        fold()
-        yield pa.RecordBatch.from_arrays([pa.array(held[0][0], pa.int32()), pa.array(held[0][1], pa.int64()), pa.array(held[0][2], pa.int64())], names=["gram", "target", "background"])
-
-
-def gram_counts(docs: DataFrame, is_target: Column, text_col: str = "text") -> DataFrame:
-    """``(gram, target, background)`` over all rows of ``docs``; a null flag is false."""
-    rows = docs.select(F.col(text_col).alias("text"), F.coalesce(is_target, F.lit(False)).alias("is_target"))
-    partial = rows.mapInArrow(_count, "gram int, target long, background long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = Marks(folder)
+        held: list[tuple[np.ndarray, ...]] = []
+        for batch in batches:
+            texts, target = utf8(batch.column(0)), marks.copies(batch.column(1).to_numpy(), batch.column(2).to_numpy()) > 0
+            for lo, hi in _chunks(texts):
+                for flag in (False, True):
+                    some = [t for t, f in zip(texts[lo:hi], target[lo:hi]) if f == flag]
+                    if some:
+                        codes, n = np.unique(trigrams(*tokens(some), WIDE, END), return_counts=True)
+                        held.append((codes, n if flag else np.zeros_like(n), n))
+                if len(held) > 16:
+                    held = [fold(held)]
+        if held:
+            names, t, b = fold(held)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(t, pa.int64()), pa.array(b, pa.int64())], names=["gram", "target", "background"])
+
+    return run
+
+
+def gram_counts(rows: DataFrame, target_rows: DataFrame, text_col: str = "text") -> DataFrame:
+    """``(gram, target, background)`` over all rows of a `placed` table.
+
+    ``target_rows`` are the places ``(__file, __row)`` of the target's rows; the texts
+    themselves are never shuffled.
+    """
+    folder = new_folder(rows.sparkSession, "target")
+    write_marks(target_rows.select(FILE, ROW, F.lit(1).alias("copies")), folder)
+    partial = rows.select(F.col(text_col).alias("text"), FILE, ROW).mapInArrow(_count(folder), "gram int, target long, background long")
     return partial.groupBy("gram").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
 
 
@@ -153,16 +164,16 @@ def _load(path: str) -> Model:
     return Model.of(data["grams"], data["target"], data["background"])
 
 
-def train(docs: DataFrame, is_target: Column, text_col: str = "text") -> str:
+def train(rows: DataFrame, target_rows: DataFrame, text_col: str = "text") -> str:
     """Count both models over all rows; the path of the model file in the shared folder.
 
     The vocabulary bounds the counts at ``257 ** 3`` rows; real text has some ten thousand.
     """
-    table = gram_counts(docs, is_target, text_col).toArrow()
+    table = gram_counts(rows, target_rows, text_col).toArrow()
     buffer = io.BytesIO()
     columns = {"grams": table.column("gram"), "target": table.column("target"), "background": table.column("background")}
     np.savez(buffer, **{k: v.to_numpy() for k, v in columns.items()})
-    path = new_folder(docs.sparkSession, "model") + "/counts.npz"
+    path = new_folder(rows.sparkSession, "model") + "/counts.npz"
     publish(path, lambda out: out.write(buffer.getvalue()))
     return path
 
@@ -192,7 +203,6 @@ def score_against_labelled(docs: DataFrame, labels: DataFrame, label_col: str =
     A document counts as target if any of its labels is 1; null labels and ids count nothing.
     """
     good = labels.where((F.col(label_col) == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("target_id")).distinct()
-    marked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    marked = marked.join(good, marked.doc_id == good.target_id, "left")
-    path = train(marked, F.col("target_id").isNotNull())
-    return cross_entropy_difference(docs, path, id_col, text_col)
+    rows = placed(docs)
+    target = rows.select(F.col(id_col).cast("long").alias("id"), FILE, ROW).join(good, F.col("id") == F.col("target_id"))
+    return cross_entropy_difference(docs, train(rows, target, text_col), id_col, text_col)

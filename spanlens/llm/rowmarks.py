@@ -72,34 +72,47 @@ def write_marks(decisions: DataFrame, folder: str) -> None:
     ordered.mapInArrow(run, "done boolean").agg(F.count("*")).collect()
 
 
+class Marks:
+    """How often rows are taken, read from the files of `write_marks` as a scan meets them."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+        self.held: dict[tuple[int, int], np.ndarray] = {}
+
+    def _of(self, file: int, chunk: int) -> np.ndarray:
+        if (file, chunk) not in self.held:
+            self.held.clear()  # a scan goes through a file in order
+            store, inner = open_store(_path(self.folder, file, chunk))
+            data = b""
+            if store.get_file_info(inner).is_file:
+                with store.open_input_stream(inner) as source:
+                    data = source.read()
+            self.held[file, chunk] = np.frombuffer(data, np.uint8)
+        return self.held[file, chunk]
+
+    def copies(self, file: np.ndarray, row: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(row), np.int64)
+        chunk = row // CHUNK
+        cut = np.flatnonzero(np.concatenate([[True], (file[1:] != file[:-1]) | (chunk[1:] != chunk[:-1]), [True]]))
+        for lo, hi in zip(cut[:-1], cut[1:]):
+            known = self._of(int(file[lo]), int(chunk[lo]))
+            at = row[lo:hi] % CHUNK
+            inside = at < len(known)
+            out[lo:hi][inside] = known[at[inside]]
+        return out
+
+
 def take_marked(rows: DataFrame, folder: str) -> DataFrame:
     """The rows of a `placed` table as often as its marks say, without their place."""
     schema = rows.drop(FILE, ROW).schema
     width = len(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks: dict[tuple[int, int], np.ndarray] = {}
-
-        def of(file: int, chunk: int) -> np.ndarray:
-            if (file, chunk) not in marks:
-                marks.clear()  # a scan goes through a file in order
-                store, inner = open_store(_path(folder, file, chunk))
-                found = store.get_file_info(inner).is_file
-                marks[file, chunk] = np.frombuffer(store.open_input_stream(inner).read(), np.uint8) if found else np.zeros(0, np.uint8)
-            return marks[file, chunk]
-
+        marks = Marks(folder)
         for batch in batches:
-            file, row = batch.column(width).to_numpy(), batch.column(width + 1).to_numpy()
-            copies = np.zeros(len(row), np.int64)
-            chunk = row // CHUNK
-            cut = np.flatnonzero(np.concatenate([[True], (file[1:] != file[:-1]) | (chunk[1:] != chunk[:-1]), [True]]))
-            for lo, hi in zip(cut[:-1], cut[1:]):
-                known = of(int(file[lo]), int(chunk[lo]))
-                at = row[lo:hi] % CHUNK
-                inside = at < len(known)
-                copies[lo:hi][inside] = known[at[inside]]
+            copies = marks.copies(batch.column(width).to_numpy(), batch.column(width + 1).to_numpy())
             kept = batch.select(range(width))
-            yield kept.filter(pa.array(copies > 0)) if copies.max(initial=0) <= 1 else kept.take(pa.array(np.repeat(np.arange(len(row)), copies)))
+            yield kept.filter(pa.array(copies > 0)) if copies.max(initial=0) <= 1 else kept.take(pa.array(np.repeat(np.arange(len(copies)), copies)))
 
     return rows.mapInArrow(run, schema)
 
