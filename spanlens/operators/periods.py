@@ -83,7 +83,8 @@ def period_rows(docs: DataFrame) -> DataFrame:
 
 
 def format_month(ym: Column) -> Column:
-    return F.format_string("%02d/%d", ym % 12 + 1, F.floor(ym / 12).cast("int"))
+    """``MM/YYYY``; null for a null month."""
+    return F.when(ym.isNotNull(), F.format_string("%02d/%d", ym % 12 + 1, F.floor(ym / 12).cast("int")))
 
 
 def plural(n: Column, one: str, many: str) -> Column:

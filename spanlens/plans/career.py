@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spanlens.operators.periods import format_month
+
 #: Months count from year 0; August 2026 is the present of all queries.
 NOW_YM = 2026 * 12 + 7
 
@@ -44,7 +46,7 @@ def order_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _said(ym: Column, years: Column) -> Column:
-    return F.when(years, F.floor(ym / 12).cast("string")).otherwise(F.format_string("%02d/%d", ym % 12 + 1, F.floor(ym / 12).cast("int")))
+    return F.when(years, F.floor(ym / 12).cast("string")).otherwise(format_month(ym))
 
 
 def career_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,11 +6,11 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame
-from pyspark.storagelevel import StorageLevel
 
-from spanlens.operators import buzzwords, intervals, jobs, metrics, pii, repetition, scope, sections, stints
+from spanlens.operators import buzzwords, intervals, jobs, metrics, pii, render, repetition, scope, sections, stints
 from spanlens.operators.periods import period_rows
 from spanlens.sources.documents import load_text
+from spanlens.sources.scratch import materialize, release
 
 
 @dataclass
@@ -19,7 +19,8 @@ class Analysis:
 
     Text is cleaned and personal data is taken out before anything else sees it.
     ``overrides`` replace the kind of lines.  With ``keep``, the relations that
-    many findings share are persisted; `release` frees them.
+    many findings share are written once to the shared folder, which also cuts
+    their lineage; `release` deletes them.
     """
 
     docs: DataFrame
@@ -31,13 +32,14 @@ class Analysis:
         self._kept: list[DataFrame] = []
 
     def _shared(self, df: DataFrame) -> DataFrame:
-        if self.keep:
-            self._kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
-        return df
+        if not self.keep:
+            return df
+        self._kept.append(materialize(df, "analysis"))
+        return self._kept[-1]
 
     def release(self) -> None:
         for df in self._kept:
-            df.unpersist()
+            release(df)
         self._kept.clear()
 
     @cached_property
@@ -132,6 +134,39 @@ class Analysis:
         found = repetition.repeated_lines(self.kind_sections)
         return repetition.section_names(found, self.kind_sections)
 
+    def answered(self, answers: DataFrame) -> DataFrame:
+        return metrics.metric_answers(self.missing_metrics, answers)
+
+    def gate(self, contexts: DataFrame, postings: DataFrame, answers: DataFrame) -> DataFrame:
+        return render.phase_gate(contexts, postings, self.stints, self.answered(answers), self.overlaps)
+
+    def findings_text(self, contexts: DataFrame) -> DataFrame:
+        return render.render_findings(
+            self.redacted, contexts, self.periods, self.next_delta, self.overlaps, self.repeated, self.silent_stints, self.buzzwords, self.pii, self.blocks, self.now_ym
+        )
+
+    def jobs_text(self, contexts: DataFrame, postings: DataFrame) -> DataFrame:
+        top = jobs.vocabulary_top(self.vocabulary(postings))
+        return render.render_jobs(self.redacted, postings, contexts, self.stints, self.totals, top, self.requirements(postings))
+
+    def dossiers(self, contexts: DataFrame, postings: DataFrame, answers: DataFrame, prompt: str = "") -> DataFrame:
+        """``(doc_id, markdown)`` of each document that has text.
+
+        Each block is written before the last join, so that no stage holds the
+        operators of all findings at once.
+        """
+        parts = {
+            "state": render.render_state(self.gate(contexts, postings, answers)),
+            "context": render.render_context(contexts),
+            "document": render.render_document(self.blocks),
+            "answers": render.render_answers(self.answered(answers)),
+            "findings": self.findings_text(contexts),
+            "scope": render.render_scope(self.redacted, self.scope),
+            "jobs": self.jobs_text(contexts, postings),
+        }
+        written = {name: materialize(part, name) for name, part in parts.items()}
+        return render.dossier(written, self.redacted, prompt)
+
     def relations(self) -> dict[str, DataFrame]:
         names = (
             "redacted", "pii", "lines", "blocks", "experience", "periods", "stints", "gaps", "overlaps", "short_tenures", "totals", "next_delta",
