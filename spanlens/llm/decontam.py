@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanlens.llm.storage import new_folder, open_store, publish
-from spanlens.llm.textbytes import alnum_words, utf8
+from spanlens.llm.textbytes import alnum_words, map_texts, utf8
 
 WINDOW = 13
 SHARD_WORDS = 4_000_000
@@ -367,7 +367,7 @@ def contamination(
                 names=["doc_id", "n_words", "n_hit", "items", "spans", "contaminated"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return map_texts(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, schema)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -381,4 +381,4 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", wi
             keep = [not is_contaminated(n, hit_words(s)) for n, s, _ in scanner.scan(utf8(batch.column(at)))]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_texts(docs, run, docs.schema)

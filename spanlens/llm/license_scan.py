@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlens.llm.textbytes import alnum_words, utf8
+from spanlens.llm.textbytes import alnum_words, map_texts, utf8
 
 #: The base phrases and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -225,4 +225,4 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 names=["doc_id", "n_words", "base", "spans", "score"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return map_texts(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, schema)

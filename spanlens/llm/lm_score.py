@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from spanlens.llm.rowmarks import FILE, ROW, Marks, placed, write_marks
 from spanlens.llm.storage import new_folder, open_store, publish
-from spanlens.llm.textbytes import utf8
+from spanlens.llm.textbytes import map_texts, utf8
 
 END = 256
 WIDE = 257
@@ -98,7 +98,7 @@ def gram_counts(rows: DataFrame, target_rows: DataFrame, text_col: str = "text")
     """
     folder = new_folder(rows.sparkSession, "target")
     write_marks(target_rows.select(FILE, ROW, F.lit(1).alias("copies")), folder)
-    partial = rows.select(F.col(text_col).alias("text"), FILE, ROW).mapInArrow(_count(folder), "gram int, target long, background long")
+    partial = map_texts(rows.select(F.col(text_col).alias("text"), FILE, ROW), _count(folder), "gram int, target long, background long")
     return partial.groupBy("gram").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
 
 
@@ -194,7 +194,7 @@ def cross_entropy_difference(docs: DataFrame, model_path: str, id_col: str = "do
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(t / n), pa.array(b / n), pa.array((t - b) / n)], names=["doc_id", "n_tokens", "target_loss", "background_loss", "difference"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, difference double")
+    return map_texts(rows, run, "doc_id long, n_tokens long, target_loss double, background_loss double, difference double")
 
 
 def score_against_labelled(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 
 from spanlens.llm.rowmarks import FILE, ROW, apply_decisions, placed
 from spanlens.llm.storage import materialize
-from spanlens.llm.textbytes import utf8
+from spanlens.llm.textbytes import map_texts, utf8
 
 WEIGHTS = (3, 1, 2)
 BLOCK = 4096
@@ -40,7 +40,7 @@ def sizes(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataF
 
     place = [F.col(c) if c in docs.columns else F.lit(0).cast("long").alias(c) for c in (FILE, ROW)]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"), *place)
-    return rows.mapInArrow(run, f"doc_id long, source string, size long, {FILE} long, {ROW} long")
+    return map_texts(rows, run, f"doc_id long, source string, size long, {FILE} long, {ROW} long")
 
 
 def targets(measured: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanlens.llm.textbytes import utf8
+from spanlens.llm.textbytes import map_texts, utf8
 
 #: Most labelled rows that training takes, by smallest hash of the id.
 MOST_ROWS = 20_000
@@ -222,7 +222,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             x = features(utf8(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(x), pa.list_(pa.float64()))], names=["k", "y", "x"])
 
-    measured = rows.select("k", "text", "y").mapInArrow(run, "k long, y double, x array<double>")
+    measured = map_texts(rows.select("k", "text", "y"), run, "k long, y double, x array<double>")
     table = measured.orderBy(F.xxhash64("k"), "k", "x").limit(most_rows).toArrow()
     x = np.array(table.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
     return fit(x, table.column("y").to_numpy())
@@ -239,7 +239,7 @@ def score(docs: DataFrame, model: Additive, id_col: str = "doc_id", text_col: st
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(features(utf8(batch.column(1)))))], names=["doc_id", "score"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
+    rows = map_texts(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, score double")
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -251,4 +251,4 @@ def keep_good(docs: DataFrame, model: Additive, text_col: str = "text", threshol
         for batch in batches:
             yield batch.filter(pa.array(model.score(features(utf8(batch.column(at)))) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_texts(docs, run, docs.schema)

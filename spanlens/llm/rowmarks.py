@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanlens.llm.storage import materialize, new_folder, open_store, publish
+from spanlens.llm.textbytes import map_texts
 
 FILE, ROW = "__file", "__row"
 CHUNK = 1 << 20
@@ -114,7 +115,7 @@ def take_marked(rows: DataFrame, folder: str) -> DataFrame:
             kept = batch.select(range(width))
             yield kept.filter(pa.array(copies > 0)) if copies.max(initial=0) <= 1 else kept.take(pa.array(np.repeat(np.arange(len(copies)), copies)))
 
-    return rows.mapInArrow(run, schema)
+    return map_texts(rows, run, schema)
 
 
 def apply_decisions(rows: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from spanlens.llm.components import connected_components
 from spanlens.llm.rowmarks import FILE, ROW, apply_decisions, placed
 from spanlens.llm.storage import materialize
+from spanlens.llm.textbytes import map_texts
 
 _LEAF_PRODUCT = 64
 _CHUNK = 1 << 19
@@ -63,7 +64,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *carry])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carry)
-    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *carry)))
+    return map_texts(rows, run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *carry)))
 
 
 def _merge(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -7,6 +7,7 @@ separators into spaces is one table lookup for each byte.
 from __future__ import annotations
 
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 #: A-Z to a-z; ASCII other than letters and digits to a space; other bytes stay.
 ALNUM = bytes(
@@ -27,3 +28,16 @@ def alnum_words(text: bytes) -> list[bytes]:
 def blank_words(text: bytes) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text after lower-casing A-Z."""
     return text.lower().split()
+
+
+#: Most bytes of an Arrow batch; texts can be long, so a count of rows bounds nothing.
+BATCH_BYTES = 8 << 20
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def map_texts(rows: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` with batches of bounded size, which holds for the session from here on."""
+    conf = rows.sparkSession.conf
+    if int(conf.get(_LIMIT).rstrip("b")) > BATCH_BYTES:
+        conf.set(_LIMIT, str(BATCH_BYTES))
+    return rows.mapInArrow(run, schema)

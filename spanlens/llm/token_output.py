@@ -30,11 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlens.llm.storage import open_store, publish
+from spanlens.llm.textbytes import map_texts
 
 MAGIC = b"TOKREC01"
 SHARD_BYTES = 32 << 20
 MOST_SHARDS = 100_000
-CACHE_UNITS = 1_000_000
+CACHE_UNITS = 500_000
 READ_PIECE = 8 << 20
 
 
@@ -201,7 +202,7 @@ def write_shards(
             [pa.array([shard], pa.int64()), pa.array([len(offsets)], pa.int64()), pa.array([tokens], pa.int64())], names=["shard", "rows", "ids"]
         )
 
-    made = sorted(ordered.mapInArrow(run, "shard long, rows long, ids long").collect())
+    made = sorted(map_texts(ordered, run, "shard long, rows long, ids long").collect())
     manifest = [r.asDict() for r in made]
     publish(f"{folder}/manifest.json", lambda out: out.write(json.dumps(manifest).encode()))
     return manifest
