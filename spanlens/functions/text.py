@@ -9,6 +9,7 @@ accented letter is no word character.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -28,6 +29,11 @@ def pattern(rule: str, ignore_case: bool = True) -> str:
     return ("(?iu)" if ignore_case else "(?u)") + out
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trim(text: Column) -> Column:
     return F.regexp_replace(text, f"\\A{SPACE}+|{SPACE}+\\z", "")
 

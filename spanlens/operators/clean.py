@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from spanlens.functions.text import lines_of, pattern, trim, words
+from spanlens.functions.text import let, lines_of, pattern, trim, words
 
 #: What is a page footer, a glued sentence and a glued location.
 PAGE_FURNITURE = r"\A(?:page|p[áa]g(?:ina)?)\s*\d+\s*(?:of|de)\s*\d+$"
@@ -25,13 +25,15 @@ def unglue_sentence(line: Column) -> Column:
 
 def is_location(line: Column) -> Column:
     """Two or three short capitalised parts between commas, without digits or sentence marks."""
-    whole = trim(line)
-    parts = F.transform(F.split(whole, ",", -1), trim)
-    fits = F.forall(
-        parts,
-        lambda p: F.char_length(p).between(2, PART_CHARS) & p.rlike(r"\A\p{Lu}") & (F.size(words(p)) <= PART_WORDS),
-    )
-    return (F.char_length(whole) <= LOCATION_CHARS) & ~whole.rlike("[0-9.;:]") & F.size(parts).between(2, 3) & fits
+    def part_fits(part: Column) -> Column:
+        return F.char_length(part).between(2, PART_CHARS) & part.rlike(r"\A\p{Lu}") & (F.size(words(part)) <= PART_WORDS)
+
+    def read(whole: Column) -> Column:
+        parts = F.transform(F.split(whole, ",", -1), trim)
+        shaped = (F.char_length(whole) <= LOCATION_CHARS) & whole.rlike(r"\A[^,]*(?:,[^,]*){1,2}\z") & ~whole.rlike("[0-9.;:]")
+        return F.when(shaped, F.forall(parts, part_fits)).otherwise(False)
+
+    return let(trim(line), read)
 
 
 def split_location(line: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spanlens.functions.text import is_blank, pattern, trim
+from spanlens.functions.text import pattern, trim
 from spanlens.operators.clean import is_location
 from spanlens.operators.sections import BY_LINE, SO_FAR, detect_heading
 from spanlens.operators.stints import classed_lines
@@ -47,7 +47,7 @@ def paragraphs(lines: DataFrame) -> DataFrame:
     over = (ahead(1) == "period") | (ahead(1).isin("label", "duration") & (ahead(2) == "period"))
     under = (behind == "period") & (F.upper(line) == line) & (F.lower(line) != line)
     header = (F.col("sort") == "label") & ~marked & (F.coalesce(over, F.lit(False)) | F.coalesce(under, F.lit(False)))
-    wall = is_blank(line) | (F.col("sort") == "period") | (F.col("sort") == "duration") | detect_heading(line).isNotNull() | is_location(line)
+    wall = F.col("sort").isin("blank", "period", "duration") | detect_heading(line).isNotNull() | is_location(line)
     rows = rows.withColumns({"wall": wall, "header": header & ~wall, "marked": marked})
     lag = lambda c: F.lag(c).over(BY_LINE)
     opens = F.col("marked") | F.coalesce(lag("wall"), F.lit(True)) | (F.col("header") != F.coalesce(lag("header"), F.lit(False)))

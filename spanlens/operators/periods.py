@@ -73,7 +73,7 @@ def periods_of(text: Column) -> Column:
 
 
 def has_period(text: Column) -> Column:
-    return F.when(text.rlike(r"\d{4}"), F.size(periods_of(text)) > 0).otherwise(False)
+    return F.when(text.rlike(pattern(PERIOD)), F.size(periods_of(text)) > 0).otherwise(False)
 
 
 def period_rows(docs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spanlens.functions.text import collapse, lines_of, pattern, strip_accents, trim, words
+from spanlens.functions.text import collapse, let, lines_of, pattern, strip_accents, trim, words
 from spanlens.operators.periods import has_period
 
 #: The words that open a section, by kind in order of priority.
@@ -41,14 +41,20 @@ SO_FAR = BY_LINE.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 def detect_heading(line: Column) -> Column:
     """The kind of section that a line opens; null for other lines."""
-    whole = trim(line)
-    bare = F.regexp_replace(F.lower(strip_accents(whole)), "[|·•—–-]", " ")
-    bare = collapse(F.regexp_replace(bare, pattern(r"[:.]+\s*$"), ""))
-    shaped = (whole != "") & (F.char_length(whole) <= HEADING_CHARS) & (F.size(words(whole)) <= HEADING_WORDS) & ~whole.rlike(r"[,;.]\z")
-    kind = F.lit(None).cast("string")
-    for name, opening in reversed(HEADINGS):
-        kind = F.when(bare.rlike(pattern(rf"\A({opening})\b", ignore_case=False)), name).otherwise(kind)
-    return F.when(shaped, kind)
+    any_kind = pattern(rf"\A({'|'.join(opening for _, opening in HEADINGS)})\b", ignore_case=False)
+
+    def kind_of(bare: Column) -> Column:
+        kind = F.lit(None).cast("string")
+        for name, opening in reversed(HEADINGS):
+            kind = F.when(bare.rlike(pattern(rf"\A({opening})\b", ignore_case=False)), name).otherwise(kind)
+        return F.when(bare.rlike(any_kind), kind)
+
+    def read(whole: Column) -> Column:
+        shaped = F.char_length(whole).between(1, HEADING_CHARS) & ~whole.rlike(r"[,;.]\z") & (F.size(words(whole)) <= HEADING_WORDS)
+        bare = F.regexp_replace(F.lower(strip_accents(whole)), "[|·•—–-]", " ")
+        return F.when(shaped, let(collapse(F.regexp_replace(bare, pattern(r"[:.]+\s*$"), "")), kind_of))
+
+    return let(trim(line), read)
 
 
 def is_headline(line: Column) -> Column:
@@ -56,9 +62,11 @@ def is_headline(line: Column) -> Column:
 
 
 def looks_like_name(line: Column) -> Column:
-    whole = trim(line)
-    shaped = F.char_length(whole).between(2, 60) & ~whole.rlike("[:;.0-9|]") & (F.size(words(whole)) <= NAME_WORDS)
-    return shaped & detect_heading(whole).isNull()
+    def read(whole: Column) -> Column:
+        shaped = F.char_length(whole).between(2, 60) & ~whole.rlike("[:;.0-9|]") & (F.size(words(whole)) <= NAME_WORDS)
+        return F.when(shaped, detect_heading(whole).isNull()).otherwise(False)
+
+    return let(trim(line), read)
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
@@ -75,10 +83,12 @@ def identity_lines(lines: DataFrame) -> DataFrame:
     end at a blank line, a heading, a period or a long line.
     """
     line = F.col("line")
-    short = trim(line)
-    tail_ok = (short != "") & detect_heading(short).isNull() & ~has_period(short) & (F.char_length(short) <= 60)
+    # names and tails matter only beside headlines
+    near = F.lead(is_headline(line)).over(BY_LINE) | F.lag(is_headline(line), 1).over(BY_LINE) | F.lag(is_headline(line), 2).over(BY_LINE)
     back = lambda c, n: F.coalesce(F.lag(c, n).over(BY_LINE), F.lit(False))
-    rows = lines.withColumns({"head": is_headline(line), "named": looks_like_name(line), "tail_ok": tail_ok})
+    ok = lambda short: F.when(F.char_length(short).between(1, 60), detect_heading(short).isNull() & ~has_period(short)).otherwise(False)
+    rows = lines.withColumns({"head": is_headline(line), "near": F.coalesce(near, F.lit(False))})
+    rows = rows.withColumns({"named": F.when(F.col("near"), looks_like_name(line)).otherwise(False), "tail_ok": F.when(F.col("near"), let(trim(line), ok)).otherwise(False)})
     rows = rows.withColumn("opens", F.col("head") & ~back("head", 1))
     # every line of a run, and what follows it, knows whether the run has a name
     rows = rows.withColumn("owned", F.when(F.col("opens"), back("named", 1)))
@@ -87,7 +97,7 @@ def identity_lines(lines: DataFrame) -> DataFrame:
     second = back("head", 2) & ~back("head", 1) & back("owned", 2) & back("tail_ok", 1) & F.col("tail_ok")
     name = ~F.col("head") & F.col("named") & F.coalesce(F.lead("opens").over(BY_LINE), F.lit(False))
     rows = rows.withColumn("identity", (F.col("head") & F.col("owned")) | first | second | name)
-    return rows.drop("head", "named", "tail_ok", "opens", "owned")
+    return rows.drop("head", "near", "named", "tail_ok", "opens", "owned")
 
 
 def assign_lines(lines: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spanlens.functions.text import SPACE, collapse, first_replaced, flat, is_blank, pattern, strip_accents, words
+from spanlens.functions.text import SPACE, collapse, first_replaced, flat, is_blank, let, pattern, strip_accents, words
 from spanlens.operators.periods import has_period
 from spanlens.operators.sections import BY_LINE, detect_heading
 
@@ -37,8 +37,12 @@ def _fits(text: Column) -> Column:
 
 def is_label_line(line: Column) -> Column:
     """A short line that could be an employer or a role: no period, prose, heading or field name."""
-    label = clean_label(line)
-    return _fits(label) & ~has_period(line) & ~_is_prose(label) & detect_heading(label).isNull() & ~_names_nothing(label)
+    return let(clean_label(line), lambda label: _is_label(label, has_period(line)))
+
+
+def _is_label(label: Column, has_one: Column) -> Column:
+    shaped = _fits(label) & ~_is_prose(label)
+    return F.when(shaped & ~has_one, detect_heading(label).isNull() & ~_names_nothing(label)).otherwise(False)
 
 
 def same_line_label(line: Column, quote: Column) -> Column:
@@ -51,15 +55,16 @@ def same_line_label(line: Column, quote: Column) -> Column:
 
 def classed_lines(lines: DataFrame) -> DataFrame:
     """Lines with ``label`` (cleaned) and ``sort``: blank, period, duration, label or other."""
-    line = F.col("line")
+    rows = lines.withColumns({"label": clean_label(F.col("line")), "has_one": has_period(F.col("line"))})
+    rows = rows.withColumn("labels", _is_label(F.col("label"), F.col("has_one")))
     sort = (
-        F.when(is_blank(line), "blank")
-        .when(has_period(line), "period")
-        .when(strip_accents(clean_label(line)).rlike(pattern(DURATION_ONLY)), "duration")
-        .when(is_label_line(line), "label")
+        F.when(is_blank(F.col("line")), "blank")
+        .when(F.col("has_one"), "period")
+        .when(strip_accents(F.col("label")).rlike(pattern(DURATION_ONLY)), "duration")
+        .when(F.col("labels"), "label")
         .otherwise("other")
     )
-    return lines.withColumns({"label": clean_label(line), "sort": sort, "labels": is_label_line(line)})
+    return rows.withColumn("sort", sort).drop("has_one")
 
 
 def job_stints(lines: DataFrame, periods: DataFrame) -> DataFrame:

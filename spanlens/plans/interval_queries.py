@@ -21,8 +21,9 @@ def _periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_periods(spark, sf_dir).select(*COLUMNS)
 
 
-def _parsed(spark: SparkSession, sf_dir: str) -> Analysis:
-    return Analysis(career_documents(spark, sf_dir), NOW_YM)
+def _parsed(spark: SparkSession, sf_dir: str, keep: bool = False) -> Analysis:
+    """Analysis of the rendered text; ``keep`` where several branches share relations."""
+    return Analysis(career_documents(spark, sf_dir), NOW_YM, keep=keep)
 
 
 def parse_periods(spark, sf_dir):
@@ -105,26 +106,26 @@ def timeline_rows(spark, sf_dir):
 
 
 def job_stints(spark, sf_dir):
-    return _parsed(spark, sf_dir).stints.select("doc_id", "pos", "label", "company", "start_ym", "end_ym")
+    return _parsed(spark, sf_dir, keep=True).stints.select("doc_id", "pos", "label", "company", "start_ym", "end_ym")
 
 
 def marker_rows(spark, sf_dir):
-    return intervals.marker_rows(_parsed(spark, sf_dir).stints, NOW_YM)
+    return intervals.marker_rows(_parsed(spark, sf_dir, keep=True).stints, NOW_YM)
 
 
 def missing_metrics(spark, sf_dir):
-    return _parsed(spark, sf_dir).missing_metrics.select("doc_id", "ord", "quote", "label")
+    return _parsed(spark, sf_dir, keep=True).missing_metrics.select("doc_id", "ord", "quote", "label")
 
 
 def metric_cards(spark, sf_dir):
     from spanlens.operators.metrics import metric_cards as cards
 
-    rows = cards(_parsed(spark, sf_dir).missing_metrics)
+    rows = cards(_parsed(spark, sf_dir, keep=True).missing_metrics)
     return rows.groupBy("doc_id").agg(F.sum(F.col("shown").cast("long")).alias("n_shown"), F.sum((~F.col("shown")).cast("long")).alias("n_rest"))
 
 
 def silent_stints(spark, sf_dir):
-    return _parsed(spark, sf_dir).silent_stints.select("doc_id", "pos", "label")
+    return _parsed(spark, sf_dir, keep=True).silent_stints.select("doc_id", "pos", "label")
 
 
 QUERIES = {
