@@ -7,12 +7,13 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 #: The most characters of a field.
 LIMITS = {"headline": 220, "about": 2600}
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def _composed_length(text: pd.Series) -> pd.Series:
     return text.map(lambda t: len(unicodedata.normalize("NFC", t))).astype("int32")
 

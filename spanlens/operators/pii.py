@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanlens.functions.text import pattern, spans
+from spanlens.functions.text import let, pattern, spans
 
 #: Kinds and patterns, in order of priority; the flag is for letter case.
 PATTERNS = (
@@ -86,7 +86,7 @@ def replace_spans(text: Column, found: Column) -> Column:
 
 
 def redact(text: Column) -> Column:
-    return replace_spans(text, pii_spans(text))
+    return let(text, lambda t: let(pii_spans(t), lambda found: replace_spans(t, found)))
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:

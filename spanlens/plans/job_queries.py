@@ -1 +1,170 @@
-QUERIES, ORACLE_SQL = {}, {}
+"""Queries on postings: requirements, vocabulary, and how they relate to documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spanlens.operators import jobs, metrics, render
+from spanlens.plans.career import NOW_YM, answers, career_documents, contexts, postings, table
+from spanlens.plans.engine import Analysis
+from spanlens.plans.interval_queries import PERIODS, said_sql
+
+
+def _analysis(spark: SparkSession, sf_dir: str, keep: bool = False) -> Analysis:
+    return Analysis(career_documents(spark, sf_dir), NOW_YM, keep=keep)
+
+
+def _requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.job_requirements(jobs.filled_jobs(postings(spark, sf_dir)))
+
+
+def modality(spark, sf_dir):
+    rows = jobs.filled_jobs(postings(spark, sf_dir)).select("doc_id", "job_no", F.posexplode(metrics.sentences(F.col("text"))).alias("k", "sentence"))
+    return rows.select("doc_id", "job_no", "k", jobs.modality(F.col("sentence")).alias("modality"))
+
+
+def job_requirements(spark, sf_dir):
+    return _requirements(spark, sf_dir)
+
+
+def acronyms(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(jobs.acronyms(F.col("text"))).alias("k", "acronym"))
+    return rows
+
+
+def acronym_in_document(spark, sf_dir):
+    docs = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id")).distinct()
+    docs = docs.select("doc_id", F.when(F.col("doc_id") % 3 == 0, "Certificado pmp, não CPA").otherwise("ICPMPX e cpa-20").alias("text"))
+    return jobs.acronym_in_document(_requirements(spark, sf_dir), docs)
+
+
+def requirement_gap(spark, sf_dir):
+    return jobs.requirement_gap(_requirements(spark, sf_dir), _analysis(spark, sf_dir).totals)
+
+
+def requirement_notes(spark, sf_dir):
+    a = _analysis(spark, sf_dir, keep=True)
+    return jobs.requirement_notes(_requirements(spark, sf_dir), a.totals, a.redacted).select("doc_id", "job_no", "ord", "kind_label", "modality", "detail")
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("job_no"), "text")
+    first = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.min_by("text", "turn").alias("text"))
+    return turns, first
+
+
+def job_vocabulary(spark, sf_dir):
+    """Turns of a conversation as postings, held against its first turn."""
+    return jobs.job_vocabulary(*_turns(spark, sf_dir)).select("doc_id", "term", "jobs", "count", "present")
+
+
+def vocabulary_top(spark, sf_dir):
+    return jobs.vocabulary_top(jobs.job_vocabulary(*_turns(spark, sf_dir)), 5).select("doc_id", "rank", "term", "more")
+
+
+def odd_jobs(spark, sf_dir):
+    return jobs.odd_jobs(postings(spark, sf_dir), contexts(spark, sf_dir))
+
+
+def job_employer_mentions(spark, sf_dir):
+    return jobs.job_employer_mentions(postings(spark, sf_dir), _analysis(spark, sf_dir).stints)
+
+
+def phase_gate(spark, sf_dir):
+    a = _analysis(spark, sf_dir, keep=True)
+    docs = a.redacted.select("doc_id")
+    return a.gate(contexts(spark, sf_dir).join(docs, "doc_id", "left_semi"), postings(spark, sf_dir), answers(a.missing_metrics))
+
+
+def render_context(spark, sf_dir):
+    return render.render_context(contexts(spark, sf_dir))
+
+
+QUERIES = {
+    "modality": modality,
+    "job_requirements": job_requirements,
+    "acronyms": acronyms,
+    "acronym_in_document": acronym_in_document,
+    "requirement_gap": requirement_gap,
+    "requirement_notes": requirement_notes,
+    "job_vocabulary": job_vocabulary,
+    "vocabulary_top": vocabulary_top,
+    "odd_jobs": odd_jobs,
+    "job_employer_mentions": job_employer_mentions,
+    "phase_gate": phase_gate,
+    "render_context": render_context,
+}
+
+#: What the postings ask for, from the columns they were written from.
+_ASKED = """
+d AS (SELECT DISTINCT o_custkey AS doc_id FROM orders),
+asked AS (
+  SELECT doc_id, 1 AS job_no, 1 AS ord, 'anos' AS kind, 'obrigatório' AS modality, CAST(doc_id % 9 + 2 AS INTEGER) AS years, 'Mínimo de ' || CAST(doc_id % 9 + 2 AS VARCHAR) || ' anos de experiência em dados.' AS quote FROM d
+  UNION ALL SELECT doc_id, 1, 2, 'idioma', 'desejável', NULL, 'Inglês desejável.' FROM d
+  UNION ALL SELECT doc_id, 2, 1, 'certificacao', 'obrigatório', NULL, 'certificação PMP obrigatória' || CASE WHEN doc_id % 2 = 0 THEN ' ou CPA-20' ELSE '' END || '.' FROM d
+  UNION ALL SELECT doc_id, 2, 2, 'formacao', 'diferencial', NULL, 'Graduação completa é diferencial.' FROM d
+  UNION ALL SELECT doc_id, 3, 1, 'idioma', 'não declarada', NULL, 'Espanhol.' FROM d WHERE doc_id % 4 <> 0 AND doc_id % 3 = 0),
+total AS (SELECT doc_id, sum(greatest(0, CASE WHEN covered IS NULL OR start_ym > covered THEN till - start_ym + 1 ELSE till - covered END)) AS t FROM c GROUP BY doc_id)
+"""
+_TERMS = """
+WITH turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS job_no, text FROM conversations WHERE regexp_matches(coalesce(text, ''), '\\S')),
+seg AS (SELECT conv_id, job_no, i AS seg, regexp_extract_all(s[i], '[\\p{L}\\p{N}]+') AS w FROM (SELECT conv_id, job_no, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT conv_id, job_no, regexp_extract_all(text, '[^.,;:!?()\\n]+') AS s FROM turns))),
+word AS (SELECT conv_id, job_no, seg, k, w[k] AS a, CASE WHEN k < len(w) THEN w[k + 1] END AS b FROM (SELECT *, unnest(range(1, len(w) + 1)) AS k FROM seg)),
+useful AS (SELECT *, length(a) > 2 AND NOT list_contains(STOPS, lower(strip_accents(a))) AS ua, b IS NOT NULL AND length(b) > 2 AND NOT list_contains(STOPS, lower(strip_accents(b))) AS ub FROM word),
+term AS (SELECT conv_id, job_no, seg, k, 0 AS n, a AS term FROM useful WHERE ua UNION ALL SELECT conv_id, job_no, seg, k, 1, a || ' ' || b FROM useful WHERE ua AND ub),
+keyed AS (SELECT *, lower(strip_accents(term)) AS key, row_number() OVER (PARTITION BY conv_id, lower(strip_accents(term)) ORDER BY job_no, seg, k, n) AS nth FROM term),
+merged AS (SELECT conv_id, key, count(DISTINCT job_no) AS jobs, count(*) AS count, min(CASE WHEN nth = 1 THEN term END) AS term FROM keyed GROUP BY conv_id, key),
+posted AS (SELECT conv_id, count(*) AS n FROM turns GROUP BY conv_id),
+first_text AS (SELECT conv_id, arg_min(text, turn) AS text FROM conversations GROUP BY conv_id),
+vocab AS (
+  SELECT conv_id AS doc_id, term, jobs, count, contains(lower(strip_accents(coalesce(text, ''))), key) AS present, row_number() OVER (PARTITION BY conv_id ORDER BY jobs DESC, count DESC, term) AS rank
+  FROM merged JOIN posted USING (conv_id) LEFT JOIN first_text USING (conv_id) WHERE jobs >= CASE WHEN n > 1 THEN 2 ELSE 1 END)
+""".replace("STOPS", "[" + ", ".join(f"'{w}'" for w in jobs.STOPWORDS) + "]")
+
+ORACLE_SQL = {
+    "modality": """
+WITH d AS (SELECT DISTINCT o_custkey AS doc_id FROM orders)
+SELECT doc_id, CAST(job_no AS INTEGER) AS job_no, CAST(k AS INTEGER) AS k, modality FROM d, (VALUES (1, 0, 'não declarada'), (1, 1, 'obrigatório'), (1, 2, 'desejável'), (2, 0, 'não declarada'), (2, 1, 'obrigatório'), (2, 2, 'diferencial')) AS v(job_no, k, modality)
+UNION ALL SELECT doc_id, 3, k, 'não declarada' FROM d, (VALUES (0), (1)) AS v(k) WHERE doc_id % 4 <> 0""",
+    "job_requirements": PERIODS + "," + _ASKED + "SELECT doc_id, CAST(job_no AS INTEGER) AS job_no, CAST(ord AS INTEGER) AS ord, kind, modality, years, quote FROM asked",
+    "acronyms": """
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS k, acronym FROM (
+  SELECT doc_id, acronym, min(i) AS k FROM (SELECT doc_id, m[i] AS acronym, i FROM (SELECT doc_id, m, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '\\b[A-Z]{2,6}(?:-[0-9]{1,3})?\\b') AS m FROM documents))) GROUP BY doc_id, acronym)""",
+    "acronym_in_document": """
+SELECT doc_id, CAST(2 AS INTEGER) AS job_no, CAST(1 AS INTEGER) AS ord, acronym, CASE WHEN acronym = 'PMP' THEN doc_id % 3 = 0 ELSE doc_id % 3 <> 0 END AS present
+FROM (SELECT DISTINCT o_custkey AS doc_id FROM orders), (VALUES ('PMP'), ('CPA-20')) AS v(acronym) WHERE acronym = 'PMP' OR doc_id % 2 = 0""",
+    "requirement_gap": PERIODS + "," + _ASKED + f"""
+SELECT doc_id, CAST(job_no AS INTEGER) AS job_no, CAST(ord AS INTEGER) AS ord, years, CAST(t AS INTEGER) AS total_months, CAST(t - 12 * years AS INTEGER) AS diff, CASE WHEN t - 12 * years < 0 THEN '-' ELSE '+' END || {said_sql('abs(t - 12 * years)')} AS said
+FROM asked JOIN total USING (doc_id) WHERE kind = 'anos'""",
+    "requirement_notes": PERIODS + "," + _ASKED + f"""
+SELECT doc_id, CAST(job_no AS INTEGER) AS job_no, CAST(ord AS INTEGER) AS ord, CASE kind WHEN 'anos' THEN 'Tempo de experiência' WHEN 'idioma' THEN 'Idioma' WHEN 'formacao' THEN 'Formação' ELSE 'Certificação' END AS kind_label, modality,
+  CASE kind WHEN 'anos' THEN 'exige ' || CAST(years AS VARCHAR) || ' anos | somado no documento: ' || {said_sql('t')} || ' | diferença: ' || CASE WHEN t - 12 * years < 0 THEN '-' ELSE '+' END || {said_sql('abs(t - 12 * years)')}
+    WHEN 'certificacao' THEN CASE WHEN doc_id % 2 = 0 THEN 'CPA-20: não aparece no documento | ' ELSE '' END || 'PMP: não aparece no documento' ELSE 'confira contra a seção correspondente do documento' END AS detail
+FROM asked JOIN total USING (doc_id)""",
+    "job_vocabulary": _TERMS + "SELECT doc_id, term, jobs, count, present FROM vocab",
+    "vocabulary_top": _TERMS + "SELECT doc_id, CAST(rank AS INTEGER) AS rank, term, more FROM (SELECT *, greatest(0, count(*) OVER (PARTITION BY doc_id) - 5) AS more FROM vocab) WHERE rank <= 5",
+    "odd_jobs": """
+WITH d AS (SELECT DISTINCT o_custkey AS doc_id FROM orders)
+SELECT doc_id, CAST(job_no AS INTEGER) AS job_no FROM d, (VALUES (1), (2), (3)) AS v(job_no) WHERE doc_id % 6 <> 0 AND (
+  (doc_id % 6 < 3 AND job_no = 3 AND doc_id % 4 <> 0) OR (doc_id % 6 >= 3 AND job_no < 3 AND doc_id % 4 <> 0))""",
+    "job_employer_mentions": PERIODS + """
+SELECT doc_id, CAST(2 AS INTEGER) AS job_no, company, string_agg(lpad(CAST(start_ym % 12 + 1 AS VARCHAR), 2, '0') || '/' || CAST(start_ym // 12 AS VARCHAR) || ' – ' || coalesce(lpad(CAST(end_ym % 12 + 1 AS VARCHAR), 2, '0') || '/' || CAST(end_ym // 12 AS VARCHAR), 'atual'), ', ' ORDER BY pos) AS periods
+FROM st WHERE company = 'Companhia Alta' GROUP BY doc_id, company""",
+    "phase_gate": PERIODS + """
+, n_pairs AS (SELECT a.doc_id, count(*) AS n FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.seq < b.seq WHERE least(a.till, b.till) - b.start_ym + 1 >= 2 GROUP BY a.doc_id),
+recent AS (SELECT DISTINCT doc_id, company, role FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start_ym DESC, pos DESC) AS k FROM st) WHERE k <= 2),
+n_open AS (SELECT s.doc_id, count(*) AS n FROM st s JOIN recent r ON s.doc_id = r.doc_id AND s.company = r.company AND s.role = r.role WHERE s.o_orderkey % 4 = 1 AND s.doc_id % 2 = 1 GROUP BY s.doc_id)
+SELECT doc_id, CAST(CASE WHEN doc_id % 6 <> 0 AND coalesce(o.n, 0) = 0 AND coalesce(x.n, 0) = 0 THEN 4 ELSE 3 END AS INTEGER) AS phase, doc_id % 6 = 0 AS no_target, FALSE AS no_jobs, coalesce(o.n, 0) AS n_open, coalesce(x.n, 0) AS n_overlaps
+FROM (SELECT DISTINCT doc_id FROM p) LEFT JOIN n_open o USING (doc_id) LEFT JOIN n_pairs x USING (doc_id)""",
+    "render_context": """
+SELECT c_custkey AS doc_id, concat_ws(chr(10), '## Respostas já dadas', '',
+  '- **Tipo de artefato:** ' || CASE c_custkey % 3 WHEN 0 THEN 'Perfil do LinkedIn' WHEN 1 THEN 'Currículo' ELSE 'Perfil do LinkedIn e currículo' END,
+  '- **Cargo-alvo:** ' || CASE WHEN c_custkey % 6 = 0 THEN '(não informado)' WHEN c_custkey % 6 < 3 THEN 'Analista de planejamento' ELSE 'Coordenador de vendas' END,
+  '- **Nível-alvo:** ' || CASE WHEN c_custkey % 2 = 0 THEN 'Pleno' ELSE '(não informado)' END,
+  '- **Setor / tipo de empregador:** ' || upper(c_mktsegment[1]) || lower(c_mktsegment[2:]),
+  '- **País / mercado:** Nacao ' || CAST(c_nationkey AS VARCHAR), '- **Restrições de divulgação:** (não informado)',
+  CASE WHEN c_custkey % 6 = 0 THEN chr(10) || '> **Sem cargo-alvo definido.** Proponha direções a partir do histórico e peça que a pessoa escolha uma.' END,
+  CASE c_custkey % 3 WHEN 0 THEN chr(10) || '> **Veio só um documento.** O currículo não foi fornecido; diga o que não pôde ser avaliado.'
+    WHEN 1 THEN chr(10) || '> **Veio só um documento.** O perfil do LinkedIn não foi fornecido; diga o que não pôde ser avaliado.' END) AS context FROM customer""",
+}
