@@ -44,7 +44,11 @@ class Analysis:
 
     @cached_property
     def redacted(self) -> DataFrame:
-        return self._shared(pii.redact_documents(load_text(self.docs.select("doc_id", "text"))))
+        # dealt by document once; windows and groups over lines then need no other shuffle
+        spark = self.docs.sparkSession
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        docs = self.docs.select("doc_id", "text").repartition(parts, "doc_id")
+        return self._shared(pii.redact_documents(load_text(docs)))
 
     @cached_property
     def pii(self) -> DataFrame:
