@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from spanlens.functions.text import let, lines_of, pattern, trim, words
+from spanlens.functions.text import SPACE, let, lines_of, pattern, trim, words
 
 #: What is a page footer, a glued sentence and a glued location.
 PAGE_FURNITURE = r"\A(?:page|p[áa]g(?:ina)?)\s*\d+\s*(?:of|de)\s*\d+$"
@@ -44,13 +44,19 @@ def split_location(line: Column) -> Column:
     return F.when((place != "") & is_location(place), cut).otherwise(line)
 
 
-def clean_line(line: Column) -> Column:
-    return split_location(unglue_sentence(F.regexp_replace(line, r"\p{Co}", " ")))
-
-
 def clean_text(text: Column) -> Column:
-    """All lines cleaned, page footers left out."""
-    return F.array_join(F.transform(F.filter(lines_of(text), lambda x: ~is_page_furniture(x)), clean_line), "\n")
+    """All lines cleaned, page footers left out.
+
+    Glyphs of private use become spaces, then glued sentences and then locations
+    are cut.  Only texts that hold a footer or a glued location anywhere are
+    taken apart into lines.
+    """
+    footer = "(?m)" + pattern(PAGE_FURNITURE).replace(r"\A", "^" + SPACE + "*").replace(r"\z", SPACE + "*$")
+    glued = "(?m)" + pattern(LOCATION_GLUE, ignore_case=False).replace(r"\A", "^")
 
+    def by_line(x: Column) -> Column:
+        return F.array_join(F.transform(lines_of(x), split_location), "\n")
 
-__all__ = ["clean_line", "clean_text", "is_location", "is_page_furniture", "split_location", "unglue_sentence"]
+    kept = let(text, lambda t: F.when(t.rlike(footer), F.array_join(F.filter(lines_of(t), lambda x: ~is_page_furniture(x)), "\n")).otherwise(t))
+    spaced = unglue_sentence(F.regexp_replace(kept, r"\p{Co}", " "))
+    return let(spaced, lambda t: F.when(t.rlike(glued), by_line(t)).otherwise(t))

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 GAP_MONTHS, OVERLAP_MONTHS, SHORT_MONTHS = 4, 2, 12
 BIN_MONTHS = 12
 
-ORDER = Window.partitionBy("doc_id").orderBy("start_ym", "pos")
+
+def by_start() -> WindowSpec:
+    return Window.partitionBy("doc_id").orderBy("start_ym", "pos")
 
 
 def until(now_ym: int) -> Column:
@@ -31,11 +33,11 @@ def with_duration(periods: DataFrame, now_ym: int) -> DataFrame:
 
 def chronological(periods: DataFrame) -> DataFrame:
     """Rows with ``seq`` from 1 in order of start."""
-    return periods.withColumn("seq", F.row_number().over(ORDER))
+    return periods.withColumn("seq", F.row_number().over(by_start()))
 
 
 def _covered(now_ym: int) -> Column:
-    return F.max(until(now_ym)).over(ORDER.rowsBetween(Window.unboundedPreceding, -1))
+    return F.max(until(now_ym)).over(by_start().rowsBetween(Window.unboundedPreceding, -1))
 
 
 def gaps(periods: DataFrame, now_ym: int, least: int = GAP_MONTHS) -> DataFrame:
@@ -81,7 +83,7 @@ def total_months(periods: DataFrame, now_ym: int) -> DataFrame:
 
 def next_delta(periods: DataFrame) -> DataFrame:
     """Months from the end of each period to the start of the very next, where there are any."""
-    rows = periods.select("doc_id", "pos", (F.lead("start_ym").over(ORDER) - F.col("end_ym")).alias("months"))
+    rows = periods.select("doc_id", "pos", (F.lead("start_ym").over(by_start()) - F.col("end_ym")).alias("months"))
     return rows.where("months > 0")
 
 
@@ -104,7 +106,7 @@ def timeline_bars(periods: DataFrame, now_ym: int) -> DataFrame:
     """``(doc_id, ord, pos, left_pct, width_pct, months)``, bars in order of start."""
     whole = Window.partitionBy("doc_id")
     span = F.greatest(F.lit(1), F.max(until(now_ym)).over(whole) - F.min("start_ym").over(whole))
-    rows = periods.withColumns({"from_ym": F.min("start_ym").over(whole), "span": span, "ord": F.row_number().over(ORDER)})
+    rows = periods.withColumns({"from_ym": F.min("start_ym").over(whole), "span": span, "ord": F.row_number().over(by_start())})
     months = duration(F.col("start_ym"), until(now_ym)).alias("months")
     return rows.select("doc_id", "ord", "pos", *_place(F.col("start_ym"), until(now_ym)), months)
 

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from spanlens.functions.text import pattern, trim
 from spanlens.operators.clean import is_location
-from spanlens.operators.sections import BY_LINE, SO_FAR, detect_heading
+from spanlens.operators.sections import by_line, detect_heading, so_far
 from spanlens.operators.stints import classed_lines
 
 LEAST_CHARS = 40
@@ -41,18 +41,18 @@ def paragraphs(lines: DataFrame) -> DataFrame:
     """
     line = F.col("line")
     rows = classed_lines(lines)
-    ahead = lambda n: F.lead("sort", n).over(BY_LINE)
-    behind = F.lag("sort").over(BY_LINE)
+    ahead = lambda n: F.lead("sort", n).over(by_line())
+    behind = F.lag("sort").over(by_line())
     marked = line.rlike(pattern(BULLET))
     over = (ahead(1) == "period") | (ahead(1).isin("label", "duration") & (ahead(2) == "period"))
     under = (behind == "period") & (F.upper(line) == line) & (F.lower(line) != line)
     header = (F.col("sort") == "label") & ~marked & (F.coalesce(over, F.lit(False)) | F.coalesce(under, F.lit(False)))
     wall = F.col("sort").isin("blank", "period", "duration") | detect_heading(line).isNotNull() | is_location(line)
     rows = rows.withColumns({"wall": wall, "header": header & ~wall, "marked": marked})
-    lag = lambda c: F.lag(c).over(BY_LINE)
+    lag = lambda c: F.lag(c).over(by_line())
     opens = F.col("marked") | F.coalesce(lag("wall"), F.lit(True)) | (F.col("header") != F.coalesce(lag("header"), F.lit(False)))
     rows = rows.withColumn("opens", opens & ~F.col("wall"))
-    rows = rows.withColumn("para_no", F.sum(F.col("opens").cast("int")).over(SO_FAR).cast("int")).where(~F.col("wall"))
+    rows = rows.withColumn("para_no", F.sum(F.col("opens").cast("int")).over(so_far()).cast("int")).where(~F.col("wall"))
     body = trim(F.regexp_replace("line", pattern(BULLET), ""))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", body.alias("line")))), lambda s: s["line"]), " ")
     found = rows.groupBy("doc_id", "para_no").agg(F.min("line_no").alias("line_no"), joined.alias("text"), F.max("header").alias("is_header"))

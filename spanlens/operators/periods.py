@@ -73,7 +73,8 @@ def periods_of(text: Column) -> Column:
 
 
 def has_period(text: Column) -> Column:
-    return F.when(text.rlike(pattern(PERIOD)), F.size(periods_of(text)) > 0).otherwise(False)
+    some = text.rlike(r"\d{4}") & text.rlike(pattern(PERIOD))
+    return F.when(some, F.size(periods_of(text)) > 0).otherwise(False)
 
 
 def period_rows(docs: DataFrame) -> DataFrame:

@@ -22,6 +22,22 @@ PATTERNS = (
     ("idade", r"(?:idade\s*:?\s*)?\b(?:1[6-9]|[2-9]\d)\s+anos\b(?!\s*(?:\d|e\s+\d|de|em|no|na|meses))", True),
 )
 
+#: What a text must hold for a kind to be worth its pattern: one of some words in
+#: lower case, or (after the marker) a shape of digits.
+SHAPE = "\x00"
+HINTS = {
+    "email": ("@",),
+    "cpf": (SHAPE, r"\d{3}\.\d{3}\.\d{3}-\d\d"),
+    "rg": ("rg", "identidade", "registro geral"),
+    "nascimento": ("nasc",),
+    "cep": (SHAPE, r"\d{5}-\d{3}"),
+    "telefone": (SHAPE, r"\d{4}[\s\u00A0.-]*\d{4}"),
+    "endereco": ("rua", "r.", "av.", "avenida", "alameda", "travessa", "praça", "praca", "estrada", "rodovia"),
+    "sexo": ("sexo", "gênero", "genero"),
+    "estado-civil": ("solteir", "casad", "divorciad", "viúv", "viuv", "separad", "união", "uniao"),
+    "idade": ("anos",),
+}
+
 #: What stands for a span in redacted text, and the kinds' names.
 LABELS = {
     "email": "[E-MAIL]",
@@ -60,13 +76,27 @@ def pii_spans(text: Column) -> Column:
     def tagged(kind: str, found: Column) -> Column:
         return F.transform(found, lambda s: F.struct(F.lit(kind).alias("kind"), s["idx"].alias("idx"), s["quote"].alias("quote")))
 
-    found = [tagged(kind, spans(text, pattern(rule, ignore))) for kind, rule, ignore in PATTERNS]
+    def hinted(kind: str, low: Column) -> Column:
+        first, *rest = HINTS[kind]
+        if first == SHAPE:
+            return low.rlike(rest[0])
+        hit = F.contains(low, F.lit(first))
+        for word in rest:
+            hit = hit | F.contains(low, F.lit(word))
+        return hit
+
+    none = F.array().cast(SPAN)
+
+    def scan(low: Column) -> Column:
+        return F.concat(*[F.when(hinted(kind, low), tagged(kind, spans(text, pattern(rule, ignore)))).otherwise(none) for kind, rule, ignore in PATTERNS])
+
+    found = let(F.lower(text), scan)
 
     def clash(a: Column, b: Column) -> Column:
         return (a["idx"] < b["idx"] + F.char_length(b["quote"])) & (b["idx"] < a["idx"] + F.char_length(a["quote"]))
 
     accepted = F.aggregate(
-        F.concat(*found).cast(SPAN), F.array().cast(SPAN), lambda got, new: F.when(F.exists(got, lambda old: clash(old, new)), got).otherwise(F.concat(got, F.array(new)).cast(SPAN))
+        found.cast(SPAN), F.array().cast(SPAN), lambda got, new: F.when(F.exists(got, lambda old: clash(old, new)), got).otherwise(F.concat(got, F.array(new)).cast(SPAN))
     )
     return F.array_sort(accepted, lambda a, b: a["idx"] - b["idx"])
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from spanlens.functions.text import collapse, let, lines_of, pattern, strip_accents, trim, words
 from spanlens.operators.periods import has_period
@@ -35,8 +35,13 @@ SECTION_LABEL = {
     "outros": "Outros",
 }
 
-BY_LINE = Window.partitionBy("doc_id").orderBy("line_no")
-SO_FAR = BY_LINE.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+def by_line() -> WindowSpec:
+    return Window.partitionBy("doc_id").orderBy("line_no")
+
+
+def so_far() -> WindowSpec:
+    return by_line().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def detect_heading(line: Column) -> Column:
@@ -72,7 +77,7 @@ def looks_like_name(line: Column) -> Column:
 def line_rows(docs: DataFrame) -> DataFrame:
     """``(doc_id, line_no, line, start_off)``, lines from 0 with their place in the text."""
     rows = docs.select("doc_id", F.posexplode(lines_of(F.col("text"))).alias("line_no", "line"))
-    before = F.sum(F.char_length("line") + 1).over(BY_LINE.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum(F.char_length("line") + 1).over(by_line().rowsBetween(Window.unboundedPreceding, -1))
     return rows.withColumn("start_off", F.coalesce(before, F.lit(0)).cast("int"))
 
 
@@ -84,18 +89,18 @@ def identity_lines(lines: DataFrame) -> DataFrame:
     """
     line = F.col("line")
     # names and tails matter only beside headlines
-    near = F.lead(is_headline(line)).over(BY_LINE) | F.lag(is_headline(line), 1).over(BY_LINE) | F.lag(is_headline(line), 2).over(BY_LINE)
-    back = lambda c, n: F.coalesce(F.lag(c, n).over(BY_LINE), F.lit(False))
+    near = F.lead(is_headline(line)).over(by_line()) | F.lag(is_headline(line), 1).over(by_line()) | F.lag(is_headline(line), 2).over(by_line())
+    back = lambda c, n: F.coalesce(F.lag(c, n).over(by_line()), F.lit(False))
     ok = lambda short: F.when(F.char_length(short).between(1, 60), detect_heading(short).isNull() & ~has_period(short)).otherwise(False)
     rows = lines.withColumns({"head": is_headline(line), "near": F.coalesce(near, F.lit(False))})
     rows = rows.withColumns({"named": F.when(F.col("near"), looks_like_name(line)).otherwise(False), "tail_ok": F.when(F.col("near"), let(trim(line), ok)).otherwise(False)})
     rows = rows.withColumn("opens", F.col("head") & ~back("head", 1))
     # every line of a run, and what follows it, knows whether the run has a name
     rows = rows.withColumn("owned", F.when(F.col("opens"), back("named", 1)))
-    rows = rows.withColumn("owned", F.coalesce(F.last("owned", ignorenulls=True).over(SO_FAR), F.lit(False)))
+    rows = rows.withColumn("owned", F.coalesce(F.last("owned", ignorenulls=True).over(so_far()), F.lit(False)))
     first = ~F.col("head") & back("head", 1) & back("owned", 1) & F.col("tail_ok")
     second = back("head", 2) & ~back("head", 1) & back("owned", 2) & back("tail_ok", 1) & F.col("tail_ok")
-    name = ~F.col("head") & F.col("named") & F.coalesce(F.lead("opens").over(BY_LINE), F.lit(False))
+    name = ~F.col("head") & F.col("named") & F.coalesce(F.lead("opens").over(by_line()), F.lit(False))
     rows = rows.withColumn("identity", (F.col("head") & F.col("owned")) | first | second | name)
     return rows.drop("head", "near", "named", "tail_ok", "opens", "owned")
 
@@ -103,7 +108,7 @@ def identity_lines(lines: DataFrame) -> DataFrame:
 def assign_lines(lines: DataFrame) -> DataFrame:
     """Lines with ``kind``: that of the last heading so far; identity lines are contact data."""
     rows = identity_lines(lines).withColumn("heading", detect_heading(F.col("line")))
-    filled = F.coalesce(F.last("heading", ignorenulls=True).over(SO_FAR), F.lit("header"))
+    filled = F.coalesce(F.last("heading", ignorenulls=True).over(so_far()), F.lit("header"))
     return rows.withColumn("kind", F.when(F.col("identity"), "contato").otherwise(filled)).drop("identity", "heading")
 
 
@@ -116,8 +121,8 @@ def assign_override(assigned: DataFrame, overrides: DataFrame) -> DataFrame:
 
 def section_blocks(assigned: DataFrame) -> DataFrame:
     """``(doc_id, block_no, kind, from_line, to_line, text)``: runs of lines of one kind."""
-    change = F.coalesce(F.lag("kind").over(BY_LINE) != F.col("kind"), F.lit(False)).cast("int")
-    runs = assigned.withColumn("change", change).withColumn("block_no", F.sum("change").over(SO_FAR).cast("int"))
+    change = F.coalesce(F.lag("kind").over(by_line()) != F.col("kind"), F.lit(False)).cast("int")
+    runs = assigned.withColumn("change", change).withColumn("block_no", F.sum("change").over(so_far()).cast("int"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), "\n")
     return runs.groupBy("doc_id", "block_no").agg(
         F.first("kind").alias("kind"), F.min("line_no").alias("from_line"), F.max("line_no").alias("to_line"), text.alias("text")
@@ -141,7 +146,7 @@ def split_sections(lines: DataFrame) -> DataFrame:
     part without heading is there only if it has text.
     """
     rows = identity_lines(lines).withColumn("opens", detect_heading(F.col("line")))
-    rows = rows.withColumn("section_no", F.sum(F.col("opens").isNotNull().cast("int")).over(SO_FAR).cast("int"))
+    rows = rows.withColumn("section_no", F.sum(F.col("opens").isNotNull().cast("int")).over(so_far()).cast("int"))
     body = F.when(F.col("opens").isNull() & ~F.col("identity"), F.struct("line_no", "line"))
     joined = trim(F.array_join(F.transform(F.array_sort(F.collect_list(body)), lambda s: s["line"]), "\n"))
     width = F.sum(F.char_length("line") + 1)

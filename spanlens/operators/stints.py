@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from spanlens.functions.text import SPACE, collapse, first_replaced, flat, is_blank, let, pattern, strip_accents, words
 from spanlens.operators.periods import has_period
-from spanlens.operators.sections import BY_LINE, detect_heading
+from spanlens.operators.sections import by_line, detect_heading
 
 #: Bounds of a label, lines that only state a duration, words that label nothing.
 LABEL_CHARS = (2, 80)
@@ -77,11 +77,11 @@ def job_stints(lines: DataFrame, periods: DataFrame) -> DataFrame:
     is never guessed.
     """
     classed = classed_lines(lines)
-    below = F.lead(F.struct("label", "labels")).over(BY_LINE)
-    end = F.coalesce(F.lead("start_off").over(BY_LINE), F.lit(2**31 - 1))
-    blanks = F.sum((F.col("sort") == "blank").cast("int")).over(BY_LINE.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    below = F.lead(F.struct("label", "labels")).over(by_line())
+    end = F.coalesce(F.lead("start_off").over(by_line()), F.lit(2**31 - 1))
+    blanks = F.sum((F.col("sort") == "blank").cast("int")).over(by_line().rowsBetween(Window.unboundedPreceding, Window.currentRow))
     rows = classed.withColumns({"below": below, "stop_off": end, "blanks": blanks}).where("sort <> 'duration'")
-    above = lambda n: F.lag(F.struct("sort", "label"), n).over(BY_LINE)
+    above = lambda n: F.lag(F.struct("sort", "label"), n).over(by_line())
     role = F.when(above(1)["sort"] == "label", above(1)["label"])
     firm = F.when(role.isNotNull() & (above(2)["sort"] == "label"), above(2)["label"])
     rows = rows.withColumns({"role": role, "firm": firm}).where("sort = 'period'")
