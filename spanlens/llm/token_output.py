@@ -35,7 +35,7 @@ from spanlens.llm.textbytes import map_texts
 MAGIC = b"TOKREC01"
 SHARD_BYTES = 32 << 20
 MOST_SHARDS = 100_000
-CACHE_UNITS = 500_000
+CACHE_UNITS = 400_000
 READ_PIECE = 8 << 20
 
 
@@ -50,7 +50,8 @@ class Encoder:
     For a byte-level BPE with its usual splitting pattern, a space that follows
     a non-space always starts a new piece, so a text falls into units there and
     the units' ids are the text's ids.  Units met before come from a table;
-    when it holds ``CACHE_UNITS`` entries it is emptied, so memory is bounded.
+    one that holds ``CACHE_UNITS`` entries becomes the older of two and a new one
+    is begun, so memory is bounded and words that come again are kept.
     Other kinds of tokenizers encode each whole text.  Strings of special
     tokens within a text are ordinary text.
     """
@@ -82,6 +83,7 @@ class Encoder:
         other = [b for b in range(256) if b not in shown]
         self.letters = {b: chr(256 + k) for k, b in enumerate(other)}
         self.units: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def _pack(self, ids: list[int]) -> bytes:
@@ -106,11 +108,14 @@ class Encoder:
 
     def _learn(self, words: set[str]) -> None:
         """Ids of units that are a space and a word, by word."""
-        odd, learnt = [], self.units
-        if len(learnt) + len(words) > CACHE_UNITS:
-            learnt.clear()
+        if len(self.units) + len(words) > CACHE_UNITS:
+            self.units, self.older = {}, self.units
+        odd, learnt, older = [], self.units, self.older.get
         for word in words:
-            if word.isascii() and word.isalpha():
+            found = older(word)
+            if found is not None:
+                learnt[word] = found
+            elif word.isascii() and word.isalpha():
                 learnt[word] = self._bpe(" " + word)  # such a unit is one piece
             elif self.PLAIN.match(word):
                 learnt[word] = b"".join(map(self._piece, self.PATTERN.findall(" " + word)))
@@ -131,6 +136,7 @@ class Encoder:
             if any(not w or w[-1].isspace() for w in new):
                 return None
             self._learn(new)
+            known = self.units.get
             found = [known(w) if f is None else f for w, f in zip(words, found)]
         return b"".join(found)
 
