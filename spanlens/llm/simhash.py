@@ -32,7 +32,7 @@ from spanlens.llm.textbytes import map_texts
 
 _LEAF_PRODUCT = 64
 _CHUNK = 1 << 19
-LEAST_BITS = 3
+LEAST_BITS, MOST_BITS = 3, 11
 
 
 def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
@@ -220,14 +220,16 @@ def links(classes: DataFrame, budget: int = 4) -> DataFrame:
     spark = classes.sparkSession
     n = classes.count()
     target = max(1 << 15, min(1 << 17, 64 * math.isqrt(n)))
-    bits = min(16, max(LEAST_BITS, math.ceil(math.log2(max(1, n / target)))))
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, n / target)))))
+    target = max(target, 2 * math.ceil(n / 2**bits))  # only prefixes of twice the mean are cut
     tagged = classes.select("fp", F.shiftrightunsigned("fp", 64 - bits).cast("int").alias("block"))
     counts = {r["block"]: r["count"] for r in tagged.groupBy("block").count().collect()}
     rows, tasks = _block_plan(counts, bits, budget, target)
     if not rows:
         return spark.createDataFrame([], "u long, v long")
     plan = pd.DataFrame(rows, columns=["block", "part", "parts", "task", "side"]).astype("int32")
-    plan = spark.createDataFrame(plan)  # at most 2**16 prefixes times their partners
+    # at most 2048 prefixes with 562 partners each, and half as many parts of hot prefixes again
+    plan = spark.createDataFrame(plan)
     sizes = spark.createDataFrame([(p, max(1, math.ceil(c / target))) for p, c in counts.items()], "block int, parts int")
     cut = tagged.join(F.broadcast(sizes), "block").select(
         "fp", "block", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int").alias("part")
