@@ -236,3 +236,11 @@ def test_files(spark, tmp_path):
     assert read_text_files(spark, str(tmp_path / "a.txt")).first().text == "Olá\nmundo"
     write_markdown(spark.createDataFrame([(7, "# x\ny")], "doc_id long, markdown string"), str(tmp_path / "md"))
     assert [r.value for r in spark.read.text(str(tmp_path / "md" / "doc_id=7")).collect()] == ["# x", "y"]
+
+
+def test_pdf_needs_a_library(spark, tmp_path):
+    from spanlens.sources import pdf
+
+    if not pdf.available():
+        with pytest.raises(ImportError, match="PyMuPDF"):
+            pdf.read_pdf_items(spark, str(tmp_path))
