@@ -35,7 +35,7 @@ from spanlens.llm.textbytes import map_texts
 MAGIC = b"TOKREC01"
 SHARD_BYTES = 32 << 20
 MOST_SHARDS = 100_000
-CACHE_UNITS = 300_000
+CACHE_UNITS = 330_000
 READ_PIECE = 8 << 20
 
 
@@ -106,37 +106,23 @@ class Encoder:
                 self.pieces[piece] = found
         return found
 
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of units that are a space and a word, by word.
-
-        A word with a comma or full stop after it is two pieces; it is put
-        together from them and not kept, so the tables hold bare words.
-        """
+    def _learn(self, words: set[str]) -> None:
+        """Ids of units that are a space and a word, by word."""
         if len(self.units) + len(words) > CACHE_UNITS:
             self.units, self.older = {}, self.units
-        odd, out, learnt, older = [], {}, self.units, self.older.get
+        odd, learnt, older = [], self.units, self.older.get
         for word in words:
             found = older(word)
-            if found is None:
-                if word.isascii() or self.PLAIN.match(word):
-                    if word.isalpha():
-                        found = self._bpe(" " + word)  # such a unit is one piece
-                    elif word[-1] in ",." and word[:-1].isalpha():
-                        bare = word[:-1]
-                        head = learnt.get(bare) or older(bare)
-                        if head is None:
-                            head = learnt[bare] = self._bpe(" " + bare)
-                        out[word] = head + self._piece(word[-1])
-                        continue
-                    elif self.PLAIN.match(word):
-                        found = b"".join(map(self._piece, self.PATTERN.findall(" " + word)))
-                if found is None:
-                    odd.append(word)
-                    continue
-            out[word] = learnt[word] = found
+            if found is not None:
+                learnt[word] = found
+            elif word.isascii() and word.isalpha():
+                learnt[word] = self._bpe(" " + word)  # such a unit is one piece
+            elif self.PLAIN.match(word):
+                learnt[word] = b"".join(map(self._piece, self.PATTERN.findall(" " + word)))
+            else:
+                odd.append(word)
         for word, found in zip(odd, self._whole([" " + w for w in odd])):
-            out[word] = learnt[word] = found
-        return out
+            learnt[word] = found
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [self._pack(found.ids) for found in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -149,8 +135,9 @@ class Encoder:
             new = {w for w, f in zip(words, found) if f is None}
             if any(not w or w[-1].isspace() for w in new):
                 return None
-            learnt = self._learn(new)
-            found = [learnt[w] if f is None else f for w, f in zip(words, found)]
+            self._learn(new)
+            known = self.units.get
+            found = [known(w) if f is None else f for w, f in zip(words, found)]
         return b"".join(found)
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
@@ -160,11 +147,17 @@ class Encoder:
                 yield self._whole([text])[0] + self.end
                 continue
             first, *words = text.split(" ")
-            rest = self._words(words)
+            rest = None if words and first[-1:].isspace() else self._words(words)
             if rest is None:  # a space after white space: cut only where a space follows something else
                 first, *units = self.CUT.split(text)
                 rest = b"".join(self._whole(units))
-            yield b"".join((self._whole([first])[0], rest, self.end))
+            yield b"".join((self._first(first), rest, self.end))
+
+    def _first(self, unit: str) -> bytes:
+        """Ids of a text's first unit, which has no space before it."""
+        if not self.PLAIN.match(unit):
+            return self._whole([unit])[0]
+        return b"".join(map(self._piece, self.PATTERN.findall(unit)))
 
 
 @lru_cache(maxsize=2)
