@@ -21,8 +21,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near-duplicates, the one with the smallest id.
+
+    Groups by fingerprint are joined where two texts' sets of five-word shingles are similar by 0.8.
+    """
+    return simhash.keep_one(docs, similar=(5, 0.8))
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

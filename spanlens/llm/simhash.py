@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 
 from spanlens.llm.components import connected_components
 from spanlens.llm.rowmarks import FILE, ROW, apply_decisions, placed
+from spanlens.llm.shingles import shingle_set, similar_groups, sketch
 from spanlens.llm.storage import materialize
-from spanlens.llm.textbytes import map_texts
+from spanlens.llm.textbytes import map_texts, utf8
 
 _LEAF_PRODUCT = 64
 _CHUNK = 1 << 19
@@ -277,14 +278,37 @@ def near_duplicates(
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, budget: int = 4) -> DataFrame:
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, budget: int = 4, similar: tuple[int, float] | None = None
+) -> DataFrame:
     """One row of every group of near-duplicates, with all columns unchanged; texts are not shuffled.
 
     The row with the smallest id stays, of rows that repeat it the first by
-    place; a row with a null id stays only where its group has no other.
+    place; a row with a null id stays only where its group has no other.  With
+    ``similar``, a width in words and a least Jaccard similarity, groups that hold
+    a pair of texts with so similar sets of shingles are one group too.
     """
     rows = placed(docs)
     found = _grouped(rows, id_col, text_col, width, budget, carry=(FILE, ROW))
+    if similar:
+        found = _joined(rows, found, text_col, *similar)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", FILE, ROW)).alias("first")
     kept = found.groupBy("root").agg(first).select(f"first.{FILE}", f"first.{ROW}", F.lit(1).alias("copies"))
     return apply_decisions(rows, kept)
+
+
+def _joined(rows: DataFrame, found: DataFrame, text_col: str, width: int, least: float) -> DataFrame:
+    """``found`` with one ``root`` for groups that hold a pair of similar texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, keys = zip(*[sketch(shingle_set(t, width)) for t in utf8(batch.column(0))]) if batch.num_rows else ((), ())
+            columns = [batch.column(1), batch.column(2), pa.array(names, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[FILE, ROW, "shingle_id", "keys"])
+
+    sketches = map_texts(rows.select(F.col(text_col).alias("text"), FILE, ROW), run, f"{FILE} long, {ROW} long, shingle_id long, keys array<long>")
+    found = materialize(found.select("doc_id", "root", FILE, ROW), "rooted")
+    links = similar_groups(rows, sketches.join(found, [FILE, ROW]), text_col, width, least)
+    joined = connected_components(links).withColumnRenamed("node", "old")
+    both = found.join(joined, found.root == joined.old, "left")
+    return both.select("doc_id", F.coalesce("component", "root").alias("root"), FILE, ROW)
