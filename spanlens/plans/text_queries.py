@@ -105,6 +105,12 @@ def pii_panel(spark, sf_dir):
     return pii.pii_panel(mails)
 
 
+def pii_panel_kinds(spark, sf_dir):
+    """All kinds in the unaltered texts of the documents table, by title; SQL has no form for the patterns."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pii_panel(pii.pii_rows(pii.redact_documents(docs)))
+
+
 # -- lines and sections -----------------------------------------------------------------
 
 
@@ -338,6 +344,7 @@ QUERIES = {
     "pii_redact": pii_redact,
     "pii_summary": pii_summary,
     "pii_panel": pii_panel,
+    "pii_panel_kinds": pii_panel_kinds,
     "detect_heading": detect_heading,
     "line_offsets": line_offsets,
     "identity_block": identity_block,
