@@ -132,12 +132,21 @@ def assign_lines(spark, sf_dir):
     return _analysis(spark, sf_dir).lines.select("doc_id", "line_no", "line", "kind")
 
 
-def assign_override(spark, sf_dir):
+def _overridden(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _analysis(spark, sf_dir).lines
     docs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"))
     change = F.explode(F.array(F.struct(F.lit(1).alias("seq"), F.lit(0).alias("from_line"), F.lit(2).alias("to_line"), F.lit("header").alias("kind")), F.struct(F.lit(2).alias("seq"), F.lit(1).alias("from_line"), F.lit(1).alias("to_line"), F.lit("outros").alias("kind"))))
     overrides = docs.select("doc_id", change.alias("c")).select("doc_id", "c.*")
-    return sections.assign_override(lines, overrides).where("line_no < 4").select("doc_id", "line_no", "kind")
+    return sections.assign_override(lines, overrides).select("doc_id", "line_no", "kind")
+
+
+def assign_override(spark, sf_dir):
+    return _overridden(spark, sf_dir).where("line_no < 4")
+
+
+def assign_override_lines(spark, sf_dir):
+    """Kinds of all lines after the overrides."""
+    return _overridden(spark, sf_dir)
 
 
 def section_blocks(spark, sf_dir):
@@ -350,6 +359,7 @@ QUERIES = {
     "identity_block": identity_block,
     "assign_lines": assign_lines,
     "assign_override": assign_override,
+    "assign_override_lines": assign_override_lines,
     "section_blocks": section_blocks,
     "experience_text": experience_text,
     "split_sections": split_sections,
@@ -475,6 +485,7 @@ SELECT doc_id, 'e-mail' AS title, CAST(len(m) AS BIGINT) AS n FROM (
     "identity_block": LINES + "SELECT doc_id, line_no FROM lines WHERE a < 2",
     "assign_lines": LINES + "SELECT doc_id, line_no, line, kind FROM lines",
     "assign_override": LINES + "SELECT doc_id, line_no, CASE line_no WHEN 1 THEN 'outros' WHEN 3 THEN kind ELSE 'header' END AS kind FROM lines WHERE line_no < 4",
+    "assign_override_lines": LINES + "SELECT doc_id, line_no, CASE WHEN line_no = 1 THEN 'outros' WHEN line_no IN (0, 2) THEN 'header' ELSE kind END AS kind FROM lines",
     "section_blocks": LINES + "SELECT doc_id, block_no, kind, from_line, to_line, text FROM blocks",
     "experience_text": LINES + "SELECT doc_id, text FROM blocks WHERE kind = 'experiencia'",
     "split_sections": LINES + """

@@ -47,3 +47,10 @@ def test_pii_panel_counts_all_kinds(spark, tmp_path):
 def test_pii_panel_reads_unaltered_documents(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     assert sorted(map(tuple, QUERIES["pii_panel_kinds"](spark, SF).collect())) == slow_panel(docs)
+
+
+def test_override_returns_every_line(spark):
+    lines = QUERIES["assign_lines"](spark, SF).select("doc_id", "line_no", "kind").collect()
+    want = sorted((d, n, {0: "header", 1: "outros", 2: "header"}.get(n, kind)) for d, n, kind in lines)
+    assert max(n for _, n, _ in want) > 3
+    assert sorted(map(tuple, QUERIES["assign_override_lines"](spark, SF).collect())) == want
