@@ -271,6 +271,13 @@ def reject_no_text(spark, sf_dir):
     return sources.reject_no_text(docs)
 
 
+def reject_no_text_whole(spark, sf_dir):
+    """The whole documents table by its own texts, and planted rows without text beside it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    planted = docs.where("doc_id % 7 = 0").select((-1 - F.col("doc_id")).alias("doc_id"), F.when(F.col("doc_id") % 2 == 0, "\n\t ").alias("text"))
+    return sources.reject_no_text(docs.unionByName(planted))
+
+
 def extract_fenced(spark, sf_dir):
     n, k = F.col("o_orderkey").cast("string"), F.col("o_orderkey") % 4
     md = (
@@ -338,6 +345,7 @@ QUERIES = {
     "items_normalize": items_normalize,
     "load_text": load_text,
     "reject_no_text": reject_no_text,
+    "reject_no_text_whole": reject_no_text_whole,
     "extract_fenced": extract_fenced,
     "page_gutter": page_gutter,
     "page_lines": page_lines,
@@ -454,6 +462,9 @@ UNION ALL SELECT doc_id, page_no, CAST(no * 4 + 1 AS INTEGER), 'coluna ' || no |
 UNION ALL SELECT doc_id, page_no, CAST(no * 4 + 2 AS INTEGER), 'Titulo ' || o_orderkey, 50.0, 720.0, 500.0, 10.0 FROM li WHERE o_orderkey % 5 = 0 AND no = 1""",
     "load_text": "SELECT c_custkey AS doc_id, c_name AS text FROM customer WHERE c_custkey % 4 <> 0",
     "reject_no_text": "SELECT doc_id, 'sem-texto' AS reason FROM documents WHERE n_chars % 7 = 0 OR NOT regexp_matches(text, '\\S')",
+    "reject_no_text_whole": """
+WITH planted AS (SELECT -1 - doc_id AS doc_id, CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(9) || ' ' END AS text FROM documents WHERE doc_id % 7 = 0)
+SELECT doc_id, 'sem-texto' AS reason FROM (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, text FROM planted) WHERE text IS NULL OR NOT regexp_matches(text, '\\S')""",
     "extract_fenced": """
 SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'corpo ' || o_orderkey WHEN 1 THEN 'sem cerca ' || o_orderkey WHEN 2 THEN 'aberta ' || o_orderkey || chr(10) || 'ate o fim' ELSE 'sim ' || o_orderkey END AS body FROM orders""",
     "page_gutter": _LAYOUT + "SELECT doc_id, page_no, CASE WHEN o_orderkey % 3 <> 0 THEN 300.5::DOUBLE END AS gutter FROM cols",

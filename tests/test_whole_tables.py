@@ -1,6 +1,8 @@
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from spanlens.operators.pii import PATTERNS, TITLES
 from spanlens.plans.registry import QUERIES
 from tests.helpers import SF
@@ -54,3 +56,10 @@ def test_override_returns_every_line(spark):
     want = sorted((d, n, {0: "header", 1: "outros", 2: "header"}.get(n, kind)) for d, n, kind in lines)
     assert max(n for _, n, _ in want) > 3
     assert sorted(map(tuple, QUERIES["assign_override_lines"](spark, SF).collect())) == want
+
+
+def test_documents_are_judged_on_their_own_text(spark, tmp_path):
+    docs = [(d, " " if d in (3, 8) else "x" * 7) for d in range(15)]
+    spark.createDataFrame(docs, "doc_id long, text string").withColumn("n_chars", F.length("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(r.doc_id for r in QUERIES["reject_no_text_whole"](spark, str(tmp_path)).collect())
+    assert got == [-15, -8, -1, 3, 8]
