@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spanlens.llm.rowmarks import FILE, ROW, apply_decisions, placed
+from spanlens.llm.rowmarks import CHUNK, FILE, ROW, Placed
 from spanlens.llm.storage import materialize
 from spanlens.llm.textbytes import map_texts, utf8
 
@@ -30,17 +30,20 @@ BLOCK = 4096
 _EDGE = 1e-9
 
 
-def sizes(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
-    """``(doc_id, source, size)`` and the row's place (0 where ``docs`` has none): words of each whole text."""
+def sizes(rows: DataFrame) -> DataFrame:
+    """``(doc_id, source, text, ..long columns)`` to ``(doc_id, source, size, ..)``: words of each whole text."""
+    carried = rows.columns[3:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = [len(t.split()) for t in utf8(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64()), *batch.columns[3:]], names=["doc_id", "source", "size", FILE, ROW])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64()), *batch.columns[3:]], names=["doc_id", "source", "size", *carried])
 
-    place = [F.col(c) if c in docs.columns else F.lit(0).cast("long").alias(c) for c in (FILE, ROW)]
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"), *place)
-    return map_texts(rows, run, f"doc_id long, source string, size long, {FILE} long, {ROW} long")
+    return map_texts(rows, run, ", ".join(["doc_id long", "source string", "size long", *(f"{c} long" for c in carried)]))
+
+
+def _named(id_col: str, source_col: str, text_col: str) -> dict[str, Column]:
+    return {"doc_id": F.col(id_col).cast("long"), "source": F.col(source_col).cast("string"), "text": F.col(text_col)}
 
 
 def targets(measured: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -151,20 +154,51 @@ def mix(
 ) -> DataFrame:
     """``(doc_id, source, size, source_size, target, copies, taken)``, a row for each row of ``docs``.
 
-    Rows of a `placed` table keep their place.  ``copies`` (0 to ``most``) is how often the document is taken and ``taken``
+    ``copies`` (0 to ``most``) is how often the document is taken and ``taken``
     its words times that.  Null sources are a source of their own; null and
     empty texts have size 0 and are taken like others, for 0 words; a source of
     such texts only has target 0 and no copies.  Repeated rows are drawn each.
     The draw depends on the rows and the seed alone, so a rerun agrees.
     """
-    measured = materialize(sizes(docs, id_col, source_col, text_col), "sizes")
+    named = _named(id_col, source_col, text_col)
+    measured = Placed(materialize(sizes(docs.select(*[c.alias(n) for n, c in named.items()])), "sizes"))
+    return _mix(measured.select(**{c: F.col(c) for c in ("doc_id", "source", "size")}), weights, share, most, seed, block).drop(FILE, ROW)
+
+
+def _numbered(measured: DataFrame, block: int) -> DataFrame:
+    """Rows with ``piece``: 0, but rows of one source, id and size beyond ``block`` are cut into pieces of ``block``.
+
+    Such rows are numbered within bounded runs of their files, and the runs' offsets are sums of
+    counts, so no task sorts a whole group.  The numbers of a group are the same however rows lie.
+    """
+    like = ["source", "doc_id", "size"]
+    hot = measured.groupBy(*like).agg(F.count("*").alias("n")).where(F.col("n") > block)
+    hot = materialize(hot.select(*[F.col(c).alias(f"hot_{c}") for c in like]), "repeated")
+    if hot.isEmpty():
+        return measured.withColumn("piece", F.lit(0).cast("long"))
+    same = [F.col(c).eqNullSafe(F.col(f"hot_{c}")) for c in like]
+    run = [*like, FILE, "chunk"]
+    rows = measured.join(hot, same, "left_semi").withColumn("chunk", F.floor(F.col(ROW) / CHUNK))
+    counts = rows.groupBy(*run).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*like).orderBy(FILE, "chunk").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(*[F.col(c).alias(f"of_{c}") for c in run], F.coalesce(before, F.lit(0)).alias("offset"))
+    number = F.row_number().over(Window.partitionBy(*run).orderBy(ROW)) - 1
+    at = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in run]
+    joined = rows.withColumn("number", number).join(offsets, at)
+    cut = joined.select(*measured.columns, F.floor((F.col("number") + F.col("offset")) / block).cast("long").alias("piece"))
+    rest = measured.join(hot, same, "left_anti").withColumn("piece", F.lit(0).cast("long"))
+    return rest.unionByName(cut)
+
+
+def _mix(measured: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 0, block: int = BLOCK) -> DataFrame:
+    """`mix` of rows ``(doc_id, source, size)`` with places, which it keeps."""
     per = targets(measured, weights, share, most)
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
     per = materialize(per.withColumn("rate", rate), "targets")
     counts = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / block)).cast("int")
-    key = F.xxhash64(F.lit(seed), "doc_id", "size")
+    key = F.when(F.col("piece") == 0, F.xxhash64(F.lit(seed), "doc_id", "size")).otherwise(F.xxhash64(F.lit(seed), "doc_id", "size", "piece"))
     known = per.select(F.col("source").alias("of"), "source_size", "target", "rate", counts.alias("blocks"))
-    open_rows = measured.join(known, F.col("source").eqNullSafe(F.col("of"))).select(
+    open_rows = _numbered(measured, block).join(known, F.col("source").eqNullSafe(F.col("of"))).select(
         "doc_id",
         "source",
         "size",
@@ -197,8 +231,7 @@ def mix(
     for more in done[1:]:
         out = out.unionByName(more)
     copies = F.col("base") + F.col("x").cast("int")
-    place = [FILE, ROW] if FILE in docs.columns else []
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"), *place)
+    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"), FILE, ROW)
 
 
 def _deal(key: Column, blocks: Column) -> Column:
@@ -207,5 +240,6 @@ def _deal(key: Column, blocks: Column) -> Column:
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, each as often as `mix` takes it, all columns unchanged; texts are not shuffled."""
-    rows = placed(docs)
-    return apply_decisions(rows, mix(rows, id_col, source_col, text_col, **options))
+    rows = Placed(docs)
+    measured = materialize(sizes(rows.select(**_named(id_col, source_col, text_col))), "sizes")
+    return rows.take(_mix(measured, **options))

@@ -6,11 +6,15 @@ holds the number of bits in which the two prefixes differ, its four pairs of
 children add 0 or 1, and a pair over the error budget is dropped with all
 leaves below it.  Pairs of small nodes are settled by counting bits.
 
-The top levels of the trie deal the work out: a block is a prefix, cut into
-parts of bounded size where a prefix is hot, and one task joins one pair of
-blocks whose prefixes are within the budget.  A task returns a spanning forest
-of the links it found, never all of them, and skips pairs of nodes that are
-already connected as a whole, so a dense group costs little more than its size.
+The work is dealt out by turned tries.  With a budget of *k* bits, the 64 bits
+fall into *k* + 1 segments, and two fingerprints within the budget agree in one
+of them at least.  Each fingerprint goes once to each of the *k* + 1 tries that
+begin with a segment, to the subtree of its first bits there; a task joins one
+subtree with itself.  So what is shuffled is *k* + 1 times the fingerprints at
+any size of the corpus.  A subtree that is too large for a task is cut into
+parts, a task for each pair.  A task returns a spanning forest of the links it
+found, never all of them, and skips pairs of nodes that are already connected
+as a whole, so a dense group costs little more than its size.
 """
 
 from __future__ import annotations
@@ -19,26 +23,30 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanlens.llm.blocks import deal, gather, large_blocks, tasks
 from spanlens.llm.components import connected_components
-from spanlens.llm.rowmarks import FILE, ROW, apply_decisions, placed
-from spanlens.llm.shingles import shingle_set, similar_groups, sketch
+from spanlens.llm.rowmarks import FILE, ROW, Placed
+from spanlens.llm.shingles import SKETCH, shingle_set, similar_groups, sketch
 from spanlens.llm.storage import materialize
-from spanlens.llm.textbytes import map_texts, utf8
+from spanlens.llm.textbytes import blank_words, map_texts, tidy, utf8
 
 _LEAF_PRODUCT = 64
 _CHUNK = 1 << 19
-LEAST_BITS, MOST_BITS = 3, 11
+#: Fingerprints of a subtree, about, and of a part of one that is too large for a task.
+SUBTREE, PART = 4096, 1 << 16
 
 
 def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
     """64-bit SimHash of a text's word shingles; 0 for a text without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return _fingerprint(blank_words((text or "").encode("utf-8", "surrogatepass")), width, seed)
+
+
+def _fingerprint(words: list[bytes], width: int, seed: int) -> int:
     if not words:
         return 0
     joined = b" ".join(words)
@@ -56,16 +64,30 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(table)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``(doc_id, fp long)`` and long columns to carry, a row for each row; ``fp`` holds the 64 bits."""
+def fingerprints(rows: DataFrame, width: int = 4, sketched: int | None = None) -> DataFrame:
+    """``(doc_id, text, ..long columns)`` to ``(doc_id, fp, ..)``, a row for each row; ``fp`` holds the 64 bits.
+
+    With ``sketched``, a width in words, also the sketch of the text's set of shingles of that width.
+    """
+    carried = rows.columns[2:]
+    names = ["doc_id", "fp", *carried]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *carry])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carry)
-    return map_texts(rows, run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *carry)))
+            found, sketches = np.zeros(batch.num_rows, np.uint64), []
+            for k, text in enumerate(utf8(batch.column(1))):
+                words = blank_words(text)
+                found[k] = _fingerprint(words, width, 42)
+                if sketched:
+                    sketches.append(sketch(shingle_set(words, sketched)))
+            columns = [batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]]
+            if sketched:
+                ids, keys, minima = zip(*sketches) if sketches else ((), (), ())
+                columns += [pa.array(ids, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(minima, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, *(["shingle_id", "keys", "minima"] if sketched else [])])
+
+    schema = ", ".join(f"{c} long" for c in names)
+    return map_texts(rows, run, f"{schema}, {SKETCH}" if sketched else schema)
 
 
 def _merge(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -194,65 +216,39 @@ def _runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def _block_plan(counts: dict[int, int], bits: int, budget: int, target: int):
-    """Rows ``(block, part, parts, task, side)``: which tasks need which part of which block."""
-    parts = {p: max(1, math.ceil(n / target)) for p, n in counts.items()}
-    rows, task = [], 0
-    keys = sorted(parts)
-    for i, p in enumerate(keys):
-        for q in keys[i:]:
-            if (p ^ q).bit_count() > budget:
-                continue
-            for s in range(parts[p]):
-                for t in range(s if p == q else 0, parts[q]):
-                    rows.append((p, s, parts[p], task, 0))
-                    if (p, s) != (q, t):
-                        rows.append((q, t, parts[q], task, 1))
-                    task += 1
-    return rows, task
+def _turned(fp: Column, by: int) -> Column:
+    return F.shiftleft(fp, by).bitwiseOR(F.shiftrightunsigned(fp, 64 - by)) if by else fp
 
 
 def links(classes: DataFrame, budget: int = 4) -> DataFrame:
     """Distinct ``fp`` values to ``(u, v)`` links that connect all within ``budget`` bits.
 
     The links span every component of the graph of all pairs at ``budget`` or
-    fewer differing bits.  The driver sees one count for each prefix.
+    fewer differing bits.  Only the number of fingerprints reaches the driver.
     """
-    spark = classes.sparkSession
     n = classes.count()
-    target = max(1 << 15, min(1 << 17, 64 * math.isqrt(n)))
-    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, n / target)))))
-    target = max(target, 2 * math.ceil(n / 2**bits))  # only prefixes of twice the mean are cut
-    tagged = classes.select("fp", F.shiftrightunsigned("fp", 64 - bits).cast("int").alias("block"))
-    counts = {r["block"]: r["count"] for r in tagged.groupBy("block").count().collect()}
-    rows, tasks = _block_plan(counts, bits, budget, target)
-    if not rows:
-        return spark.createDataFrame([], "u long, v long")
-    plan = pd.DataFrame(rows, columns=["block", "part", "parts", "task", "side"]).astype("int32")
-    # at most 2048 prefixes with 562 partners each, and half as many parts of hot prefixes again
-    plan = spark.createDataFrame(plan)
-    sizes = spark.createDataFrame([(p, max(1, math.ceil(c / target))) for p, c in counts.items()], "block int, parts int")
-    cut = tagged.join(F.broadcast(sizes), "block").select(
-        "fp", "block", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int").alias("part")
-    )
-    # a part is one row of about ``target`` values, so what is sent to several tasks is few rows
-    packed = cut.groupBy("block", "part").agg(F.collect_list("fp").alias("fps"))
-    dealt = packed.join(F.broadcast(plan.drop("parts")), ["block", "part"]).select("task", "side", "fps")
-    dealt = dealt.repartition(min(tasks, 10_000), "task")
-
-    def join(table: pa.Table) -> pa.Table:
-        side = table.column("side").to_pylist()
-        values = [v.values.to_numpy(zero_copy_only=False).view(np.uint64) for v in table.column("fps")]
-        part = {s: np.sort(v) for s, v in zip(side, values)}
-        a, b = TrieJoin(part[0], part.get(1), budget).run()
-        return pa.table({"u": a.view(np.int64), "v": b.view(np.int64)}, schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
-
-    return dealt.groupBy("task").applyInArrow(join, "u long, v long")
-
-
-def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, budget: int, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``(doc_id, fp, root, component_id)`` and carried columns; ``root`` names the group."""
-    prints = materialize(fingerprints(docs, id_col, text_col, width, carry), "fingerprints")
+    tables = budget + 1
+    bits = min(64 // tables, max(0, math.ceil(math.log2(max(1, n / SUBTREE)))))
+    starts = [64 * t // tables for t in range(tables)] if bits else [0]
+    keyed = [F.struct(F.lit(t).alias("tab"), _turned(F.col("fp"), s).alias("key")) for t, s in enumerate(starts)]
+    spread = classes.select(F.explode(F.array(*keyed)).alias("k")).select("k.tab", "k.key")
+    spread = spread.select("tab", (F.shiftrightunsigned("key", 64 - bits).cast("int") if bits else F.lit(0)).alias("block"), "key")
+    large = large_blocks(spread, ["tab", "block"], PART) if n > PART else None
+    dealt = gather(deal(spread, ["tab", "block"], "key", large), ["tab", "block"], n * len(starts), 32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in tasks(batches, ["tab", "block"]):
+            key, side = table.column("key").to_numpy().view(np.uint64), table.column("side").to_numpy()
+            left, right = (np.sort(key[side == 0]), np.sort(key[side == 1])) if table.column("mixed")[0].as_py() else (np.sort(key), None)
+            by = np.uint64(starts[table.column("tab")[0].as_py()])
+            u, v = (x >> by | x << np.uint64(64) - by if by else x for x in TrieJoin(left, right, budget).run())
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
+
+    return dealt.mapInArrow(tidy(run), "u long, v long")
+
+
+def _grouped(prints: DataFrame, budget: int) -> DataFrame:
+    """Rows of ``prints`` with ``root``, which names the group, and ``component_id``."""
     classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
     roots = connected_components(links(classes.select("fp"), budget))
     rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("root"))
@@ -274,7 +270,8 @@ def near_duplicates(
     Rows with a null id are kept; a group of such rows alone has a null
     component.  Other columns of ``docs`` are not read.
     """
-    found = _grouped(docs, id_col, text_col, width, budget)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    found = _grouped(materialize(fingerprints(rows, width), "fingerprints"), budget)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -288,27 +285,20 @@ def keep_one(
     ``similar``, a width in words and a least Jaccard similarity, groups that hold
     a pair of texts with so similar sets of shingles are one group too.
     """
-    rows = placed(docs)
-    found = _grouped(rows, id_col, text_col, width, budget, carry=(FILE, ROW))
+    rows = Placed(docs)
+    named = rows.select(doc_id=F.col(id_col).cast("long"), text=F.col(text_col))
+    prints = materialize(fingerprints(named, width, similar and similar[0]), "fingerprints")
+    found = _grouped(prints, budget)
     if similar:
         found = _joined(rows, found, text_col, *similar)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", FILE, ROW)).alias("first")
     kept = found.groupBy("root").agg(first).select(f"first.{FILE}", f"first.{ROW}", F.lit(1).alias("copies"))
-    return apply_decisions(rows, kept)
+    return rows.take(kept)
 
 
-def _joined(rows: DataFrame, found: DataFrame, text_col: str, width: int, least: float) -> DataFrame:
+def _joined(rows: Placed, found: DataFrame, text_col: str, width: int, least: float) -> DataFrame:
     """``found`` with one ``root`` for groups that hold a pair of similar texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, keys = zip(*[sketch(shingle_set(t, width)) for t in utf8(batch.column(0))]) if batch.num_rows else ((), ())
-            columns = [batch.column(1), batch.column(2), pa.array(names, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=[FILE, ROW, "shingle_id", "keys"])
-
-    sketches = map_texts(rows.select(F.col(text_col).alias("text"), FILE, ROW), run, f"{FILE} long, {ROW} long, shingle_id long, keys array<long>")
-    found = materialize(found.select("doc_id", "root", FILE, ROW), "rooted")
-    links = similar_groups(rows, sketches.join(found, [FILE, ROW]), text_col, width, least)
-    joined = connected_components(links).withColumnRenamed("node", "old")
+    found = materialize(found.drop("fp", "component_id"), "rooted")
+    joined = connected_components(similar_groups(rows, found, text_col, width, least)).withColumnRenamed("node", "old")
     both = found.join(joined, found.root == joined.old, "left")
     return both.select("doc_id", F.coalesce("component", "root").alias("root"), FILE, ROW)

@@ -6,8 +6,12 @@ separators into spaces is one table lookup for each byte.
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: A-Z to a-z; ASCII other than letters and digits to a space; other bytes stay.
 ALNUM = bytes(
@@ -31,13 +35,42 @@ def blank_words(text: bytes) -> list[bytes]:
 
 
 #: Most bytes of an Arrow batch; texts can be long, so a count of rows bounds nothing.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def hold_batches(spark: SparkSession) -> None:
+    """Arrow batches of the session are of ``BATCH_BYTES`` at most from here on."""
+    as_bytes = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    if as_bytes(spark.conf.get(_LIMIT)) > BATCH_BYTES:
+        spark.conf.set(_LIMIT, str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def tidy(run: Run) -> Run:
+    """``run`` that gives memory back when its task ends."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
 
-def map_texts(rows: DataFrame, run, schema) -> DataFrame:
-    """``mapInArrow`` with batches of bounded size, which holds for the session from here on."""
-    conf = rows.sparkSession.conf
-    if int(conf.get(_LIMIT).rstrip("b")) > BATCH_BYTES:
-        conf.set(_LIMIT, str(BATCH_BYTES))
-    return rows.mapInArrow(run, schema)
+def map_texts(rows: DataFrame, run: Run, schema) -> DataFrame:
+    """``mapInArrow`` with batches of bounded size; a task gives its memory back."""
+    hold_batches(rows.sparkSession)
+    return rows.mapInArrow(tidy(run), schema)
