@@ -1,208 +1,274 @@
-"""Cross-entropy difference of two n-gram models that share one vocabulary.
-
-A token is a byte of the text (and an end mark), so the vocabulary is closed and
-the same for any corpus.  Target and background model are trigrams with
-Witten-Bell smoothing, counted over all rows: each task adds up its own counts
-and one shuffle adds those, at most ``257 ** 3`` rows whatever the corpus.  A document's
-score is the mean over its tokens of target loss minus background loss: the
-lower, the more it reads like the target.
+"""Cross-entropy difference of two word n-gram models that share one vocabulary.
+
+The vocabulary is every word of the corpus, and with it every pair of words in a
+row: what is counted grows with the corpus.  For each order, 1 and 2, the target
+model counts the n-grams of the target's rows and the background model those of
+all rows, scaled to the target's size, so that the two are matched; both add
+``DELTA`` to every count.  With the same size and vocabulary, the loss of an
+n-gram under the target model less that under the background model is ::
+
+    log((scale * background + DELTA) / (target + DELTA))
+
+where a document's own counts are left out of both, so that no document is
+scored by a model that has seen it.  A document's score is the mean over its
+words and both orders: the lower, the more it reads like the target.
+
+Counting and scoring are one exchange.  A task deals the pairs (n-gram, document)
+of a chunk of documents by hash of the n-gram, packed; the task that gets a range
+of hashes adds up the counts of all chunks and sends each chunk one sum for each
+of its documents.  An n-gram of many documents of a chunk stays there: the chunk
+sends its counts and gets the totals, so that not even the most frequent word
+makes a hot task.  No table of the model is ever in one place.
 """
 
 from __future__ import annotations
 
-import io
-from collections.abc import Iterator
-from functools import lru_cache
+import math
+import struct
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlens.llm.rowmarks import FILE, ROW, Marks, placed, write_marks
-from spanlens.llm.storage import new_folder, open_store, publish
-from spanlens.llm.textbytes import map_texts, utf8
-
-END = 256
-WIDE = 257
-CHUNK_BYTES = 8 << 20
-
-
-def _chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    at = 0
-    while at < len(texts):
-        to, size = at, 0
-        while to < len(texts) and (to == at or size + len(texts[to]) <= CHUNK_BYTES):
-            size += len(texts[to])
-            to += 1
-        yield at, to
-        at = to
-
-
-def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of texts one after the other, each with an end mark, and where each begins."""
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    out = np.full(int(ends[-1]), END, np.int32)
-    inner = np.ones(len(out), bool)
-    inner[ends - 1] = False
-    out[inner] = np.frombuffer(b"".join(texts), np.uint8)
-    return out, ends - np.array([len(t) + 1 for t in texts])
-
-
-def trigrams(now: np.ndarray, starts: np.ndarray, wide: int, end: int) -> np.ndarray:
-    """Code of each token with the two before it; end marks stand before a text."""
-    first = np.empty_like(now)
-    first[1:], first[0] = now[:-1], end  # the end of the text before is the mark
-    second = np.full_like(now, end)
-    second[2:] = now[:-2]
-    second[starts] = end
-    return (second * wide + first) * wide + now
-
-
-def _count(folder: str):
-    """Rows ``(text, file, row)`` to this task's counts; target rows are those with a mark."""
-
-    def fold(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-        codes, target, all_rows = (np.concatenate(v) for v in zip(*held))
-        names, at = np.unique(codes, return_inverse=True)
-        sums = [np.zeros(len(names), np.int64) for _ in range(2)]
-        np.add.at(sums[0], at, target)
-        np.add.at(sums[1], at, all_rows)
-        return names, *sums
+from spanlens.llm.blocks import PARTITION_BYTES
+from spanlens.llm.rowmarks import FILE, ROW, Marks, Placed, write_marks
+from spanlens.llm.storage import new_folder
+from spanlens.llm.textbytes import alnum_words, map_texts, tidy, utf8
+
+ORDERS = 2
+DELTA = 0.5
+_BITS = 48
+_ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+@dataclass(frozen=True)
+class Sizes:
+    """Words and documents of a chunk, and n-grams of a range of hashes, about.
+
+    An n-gram of ``heavy`` documents of a chunk is counted there and not dealt by document.
+    """
+
+    words: int = 1 << 20
+    docs: int = 1 << 16
+    grams: int = 2 << 20
+    heavy: int = 16
+
+
+def gram_codes(words: list[bytes]) -> np.ndarray:
+    """48-bit hashes of a text's words, and of each word with the one before it (the first has a start mark)."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    own = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    before = np.concatenate([np.zeros(1, np.uint64), own[:-1]])
+    both = (before ^ before >> np.uint64(31)) * _ODD[0] + own
+    mixed = np.concatenate([own * _ODD[0] + np.uint64(1), both])
+    mixed = (mixed ^ mixed >> np.uint64(29)) * _ODD[1]
+    return (mixed ^ mixed >> np.uint64(32)) >> np.uint64(64 - _BITS)
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as bytes: how many, then each one's type and length, then what they hold."""
+    head = b"".join(struct.pack("<cBQ", a.dtype.kind.encode(), a.dtype.itemsize, len(a)) for a in arrays)
+    return b"".join([bytes([len(arrays)]), head, *[a.tobytes() for a in arrays]])
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    heads = [struct.unpack_from("<cBQ", data, 1 + 10 * k) for k in range(data[0])]
+    at, out = 1 + 10 * len(heads), []
+    for kind, width, n in heads:
+        out.append(np.frombuffer(data, f"<{kind.decode()}{width}", n, at))
+        at += width * n
+    return out
+
+
+def _halves(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Low and high bits of sorted hashes; the high ones hardly change and compress to little."""
+    return (grams & np.uint64(0xFFFFFFFF)).astype("<u4"), (grams >> np.uint64(32)).astype("<u2")
+
+
+class _Chunk:
+    """Documents of one task until they are dealt."""
+
+    def __init__(self, sizes: Sizes):
+        self.sizes = sizes
+        self.keys: list[np.ndarray] = []
+        self.docs: list[tuple[int, bool, int, bool]] = []  # id, whether it is null, words, whether of the target
+        self.words = 0
+
+    def add(self, doc_id: int | None, words: list[bytes], target: bool) -> None:
+        self.keys.append(gram_codes(words) << np.uint64(16) | np.uint64(len(self.docs)))
+        self.docs.append((doc_id or 0, doc_id is None, len(words), target))
+        self.words += len(words)
+
+    def full(self) -> bool:
+        return self.words >= self.sizes.words or len(self.docs) >= self.sizes.docs
+
+    def rows(self, ranges: int) -> Iterator[tuple[int, bytes]]:
+        """``(range, data)``: what each range of hashes gets, and (as range -1) what stays with the chunk."""
+        ids, missing, n_words, target = (np.array(v) for v in zip(*self.docs))
+        key, n = np.unique(np.concatenate(self.keys), return_counts=True)
+        gram, doc = key >> np.uint64(16), (key & np.uint64(0xFFFF)).astype("<u2")
+        cut = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1], [True]])) if len(gram) else np.zeros(1, np.int64)
+        many = np.diff(cut) >= self.sizes.heavy
+        heavy = np.repeat(many, np.diff(cut))
+        place = np.repeat(np.cumsum(many) - 1, np.diff(cut))[heavy].astype("<u4")
+        held_doc, held_n = doc[heavy], n[heavy]
+        held = gram[cut[:-1]][many]
+        all_n = np.bincount(place, held_n, len(held)).astype("<i8")
+        target_n = np.bincount(place, held_n * target[held_doc], len(held)).astype("<i8")
+        yield -1, pack(ids.astype("<i8"), missing.astype("<u1"), n_words.astype("<i8"), target.astype("<u1"), place, held_doc, held_n.astype("<u4"))
+        light = ~heavy
+        gram, doc, n = gram[light], doc[light], n[light]
+        said = (2 * n + target[doc]).astype("<u4")
+        edges = (np.arange(ranges + 1, dtype=object) << _BITS) // ranges
+        edges = np.array([min(e, 2**63 - 1) for e in edges], np.uint64)
+        at, held_at = np.searchsorted(gram, edges), np.searchsorted(held, edges)
+        for k in range(ranges):
+            lo, hi, a, b = at[k], at[k + 1], held_at[k], held_at[k + 1]
+            if hi > lo or b > a:
+                yield k, pack(*_halves(gram[lo:hi]), doc[lo:hi], said[lo:hi], *_halves(held[a:b]), target_n[a:b], all_n[a:b])
+
+
+def _dealt(folder: str, ranges: int, sizes: Sizes):
+    """Rows ``(doc_id, text, file, row)`` to ``(range, chunk, data)``; target rows are those with a mark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = Marks(folder)
-        held: list[tuple[np.ndarray, ...]] = []
+        marks, task, number = Marks(folder), TaskContext.get().partitionId(), 0
+
+        def close(chunk: _Chunk) -> Iterator[pa.RecordBatch]:
+            for k, data in chunk.rows(ranges):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([task << 32 | number]), pa.array([data], pa.binary())], names=["range", "chunk", "data"])
+
+        chunk = _Chunk(sizes)
         for batch in batches:
-            texts, target = utf8(batch.column(0)), marks.copies(batch.column(1).to_numpy(), batch.column(2).to_numpy()) > 0
-            for lo, hi in _chunks(texts):
-                for flag in (False, True):
-                    some = [t for t, f in zip(texts[lo:hi], target[lo:hi]) if f == flag]
-                    if some:
-                        codes, n = np.unique(trigrams(*tokens(some), WIDE, END), return_counts=True)
-                        held.append((codes, n if flag else np.zeros_like(n), n))
-                if len(held) > 16:
-                    held = [fold(held)]
-        if held:
-            names, t, b = fold(held)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(t, pa.int64()), pa.array(b, pa.int64())], names=["gram", "target", "background"])
+            target = marks.copies(batch.column(2).to_numpy(), batch.column(3).to_numpy()) > 0
+            for doc_id, text, flag in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), target.tolist()):
+                chunk.add(doc_id, alnum_words(text), flag)
+                if chunk.full():
+                    yield from close(chunk)
+                    chunk, number = _Chunk(sizes), number + 1
+        if chunk.docs:
+            yield from close(chunk)
 
     return run
 
 
-def gram_counts(rows: DataFrame, target_rows: DataFrame, text_col: str = "text") -> DataFrame:
-    """``(gram, target, background)`` over all rows of a `placed` table.
+def _losses(target: np.ndarray, background: np.ndarray, own_target: np.ndarray, own: np.ndarray, scale: float) -> np.ndarray:
+    """Loss differences of n-grams that a document holds ``own`` times, its own counts left out."""
+    return np.log((scale * (background - own) + DELTA) / (target - own_target + DELTA))
 
-    ``target_rows`` are the places ``(__file, __row)`` of the target's rows; the texts
-    themselves are never shuffled.
-    """
-    folder = new_folder(rows.sparkSession, "target")
-    write_marks(target_rows.select(FILE, ROW, F.lit(1).alias("copies")), folder)
-    partial = map_texts(rows.select(F.col(text_col).alias("text"), FILE, ROW), _count(folder), "gram int, target long, background long")
-    return partial.groupBy("gram").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
 
+def _groups(batches: Iterator[pa.RecordBatch], key: Callable[[tuple], object]) -> Iterator[list[tuple]]:
+    """Rows of a sorted partition in runs of equal keys."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns]):
+            if held and key(row) != key(held[0]):
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
 
-def witten_bell(grams: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
-    """Probabilities of every third symbol after every two, dense: ``size ** 3`` numbers.
 
-    Each order is interpolated with the next lower one in proportion to the
-    kinds of symbols seen after the context; below the unigram is the uniform.
-    """
-    order = np.argsort(grams, kind="stable")
-    grams, counts = grams[order], counts[order].astype(np.float64)
-    two = np.bincount(grams % (size * size), counts, size * size).reshape(size, size)
-    p = _interpolate(two, _interpolate(two.sum(0), np.full(size, 1.0 / size)))
-    out = np.empty((size, size * size), np.float32)
-    for a in range(size):  # one first symbol at a time, so that only the result is dense
-        lo, hi = np.searchsorted(grams, [a * size * size, (a + 1) * size * size])
-        table = np.bincount(grams[lo:hi] - a * size * size, counts[lo:hi], size * size).reshape(size, size)
-        out[a] = _interpolate(table, p).reshape(-1)
-    return out.reshape(-1)
-
-
-def _interpolate(table: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    kinds, total = (table > 0).sum(-1, keepdims=True), table.sum(-1, keepdims=True)
-    return np.where(total > 0, (table + kinds * lower) / np.maximum(kinds + total, 1), lower)
-
-
-class Model:
-    """Losses in nats of both models by trigram of the shared vocabulary."""
-
-    def __init__(self, symbols: np.ndarray, target: np.ndarray, background: np.ndarray):
-        self.size = len(symbols) + 1  # one place more for bytes never counted
-        self.place = np.full(WIDE, len(symbols), np.int32)
-        self.place[symbols] = np.arange(len(symbols))
-        self.target, self.background = target, background
-
-    @classmethod
-    def of(cls, grams: np.ndarray, target: np.ndarray, background: np.ndarray) -> Model:
-        parts = np.stack([grams // (WIDE * WIDE), grams // WIDE % WIDE, grams % WIDE]).astype(np.int64)
-        symbols = np.unique(np.append(parts, END))
-        model = cls(symbols, np.zeros(0), np.zeros(0))
-        a, b, c = model.place[parts].astype(np.int64)
-        codes = (a * model.size + b) * model.size + c
-        model.target, model.background = (-np.log(witten_bell(codes, n, model.size)) for n in (target, background))
-        return model
-
-    def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens, and sums of target and background loss, of each text."""
-        n, t, b = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts))
-        for lo, hi in _chunks(texts):
-            raw, starts = tokens(texts[lo:hi])
-            codes = trigrams(self.place[raw], starts, self.size, int(self.place[END]))
-            n[lo:hi] = np.diff(np.append(starts, len(raw)))
-            t[lo:hi] = np.add.reduceat(self.target[codes], starts, dtype=np.float64)
-            b[lo:hi] = np.add.reduceat(self.background[codes], starts, dtype=np.float64)
-        return n, t, b
-
-
-@lru_cache(maxsize=1)
-def _load(path: str) -> Model:
-    store, inner = open_store(path)
-    with store.open_input_stream(inner) as source:
-        data = np.load(io.BytesIO(source.read()))
-    return Model.of(data["grams"], data["target"], data["background"])
-
-
-def train(rows: DataFrame, target_rows: DataFrame, text_col: str = "text") -> str:
-    """Count both models over all rows; the path of the model file in the shared folder.
-
-    The vocabulary bounds the counts at ``257 ** 3`` rows; real text has some ten thousand.
-    """
-    table = gram_counts(rows, target_rows, text_col).toArrow()
-    buffer = io.BytesIO()
-    columns = {"grams": table.column("gram"), "target": table.column("target"), "background": table.column("background")}
-    np.savez(buffer, **{k: v.to_numpy() for k, v in columns.items()})
-    path = new_folder(rows.sparkSession, "model") + "/counts.npz"
-    publish(path, lambda out: out.write(buffer.getvalue()))
-    return path
-
-
-def cross_entropy_difference(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_tokens, target_loss, background_loss, difference)``, a row for each row.
-
-    Losses are means in nats for each token of the whole text; ``difference`` is
-    target minus background.  A null text is an empty one, which is its end mark
-    alone; repeated rows score alike; without any target row the target model
-    is the uniform one.
-    """
+def _counted(scale: float):
+    """Rows ``(range, chunk, data)`` by range to ``(range, chunk, data)``: sums by document, and totals of heavy n-grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, lambda r: r[:2] if r[0] < 0 else r[0]):
+            found = [rows[0][2]] if rows[0][0] < 0 else _range_sums([unpack(r[2]) for r in rows], scale)
+            for (k, chunk, _), data in zip(rows, found):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([chunk]), pa.array([data], pa.binary())], names=["range", "chunk", "data"])
 
+    return run
+
+
+def _range_sums(parts: list[list[np.ndarray]], scale: float) -> list[bytes]:
+    gram = np.concatenate([p[k].astype(np.uint64) | p[k + 1].astype(np.uint64) << np.uint64(32) for p in parts for k in (0, 4)])
+    _, at = np.unique(gram, return_inverse=True)
+    del gram
+    target = np.bincount(at, np.concatenate([x for p in parts for x in ((p[3] >> 1) * (p[3] & 1), p[6])]))
+    background = np.bincount(at, np.concatenate([x for p in parts for x in (p[3] >> 1, p[7])]))
+    out, here = [], 0
+    for p in parts:
+        light, heavy = np.split(at[here : here + len(p[0]) + len(p[4])], [len(p[0])])
+        here += len(p[0]) + len(p[4])
+        n, flag = (p[3] >> 1).astype(float), p[3] & 1
+        loss = n * _losses(target[light], background[light], n * flag, n, scale)
+        docs = np.unique(p[2])
+        sums = np.bincount(p[2], loss, int(docs[-1]) + 1 if len(docs) else 0)[docs]
+        out.append(pack(docs, sums, target[heavy], background[heavy]))
+    return out
+
+
+def _scored(scale: float):
+    """Rows ``(range, chunk, data)`` by chunk, in order of range, to a row for each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, lambda r: r[1]):
+            ids, missing, n_words, is_target, place, doc, n = unpack(rows[0][2])
+            total = np.zeros(len(ids))
+            target, background = [np.zeros(0)], [np.zeros(0)]
+            for _, _, data in rows[1:]:
+                docs, sums, t, b = unpack(data)
+                total[docs] += sums
+                target.append(t)
+                background.append(b)
+            target, background = np.concatenate(target), np.concatenate(background)
+            n = n.astype(float)
+            total += np.bincount(doc, n * _losses(target[place], background[place], n * is_target[doc], n, scale), len(ids))
+            score = total / np.maximum(ORDERS * n_words, 1)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=missing.astype(bool)), pa.array(n_words), pa.array(score)], names=["doc_id", "n_tokens", "difference"])
+
+    return run
+
+
+def _word_counts(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _load(model_path)
+        marks = Marks(folder)
         for batch in batches:
-            n, t, b = model.score(utf8(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(t / n), pa.array(b / n), pa.array((t - b) / n)], names=["doc_id", "n_tokens", "target_loss", "background_loss", "difference"])
+            target = marks.copies(batch.column(1).to_numpy(), batch.column(2).to_numpy()) > 0
+            n = np.array([len(alnum_words(t)) for t in utf8(batch.column(0))], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([int(n[target].sum())]), pa.array([int(n.sum())])], names=["target", "background"])
+
+    return run
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_texts(rows, run, "doc_id long, n_tokens long, target_loss double, background_loss double, difference double")
 
+def cross_entropy_difference(docs: Placed, target_rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", sizes: Sizes = Sizes()) -> DataFrame:
+    """``(doc_id, n_tokens, difference)``, a row for each row of ``docs``; ``target_rows`` are places of the target's rows.
 
-def score_against_labelled(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    Losses are in nats; ``difference`` is the mean over the words of the whole text and both orders of target
+    loss less background loss.  A null text is an empty one; a text without words scores 0.  Repeated rows
+    count each and score alike; null ids are kept.  Without target words every score is 0.
+    """
+    folder = new_folder(docs.spark, "target")
+    write_marks(target_rows.select(FILE, ROW, F.lit(1).alias("copies")), folder)
+    counted = map_texts(docs.select(text=F.col(text_col)), _word_counts(folder), "target long, background long")
+    target, background = (n or 0 for n in counted.agg(F.sum("target"), F.sum("background")).first())
+    scale = target / max(background, 1)
+    ranges = max(1, math.ceil(ORDERS * background / sizes.grams))
+    schema = "range int, chunk long, data binary"
+    rows = docs.select(doc_id=F.col(id_col).cast("long"), text=F.col(text_col))
+    parts = max(int(docs.spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(ORDERS * background * 8 / PARTITION_BYTES))
+    # what stays with a chunk goes by the chunk, all else by the range
+    dealt = map_texts(rows, _dealt(folder, ranges, sizes), schema)
+    by_range = dealt.repartition(parts, "range", F.when(F.col("range") < 0, F.col("chunk"))).sortWithinPartitions("range", "chunk")
+    sums = by_range.mapInArrow(tidy(_counted(scale)), schema)
+    by_chunk = sums.repartition(parts, "chunk").sortWithinPartitions("chunk", "range")
+    return by_chunk.mapInArrow(tidy(_scored(scale)), "doc_id long, n_tokens long, difference double")
+
+
+def score_against_labelled(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sizes: Sizes = Sizes()) -> DataFrame:
     """Scores with the rows labelled 1 as target and all rows as background.
 
     A document counts as target if any of its labels is 1; null labels and ids count nothing.
     """
     good = labels.where((F.col(label_col) == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("target_id")).distinct()
-    rows = placed(docs)
-    target = rows.select(F.col(id_col).cast("long").alias("id"), FILE, ROW).join(good, F.col("id") == F.col("target_id"))
-    return cross_entropy_difference(docs, train(rows, target, text_col), id_col, text_col)
+    rows = Placed(docs)
+    target = rows.select(id=F.col(id_col).cast("long")).join(good, F.col("id") == F.col("target_id"))
+    return cross_entropy_difference(rows, target, id_col, text_col, sizes)
