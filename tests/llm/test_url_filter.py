@@ -1,6 +1,8 @@
 import random
 
-from spanlens.llm.url_filter import Rule, judge, rules_frame
+from pyspark.sql import functions as F
+
+from spanlens.llm.url_filter import Rule, bloom_blocks, judge, may_be_listed, n_blocks, rules_frame
 
 RULES = [Rule("net", "/", "block"), Rule("example.net", "/en/", "allow"), Rule("example.com", "/de/", "block"), Rule("org", "/fr/", "allow")]
 
@@ -44,6 +46,44 @@ def test_many_rules_and_conflicts(spark):
     assert got == sorted((i, *slow(u, rules)) for i, u in enumerate(urls))
 
 
+def test_a_hundred_thousand_rules_of_two_thousand_shapes(spark):
+    rng = random.Random(2)
+    shape = lambda k: (".".join(["a"] * (k % 20)), "/" + "p" * (k // 20))
+    rules = []
+    for k in range(100_000):
+        host, path = shape(k % 2000)
+        rules.append((f"{host}.h{k}.net".lstrip("."), path, "block" if k % 3 else "allow"))
+    urls = []
+    for _ in range(300):
+        host, path, _ = rng.choice(rules)
+        urls.append(f"http://{rng.choice(['', 'www.', 'x.y.'])}{host}{path}{rng.choice(['', '/q', 'p'])}")
+    frame = spark.createDataFrame(rules, "host string, path string, action string")
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    found = judge(pages, frame)
+    assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 60_000
+    by_host = {}
+    for r in rules:
+        by_host.setdefault(r[0], []).append(Rule(*r))
+    for r in found.collect():
+        labels = r.host.split(".")
+        near = [rule for k in range(len(labels)) for rule in by_host.get(".".join(labels[k:]), [])]
+        assert tuple(r)[1:] == slow(urls[r.page_id], near)
+
+
+def test_only_survivors_of_the_filter_pass(spark):
+    rules = rules_frame(spark, RULES).withColumnRenamed("host", "rule_host")
+    keys = spark.range(20_000).select(F.concat(F.lit("h"), "id", F.lit(".com")).alias("rule_host")).union(rules.select("rule_host"))
+    filled = bloom_blocks(rules, ["rule_host"], n_blocks(len(RULES)))
+    passed = [r.rule_host for r in may_be_listed(keys, ["rule_host"], filled, n_blocks(len(RULES))).collect()]
+    assert {r.host for r in RULES} <= set(passed) and len(passed) < 40
+
+
+def test_odd_rules(spark):
+    rules = spark.createDataFrame([("", "/", "block"), (None, "/", "block"), ("a.net", None, "block"), ("B.net", "", "block"), ("c.net", "/", None)], "host string, path string, action string")
+    pages = spark.createDataFrame([(i, f"http://{h}.net/x") for i, h in enumerate("abc")], "page_id long, url string")
+    assert sorted((r.page_id, r.rule, r.verdict) for r in judge(pages, rules).collect()) == [(0, None, "allow"), (1, "b.net", "block"), (2, None, "allow")]
+
+
 def test_no_rules_and_no_rows(spark):
     pages = spark.createDataFrame([(1, "http://a.net/")], "page_id long, url string")
     assert [tuple(r) for r in judge(pages, rules_frame(spark, [])).collect()] == [(1, "a.net", "/", None, "allow")]
