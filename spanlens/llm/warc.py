@@ -6,9 +6,13 @@ partition).  Predicates on the record type and on other header columns are
 pushed down: a record's header is inflated and parsed first, and unless the
 record is wanted, with its payload, the rest of it is never decoded.
 
+A file without offsets is read once from front to back, a piece at a time.
+
 Writing makes one file for each task, a gzip member for each record.  A task
-writes under a name of its own and the commit on the driver renames the files
-of the tasks that count, so failed or repeated attempts leave nothing behind.
+writes under a name of its own that begins with the job's.  The commit on the
+driver renames the files of the tasks that count, many at a time, and commit and
+abort delete the job's other files, those of failed and repeated attempts too.
+If the driver itself dies, ``.part`` files stay, which readers pass over.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -51,7 +56,7 @@ SCHEMA = HEADER_COLUMNS + ", payload binary"
 INPUT = "page_id long, url string, payload binary, payload_digest string, record_type string, refers_to long"
 BATCH_BYTES = 8 << 20
 _END = b"\r\n\r\n"
-_PIECE = 4096
+_PIECE, _FLOW = 4096, 1 << 20
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -151,13 +156,69 @@ class _Member:
             raise ValueError("a record ends within its block")
         return data[:length]
 
-    def skip(self) -> bytes:
-        """Pass to the member's end where no index tells it; the bytes after it."""
-        while not self.inflate.eof:
-            if not self.inflate.decompress(self.rest, 1 << 16) and not len(self.inflate.unconsumed_tail):
-                break
-            self.rest = self.inflate.unconsumed_tail
-        return self.inflate.unused_data
+
+class _Flow:
+    """The bytes of a file from front to back, inflated if it is gzip, of which little is held."""
+
+    def __init__(self, source, packed: bool):
+        self.source = source
+        self.inflate = zlib.decompressobj(31) if packed else None
+        self.raw = b""
+        self.out = bytearray()
+
+    def _more(self) -> bool:
+        """Add up to ``_FLOW`` bytes to ``out``; whether there were any."""
+        if self.inflate is None:
+            piece = self.source.read(_FLOW)
+            self.out += piece
+            return bool(piece)
+        while True:
+            self.raw = self.raw or self.source.read(_FLOW)
+            if not self.raw:
+                return False
+            if self.inflate.eof:  # the next member
+                self.inflate = zlib.decompressobj(31)
+            piece = self.inflate.decompress(self.raw, _FLOW)
+            self.raw = self.inflate.unused_data if self.inflate.eof else self.inflate.unconsumed_tail
+            if piece:
+                self.out += piece
+                return True
+
+    def header(self) -> bytes | None:
+        """What stands before the next blank line; None at the end of the file."""
+        looked = 0
+        while True:
+            if not looked:
+                blank = len(self.out) - len(self.out.lstrip(b"\r\n"))
+                del self.out[:blank]  # the end of the record before
+            at = self.out.find(_END, max(0, looked - 3))
+            if at >= 0:
+                head = bytes(self.out[:at])
+                del self.out[: at + 4]
+                return head
+            looked = len(self.out)
+            if not self._more():
+                if self.out:
+                    raise ValueError("a record ends within its header")
+                return None
+
+    def block(self, length: int) -> bytes:
+        parts, left = [], length
+        while left:
+            if not self.out and not self._more():
+                raise ValueError("a record ends within its block")
+            parts.append(bytes(self.out[:left]))
+            del self.out[:left]
+            left -= len(parts[-1])
+        return b"".join(parts)
+
+    def skip(self, length: int) -> None:
+        while length:
+            if not self.out and not self._more():
+                raise ValueError("a record ends within its block")
+            n = min(length, len(self.out))
+            del self.out[:n]
+            length -= n
 
 
 def _payload(fields: dict[str, str], block: bytes) -> bytes | None:
@@ -244,32 +305,16 @@ class WarcReader(DataSourceReader):
                     member = _Member(source.read_at(end - at, at))
                     fields = parse_header(member.header())
                     yield fields, lambda m=member, f=fields: m.block(int(f.get("content-length", 0)))
-            elif span.path.endswith(".gz"):
-                data: bytes | memoryview = source.read()
-                while len(data):
-                    member = _Member(data)
-                    fields = parse_header(member.header())
-                    held: list[bytes] = []
-                    yield fields, lambda m=member, f=fields, h=held: h.append(m.block(int(f.get("content-length", 0)))) or h[0]
-                    data = member.inflate.unused_data if member.inflate.eof else member.skip()
-            else:
-                yield from self._plain(source, span.end)
-
-    def _plain(self, source, end: int) -> Iterator[tuple[dict[str, str], Callable[[], bytes]]]:
-        at = 0
-        while at < end:
-            head = b""
-            while _END not in head:
-                piece = source.read_at(min(_PIECE, end - at - len(head)), at + len(head))
-                if not piece:
-                    raise ValueError("a record ends within its header")
-                head += piece
-            head = head[: head.index(_END)]
-            fields = parse_header(head)
-            length = int(fields.get("content-length", 0))
-            begin = at + len(head) + 4
-            yield fields, lambda b=begin, n=length: source.read_at(n, b)
-            at = begin + length + 4
+                return
+        with store.open_input_stream(span.path, compression=None) as source:
+            flow = _Flow(source, span.path.endswith(".gz"))
+            while (head := flow.header()) is not None:
+                fields = parse_header(head)
+                length = int(fields.get("content-length", 0))
+                held: list[bytes] = []
+                yield fields, lambda n=length, h=held: h.append(flow.block(n)) or h[0]
+                if not held:
+                    flow.skip(length)
 
     def read(self, span: Span) -> Iterator[pa.RecordBatch]:
         tests = [_keeps(t) for t in self.tests]
@@ -314,11 +359,12 @@ class WarcWriter(DataSourceArrowWriter):
     def __init__(self, options: dict):
         self.path = options["path"]
         self.date = options.get("date", "1970-01-01T00:00:00Z")
+        self.job = uuid.uuid4().hex  # one writer is made for a job, and sent to its tasks
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         store, inner = open_store(self.path)
         store.create_dir(inner, recursive=True)
-        name = uuid.uuid4().hex
+        name = f"{self.job}-{uuid.uuid4().hex}"
         part, final = f"{inner}/{name}.part", f"{inner}/{name}.warc.gz"
         offsets, at = [], 0
         with store.open_output_stream(part) as out:
@@ -334,17 +380,24 @@ class WarcWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[Written | None]) -> None:
         store, _ = open_store(self.path)
-        for m in messages:
-            if m is not None:
-                store.move(m.part + ".idx", m.final + ".idx")
-                store.move(m.part, m.final)
+
+        def publish(m: Written) -> None:
+            store.move(m.part + ".idx", m.final + ".idx")
+            store.move(m.part, m.final)
+
+        with ThreadPoolExecutor(16) as pool:
+            list(pool.map(publish, [m for m in messages if m is not None]))
+        self._clear()
 
     def abort(self, messages: list[Written | None]) -> None:
-        store, _ = open_store(self.path)
-        for m in messages:
-            for path in (m.part, m.part + ".idx") if m is not None else ():
-                if store.get_file_info(path).type == pafs.FileType.File:
-                    store.delete_file(path)
+        self._clear()
+
+    def _clear(self) -> None:
+        """Delete what attempts of this job left that do not count."""
+        store, inner = open_store(self.path)
+        for found in store.get_file_info(pafs.FileSelector(inner, allow_not_found=True)):
+            if found.base_name.startswith(self.job) and found.base_name.endswith((".part", ".part.idx")):
+                store.delete_file(found.path)
 
 
 class WarcSource(DataSource):

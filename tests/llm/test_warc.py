@@ -1,5 +1,7 @@
 import gzip
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +82,51 @@ def test_files_without_index(spark, packed):
     assert read_warc(spark, other).where("page_id = 5").count() == 1
 
 
+def test_time_without_index_grows_with_the_file(tmp_path):
+    rng = np.random.default_rng(5)
+    took = []
+    for mb in (16, 64):
+        data = [warc.write_record(i, "u", rng.bytes(32 << 10), "d", "response", None, "d") for i in range(mb * 32)]
+        (tmp_path / "a.warc.gz").write_bytes(b"".join(data))
+        reader = warc.WarcReader({"path": str(tmp_path)}, ["page_id"])
+        start = time.process_time()
+        assert sum(b.num_rows for span in reader.partitions() for b in reader.read(span)) == mb * 32
+        took.append(time.process_time() - start)
+    assert took[1] < 8 * took[0] + 1
+
+
+def test_one_member_of_many_records_and_pieces_of_any_size(tmp_path, monkeypatch):
+    records = [gzip.decompress(warc.write_record(i, "u", b"x" * (i * 37 % 500), base32_sha1(b"x" * (i * 37 % 500)), "response", None, "d")) for i in range(200)]
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(b"".join(records[:100])) + gzip.compress(b"".join(records[100:])))
+    for size in (1, 7, 4096):
+        monkeypatch.setattr(warc, "_FLOW", size)
+        reader = warc.WarcReader({"path": str(tmp_path), "verify": "true"}, ["page_id", "payload_bytes", "payload"])
+        reader.tests = [warc.GreaterThan(("page_id",), 3)]
+        rows = [r for span in reader.partitions() for b in reader.read(span) for r in b.to_pylist()]
+        assert [(r["page_id"], r["payload"]) for r in rows] == [(i, b"x" * (i * 37 % 500)) for i in range(4, 200)]
+
+
+def test_attempts_that_fail_leave_nothing(tmp_path):
+    def batches(fail):
+        rows = [{"page_id": 1, "url": "u", "payload": b"p", "payload_digest": "d", "record_type": "response", "refers_to": None}]
+        yield warc.pa.RecordBatch.from_pylist(rows)
+        if fail:
+            raise OSError("lost")
+
+    writer = warc.WarcWriter({"path": str(tmp_path)})
+    (tmp_path / "other.part").write_bytes(b"of another job")
+    with pytest.raises(OSError):
+        writer.write(batches(True))
+    repeated = writer.write(batches(False))
+    writer.commit([writer.write(batches(False)), None])
+    assert repeated.part not in {str(f) for f in tmp_path.iterdir()}
+    assert len(list(tmp_path.iterdir())) == 3
+    with pytest.raises(OSError):
+        writer.write(batches(True))
+    writer.abort([])
+    assert len(list(tmp_path.iterdir())) == 3
+
+
 def test_damage_is_found(spark):
     path = new_folder(spark, "warc")
     store, inner = open_store(path)
