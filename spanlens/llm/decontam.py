@@ -1,22 +1,27 @@
 """Benchmark decontamination with an FM-index for each shard of documents.
 
-A shard is a bounded run of documents.  Its words become symbols of the
-benchmark's vocabulary; every other word separates.  Runs shorter than the
-shortest phrase cannot hold one and are left out.  Over the rest the shard builds
-a suffix array with unique separators, the Burrows-Wheeler transform, a wavelet
-matrix for ranks and a sample of suffix positions.  All phrases are searched
-backwards in step, their occurrences located through the sample, and the spans
-merged for each document.
+A shard is a bounded run of documents.  Its words are told by 64-bit hashes, and
+those that the benchmark has become the shard's own symbols; every other word
+separates.  Runs shorter than the shortest phrase cannot hold one and are left
+out.  Over the rest the shard builds, once, a suffix array with unique
+separators, the Burrows-Wheeler transform, a wavelet matrix for ranks and a
+sample of suffix positions.  The benchmark's phrases lie in blocks of bounded
+size, which tasks write; a shard looks for one block after the other, searching
+its phrases backwards in step, locates the occurrences through the sample, and
+merges the spans for each document.
 """
 
 from __future__ import annotations
 
 import io
+import math
 from collections.abc import Iterator
-from itertools import repeat
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +29,9 @@ from spanlens.llm.storage import new_folder, open_store, publish
 from spanlens.llm.textbytes import alnum_words, map_texts, utf8
 
 WINDOW = 13
-SHARD_WORDS = 4_000_000
-BLOCK_PHRASES = 200_000
+SHARD_WORDS = 2_000_000
+#: Bytes of text of a block of items, about.
+BLOCK_BYTES = 1 << 20
 SAMPLE = 16
 
 
@@ -130,31 +136,40 @@ class FMIndex:
         return out
 
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
 class Phrases:
-    """Distinct phrases of a block of items, by length, and the items of each."""
+    """Distinct phrases of a block of items, by length, as hashes of words, and the items of each."""
 
-    def __init__(self, words: list[bytes], tables: list[np.ndarray], owners: list[list[np.ndarray]], ids: list[str]):
-        self.codes = {w: i + 1 for i, w in enumerate(words)}
+    def __init__(self, tables: list[np.ndarray], owners: list[list[np.ndarray]], ids: list[str]):
         self.tables, self.owners, self.ids = tables, owners, ids
-        self.least = min((t.shape[1] for t in tables), default=0)
 
     @classmethod
     def of(cls, items: list[tuple[str, bytes]], window: int) -> Phrases:
-        codes: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[int]] = {}
+        grams: dict[int, list[np.ndarray]] = {}
+        whose: dict[int, list[np.ndarray]] = {}
         for k, (_, text) in enumerate(items):
-            line = [codes.setdefault(w, len(codes) + 1) for w in alnum_words(text)]
-            for i in range(max(1, len(line) - window + 1) if line else 0):
-                found.setdefault(tuple(line[i : i + window]), set()).add(k)
+            line = word_hashes(alnum_words(text))
+            n = min(window, len(line))
+            if n:
+                held = np.lib.stride_tricks.sliding_window_view(line, n)
+                grams.setdefault(n, []).append(held)
+                whose.setdefault(n, []).append(np.full(len(held), k))
         tables, owners = [], []
-        for n in sorted({len(p) for p in found}):
-            same = [p for p in found if len(p) == n]
-            tables.append(np.array(same, np.int64))
-            owners.append([np.array(sorted(found[p])) for p in same])
-        return cls(list(codes), tables, owners, [i for i, _ in items])
+        for n in sorted(grams):
+            distinct, at = np.unique(np.concatenate(grams[n]), axis=0, return_inverse=True)
+            pairs = np.unique(np.stack([at.reshape(-1), np.concatenate(whose[n])], 1), axis=0)
+            tables.append(distinct)
+            owners.append(np.split(pairs[:, 1], np.flatnonzero(np.diff(pairs[:, 0])) + 1))
+        return cls(tables, owners, [i for i, _ in items])
+
+    def words(self) -> np.ndarray:
+        return np.unique(np.concatenate([np.zeros(0, np.uint64), *[t.reshape(-1) for t in self.tables]]))
 
     def dump(self, out) -> None:
-        data = {"words": np.frombuffer(b" ".join(self.codes), np.uint8), "ids": np.array(self.ids, dtype=str)}
+        data = {"ids": np.array(self.ids, dtype=str)}
         for k, (table, owner) in enumerate(zip(self.tables, self.owners)):
             data[f"table{k}"] = table
             data[f"owner{k}"] = np.concatenate(owner)
@@ -165,12 +180,16 @@ class Phrases:
 
     @classmethod
     def load(cls, path: str) -> Phrases:
-        store, inner = open_store(path)
-        with store.open_input_stream(inner) as source:
-            data = np.load(io.BytesIO(source.read()))
+        data = np.load(io.BytesIO(_read(path)))
         lengths = range(sum(name.startswith("table") for name in data.files))
         owners = [np.split(data[f"owner{k}"], np.cumsum(data[f"count{k}"])[:-1]) for k in lengths]
-        return cls(data["words"].tobytes().split(), [data[f"table{k}"] for k in lengths], owners, data["ids"].tolist())
+        return cls([data[f"table{k}"] for k in lengths], owners, data["ids"].tolist())
+
+
+def _read(path: str) -> bytes:
+    store, inner = open_store(path)
+    with store.open_input_stream(inner) as source:
+        return source.read()
 
 
 def _long_runs(codes: np.ndarray, starts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -195,129 +214,139 @@ def _long_runs(codes: np.ndarray, starts: np.ndarray, least: int) -> tuple[np.nd
     return symbols, place
 
 
-def find_in_shard(docs: list[list[bytes]] | list[np.ndarray], phrases: Phrases) -> tuple[list[np.ndarray], list[list[str]]]:
-    """For each document its merged hit spans (an n x 2 table) and the ids of items found."""
-    codes = np.concatenate([np.zeros(0, np.int64), *docs])
-    starts = np.concatenate([[0], np.cumsum([len(d) for d in docs])]).astype(np.int64)
-    spans: list[np.ndarray] = [np.zeros((0, 2), np.int64)] * len(docs)
-    items: list[list[str]] = [[] for _ in docs]
-    if not len(codes) or not phrases.tables:
-        return spans, items
-    symbols, place = _long_runs(codes, starts[:-1], phrases.least)
-    if not len(symbols):
-        return spans, items
-    index = FMIndex(symbols, len(phrases.codes) + 1)
-    hits, owners = [], []
-    for table, owner in zip(phrases.tables, phrases.owners):
-        lo, hi = index.search(table)
-        some = np.flatnonzero(hi > lo)
-        count = (hi - lo)[some]
-        rows = np.repeat(lo[some] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        at = place[index.locate(rows)]
-        hits.append(np.stack([at, at + table.shape[1]], 1))
-        doc = np.searchsorted(starts, at, side="right") - 1
-        phrase = np.repeat(some, count)
-        pair = np.unique(np.stack([doc, phrase], 1), axis=0) if len(doc) else np.zeros((0, 2), np.int64)
-        owners.extend((int(d), owner[int(p)]) for d, p in pair)
-    hit = np.concatenate(hits)
-    if not len(hit):
-        return spans, items
-    level = np.zeros(len(codes) + 1, np.int64)
-    np.add.at(level, hit[:, 0], 1)
-    np.add.at(level, hit[:, 1], -1)
-    covered = np.cumsum(level)[:-1] > 0
-    edge = covered.copy()
-    edge[1:] &= ~covered[:-1]
-    inner = starts[:-1][starts[:-1] < len(codes)]
-    edge[inner] |= covered[inner]
-    begin = np.flatnonzero(edge)
-    stop = covered.copy()
-    stop[:-1] &= ~covered[1:] | edge[1:]
-    finish = np.flatnonzero(stop) + 1
-    doc = np.searchsorted(starts, begin, side="right") - 1
-    for d in np.unique(doc):
-        own = doc == d
-        spans[d] = np.stack([begin[own], finish[own]], 1) - starts[d]
-    found: dict[int, set[int]] = {}
-    for d, own_items in owners:
-        found.setdefault(d, set()).update(own_items.tolist())
-    for d, own_items in found.items():
-        items[d] = sorted({phrases.ids[i] for i in own_items})
-    return spans, items
-
-
-def phrase_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> list[str]:
-    """Write the benchmark's phrases as block files of bounded size; their paths.
-
-    Items stream through the driver one block at a time, so neither the driver
-    nor a task ever holds more than one block, whatever the benchmark's size.
+class Shard:
+    """An index over documents, in which blocks of phrases are looked for."""
+
+    def __init__(self, docs: list[np.ndarray], vocabulary: np.ndarray, least: int):
+        """``docs`` are hashes of words; ``vocabulary`` the sorted hashes of the benchmark's; ``least`` its shortest phrase."""
+        hashes = np.concatenate([np.zeros(0, np.uint64), *docs])
+        self.starts = np.concatenate([[0], np.cumsum([len(d) for d in docs])]).astype(np.int64)
+        at = np.minimum(np.searchsorted(vocabulary, hashes), max(len(vocabulary) - 1, 0))
+        known = vocabulary[at] == hashes if len(vocabulary) else np.zeros(len(hashes), bool)
+        #: the words of the benchmark that the shard has; a word's code is its place, from 1
+        self.held = np.unique(hashes[known])
+        codes = np.zeros(len(hashes), np.int64)
+        codes[known] = np.searchsorted(self.held, hashes[known]) + 1
+        symbols, self.place = _long_runs(codes, self.starts[:-1], least)
+        self.index = FMIndex(symbols, len(self.held) + 1) if len(symbols) else None
+        self.level = np.zeros(len(hashes) + 1, np.int64)
+        self.items: list[set[str]] = [set() for _ in docs]
+
+    def find(self, phrases: Phrases) -> None:
+        """Note where phrases of a block occur, and in which documents their items."""
+        if self.index is None:
+            return
+        for table, owner in zip(phrases.tables, phrases.owners):
+            at = np.minimum(np.searchsorted(self.held, table), len(self.held) - 1)
+            may = np.flatnonzero((self.held[at] == table).all(1))  # the others hold a word that the shard does not
+            if not len(may):
+                continue
+            lo, hi = self.index.search(at[may] + 1)
+            some = np.flatnonzero(hi > lo)
+            count = (hi - lo)[some]
+            rows = np.repeat(lo[some] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+            begin = self.place[self.index.locate(rows)]
+            np.add.at(self.level, begin, 1)
+            np.add.at(self.level, begin + table.shape[1], -1)
+            doc = np.searchsorted(self.starts, begin, side="right") - 1
+            pairs = np.unique(np.stack([doc, np.repeat(may[some], count)], 1), axis=0)
+            for d, p in pairs.tolist():
+                self.items[d].update(phrases.ids[i] for i in owner[p].tolist())
+
+    def spans(self) -> list[np.ndarray]:
+        """For each document its merged hit spans, an n x 2 table."""
+        starts = self.starts
+        covered = np.cumsum(self.level)[:-1] > 0
+        edge = covered.copy()
+        edge[1:] &= ~covered[:-1]
+        inner = starts[:-1][starts[:-1] < len(covered)]
+        edge[inner] |= covered[inner]
+        begin = np.flatnonzero(edge)
+        stop = covered.copy()
+        stop[:-1] &= ~covered[1:] | edge[1:]
+        finish = np.flatnonzero(stop) + 1
+        doc = np.searchsorted(starts, begin, side="right") - 1
+        out = [np.zeros((0, 2), np.int64)] * (len(starts) - 1)
+        for d in np.unique(doc):
+            own = doc == d
+            out[d] = np.stack([begin[own], finish[own]], 1) - starts[d]
+        return out
+
+
+@dataclass(frozen=True)
+class Blocks:
+    """Files of phrases, the file of all their words' hashes, and the shortest phrase's words."""
+
+    paths: list[str]
+    vocabulary: str
+    least: int
+
+
+def phrase_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> Blocks:
+    """Write the benchmark's phrases as block files of bounded size, a task for each block.
+
+    Rows are dealt in turn, so an item id that many rows share is no hot block.
     """
-    folder = new_folder(benchmark.sparkSession, "phrases")
-    paths: list[str] = []
-    block: list[tuple[str, bytes]] = []
-    size = 0
-
-    def close() -> None:
-        path = f"{folder}/block-{len(paths)}.npz"
-        publish(path, Phrases.of(block, window).dump)
-        paths.append(path)
-
-    rows = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    for row in rows.toLocalIterator():
-        data = (row.text or "").encode("utf-8", "surrogatepass")
-        block.append((row.id if row.id is not None else "", data))
-        size += len(data) // 4 + 1
-        if size >= BLOCK_PHRASES:
-            close()
-            block, size = [], 0
-    if block or not paths:
-        close()
-    return paths
-
-
-def _merge_spans(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    both = np.concatenate([a, b])
-    if not len(a) or not len(b):
-        return both
-    both = both[np.argsort(both[:, 0], kind="stable")]
-    reach = np.maximum.accumulate(both[:, 1])
-    new = np.concatenate([[True], both[1:, 0] > reach[:-1]])
-    at = np.flatnonzero(new)
-    return np.stack([both[at, 0], np.maximum.reduceat(both[:, 1], at)], 1)
+    spark = benchmark.sparkSession
+    folder = new_folder(spark, "phrases")
+    rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items: list[tuple[str, bytes]] = []
+        held, part = 0, 0
+        task = TaskContext.get().partitionId()
+
+        def close() -> pa.RecordBatch:
+            phrases, path = Phrases.of(items, window), f"{folder}/block-{task}-{part}.npz"
+            publish(path, phrases.dump)
+            publish(path + ".words", lambda out: out.write(phrases.words().tobytes()))
+            least = min((t.shape[1] for t in phrases.tables), default=window)
+            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([least], pa.int32())], names=["path", "least"])
+
+        for batch in batches:
+            for item in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
+                items.append(item)
+                held += len(item[1])
+                if held >= block_bytes:
+                    yield close()
+                    items, held, part = [], 0, part + 1
+        if items:
+            yield close()
+
+    blocks = max(1, math.ceil(size / block_bytes))
+    made = sorted(map_texts(rows.repartition(blocks), run, "path string, least int").collect())
+    words = np.unique(np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(_read(r.path + ".words"), np.uint64) for r in made]]))
+    publish(f"{folder}/words", lambda out: out.write(words.tobytes()))
+    return Blocks([r.path for r in made], f"{folder}/words", min((r.least for r in made), default=window))
 
 
 class Scanner:
     """Looks for the phrases of all blocks in texts; loads a block once for each shard."""
 
-    def __init__(self, paths: list[str]):
-        self.paths = paths
-        self.only = Phrases.load(paths[0]) if len(paths) == 1 else None
+    def __init__(self, blocks: Blocks, shard_words: int = SHARD_WORDS):
+        self.blocks, self.shard_words = blocks, shard_words
+        self.vocabulary = np.frombuffer(_read(blocks.vocabulary), np.uint64)
+        self.only = Phrases.load(blocks.paths[0]) if len(blocks.paths) == 1 else None
 
     def scan(self, texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, list[str]]]:
         """``(words, spans, items)`` of each text, shard by shard."""
-        at = 0
-        while at < len(texts):
-            to, size = at, 0
-            while to < len(texts) and (to == at or size + len(texts[to]) // 2 <= SHARD_WORDS):
-                size += len(texts[to]) // 2
-                to += 1
-            yield from self._shard(texts[at:to])
-            at = to
-
-    def _shard(self, texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, list[str]]]:
-        counts, spans, items = [0] * len(texts), [np.zeros((0, 2), np.int64)] * len(texts), [[] for _ in texts]
-        for path in self.paths:
-            phrases = self.only or Phrases.load(path)
-            code = phrases.codes.get
-            docs = []
-            for k, text in enumerate(texts):
-                words = alnum_words(text)
-                counts[k] = len(words)
-                docs.append(np.fromiter(map(code, words, repeat(0)), np.int64, len(words)))
-            more, found = find_in_shard(docs, phrases)
-            spans = [_merge_spans(a, b) for a, b in zip(spans, more)]
-            items = [sorted({*a, *b}) if b else a for a, b in zip(items, found)]
-        return zip(counts, spans, items)
+        docs: list[np.ndarray] = []
+        size = 0
+        for text in texts:
+            docs.append(word_hashes(alnum_words(text)))
+            size += len(docs[-1])
+            if size >= self.shard_words:
+                yield from self._shard(docs)
+                docs, size = [], 0
+        if docs:
+            yield from self._shard(docs)
+
+    def _shard(self, docs: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, list[str]]]:
+        shard = Shard(docs, self.vocabulary, self.blocks.least)
+        for path in self.blocks.paths:
+            shard.find(self.only or Phrases.load(path))
+        return zip(map(len, docs), shard.spans(), map(sorted, shard.items))
 
 
 def hit_words(spans: np.ndarray) -> int:
@@ -346,11 +375,11 @@ def contamination(
     words match nothing; a null item id counts as the empty string; rows with
     the same item id are one item.  Repeated documents are judged each.
     """
-    paths = phrase_blocks(benchmark, item_col, item_text_col, window)
+    blocks = phrase_blocks(benchmark, item_col, item_text_col, window)
     schema = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start: long, stop: long>>, contaminated boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(paths)
+        scanner = Scanner(blocks)
         for batch in batches:
             rows = list(scanner.scan(utf8(batch.column(1))))
             n_words = [n for n, _, _ in rows]
@@ -372,11 +401,11 @@ def contamination(
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, unchanged and with all columns; no shuffle."""
-    paths = phrase_blocks(benchmark, window=window)
+    blocks = phrase_blocks(benchmark, window=window)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(paths)
+        scanner = Scanner(blocks)
         for batch in batches:
             keep = [not is_contaminated(n, hit_words(s)) for n, s, _ in scanner.scan(utf8(batch.column(at)))]
             yield batch.filter(pa.array(keep, pa.bool_()))

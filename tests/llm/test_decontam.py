@@ -51,13 +51,13 @@ def corpus(seed):
 @pytest.mark.parametrize("seed, shard, block", [(1, 4_000_000, 200_000), (2, 100, 200_000), (3, 4_000_000, 20)])
 def test_equals_brute_force(spark, monkeypatch, seed, shard, block):
     docs, items = corpus(seed)
-    monkeypatch.setattr(decontam, "BLOCK_PHRASES", block)
+    whole = decontam.phrase_blocks
+    monkeypatch.setattr(decontam, "phrase_blocks", lambda *a, **k: whole(*a, **k, block_bytes=block))
     frame = spark.createDataFrame([(*r, "x", "y") for r in docs], "doc_id long, text string, items string, n_hit string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    if shard < 1000:  # the shard size holds in this process
-        paths = decontam.phrase_blocks(bench)
-        monkeypatch.setattr(decontam, "SHARD_WORDS", shard)
-        rows = list(decontam.Scanner(paths).scan([(t or "").encode() for _, t in docs]))
+    if shard < 1000:
+        blocks = decontam.phrase_blocks(bench)
+        rows = list(decontam.Scanner(blocks, shard).scan([(t or "").encode() for _, t in docs]))
         got = [(d, n, decontam.hit_words(s), i, decontam.is_contaminated(n, decontam.hit_words(s))) for (d, _), (n, s, i) in zip(docs, rows)]
     else:
         got = [(r.doc_id, r.n_words, r.n_hit, r["items"], r.contaminated) for r in contamination(frame, bench).collect()]
@@ -67,6 +67,35 @@ def test_equals_brute_force(spark, monkeypatch, seed, shard, block):
     assert sorted(got, key=str) == slow(docs, items)
 
 
+def test_one_index_serves_all_blocks(spark, monkeypatch):
+    docs, items = corpus(4)
+    blocks = decontam.phrase_blocks(spark.createDataFrame([(7, t) for _, t in items], "item_id long, text string"), block_bytes=1)
+    assert len(blocks.paths) > 5  # rows of one item id, in many blocks
+    made = []
+    init = FMIndex.__init__
+    monkeypatch.setattr(FMIndex, "__init__", lambda self, *a: made.append(1) or init(self, *a))
+    found = list(decontam.Scanner(blocks).scan([(t or "").encode() for _, t in docs]))
+    assert len(made) == 1
+    got = [(d, n, decontam.hit_words(s), i, decontam.is_contaminated(n, decontam.hit_words(s))) for (d, _), (n, s, i) in zip(docs, found)]
+    assert sorted(got, key=str) == slow(docs, [(7, t) for _, t in items])
+
+
+def test_very_long_text(spark):
+    words = [f"w{i % 997}x{i % 13}" for i in range(300_000)]
+    docs = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, " ".join(words[100:140])), (6, "not there at all")], "item_id long, text string")
+    row = contamination(docs, bench).first()
+    line, window = np.array(words), words[100:140]
+    hit = np.zeros(len(line), bool)
+    for k in range(28):
+        ok = np.ones(len(line) - 12, bool)
+        for j in range(13):
+            ok &= line[j : len(line) - 12 + j] == window[k + j]
+        for at in np.flatnonzero(ok):
+            hit[at : at + 13] = True
+    assert (row.n_words, row.n_hit, row["items"]) == (300_000, int(hit.sum()), ["5"])
+
+
 def test_spans_are_merged(spark):
     docs = spark.createDataFrame([(1, "x a b c a b c y a b c")], "doc_id long, text string")
     bench = spark.createDataFrame([(5, "A b, c")], "item_id long, text string")
