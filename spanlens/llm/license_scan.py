@@ -3,9 +3,11 @@
 The automaton holds every run of words of every template.  A text streams
 through it and yields matching statistics: at each word, the longest run ending
 there that some template contains.  Base phrases are templates too and are read
-off the states on the way.  Longest matches of three words or more are then
-chained, in order in both text and template and over small gaps; a chain that
-covers enough of a template is a span of that template's licence.
+off the states on the way.  Where longest matches have three words or more, the
+templates that share a run of three words with that stretch of text get their own
+matching statistics there, each by its own automaton.  A template's matches are
+then chained, in order in both text and template and over small gaps; a chain
+that covers enough of a template is a span of that template's licence.
 """
 
 from __future__ import annotations
@@ -19,34 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanlens.llm.license_texts import NOTICES, TEXTS
 from spanlens.llm.textbytes import alnum_words, map_texts, utf8
 
 #: The base phrases and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Common notices of public licences, in words.
-TEMPLATES = (
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("apache", "licensed under the apache license version 2 0"),
-    ("apache", "you may not use this file except in compliance with the license"),
-    ("gpl", "licensed under the gnu general public license version"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("lgpl", "gnu lesser general public license"),
-    ("agpl", "gnu affero general public license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("bsd", "under the bsd license"),
-    ("mpl", "mozilla public license"),
-    ("epl", "eclipse public license"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("cc-by", "licensed under cc by 4 0"),
-    ("cc-by-nc", "licensed under cc by nc"),
-    ("cc-by-sa", "licensed under cc by sa"),
-    ("cc-by-nd", "licensed under cc by nd"),
-    ("cc0", "cc0 1 0 universal"),
-    ("cc", "creative commons attribution"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-)
+#: Whole licence texts and short notices.
+TEMPLATES = TEXTS + NOTICES
 
 LEAST_MATCH = 3
 MOST_GAP = 8
@@ -105,6 +87,22 @@ class SuffixAutomaton:
             self.link[new] = self._split(state, symbol, self.next[state][symbol])
         return new
 
+    def matches(self, sequence: list[int]) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+        """Longest runs of ``LEAST_MATCH`` or more that also stand here: where they lie, and where they end here."""
+        state = size = 0
+        for i, symbol in enumerate(sequence):
+            if symbol not in self.next[state]:
+                if size >= LEAST_MATCH:
+                    yield i - size, i, self.ends[state]
+                while state and symbol not in self.next[state]:
+                    state = self.link[state]
+                    size = self.length[state]
+            if symbol in self.next[state]:
+                state = self.next[state][symbol]
+                size += 1
+        if size >= LEAST_MATCH:
+            yield len(sequence) - size, len(sequence), self.ends[state]
+
     def find(self, sequence: list[int]) -> int:
         state = 0
         for symbol in sequence:
@@ -112,16 +110,31 @@ class SuffixAutomaton:
         return state
 
 
+def _merged(matches: list[tuple[int, int]]) -> list[list[int]]:
+    """Intervals in order of their ends as disjoint stretches."""
+    out: list[list[int]] = []
+    for lo, hi in matches:
+        while out and lo < out[-1][1]:
+            lo = min(lo, out.pop()[0])
+        out.append([lo, hi])
+    return out
+
+
 class LicenseScanner:
     def __init__(self, base=BASE, templates=TEMPLATES):
-        lines = [phrase.split() for phrase, _ in base] + [text.split() for _, text in templates]
+        lines = [alnum_words(text.encode()) for text in [phrase for phrase, _ in base] + [text for _, text in templates]]
         self.labels = [label for _, label in base] + [label for label, _ in templates]
         self.n_base = len(base)
         self.codes: dict[bytes, int] = {}
-        coded = [[self.codes.setdefault(w.encode(), len(self.codes) + 1) for w in line] for line in lines]
+        coded = [[self.codes.setdefault(w, len(self.codes) + 1) for w in line] for line in lines]
         self.sizes = [len(line) for line in lines]
         self.automaton = SuffixAutomaton(coded)
         self.shortest = min(self.sizes)
+        self.own = {k: SuffixAutomaton([coded[k]]) for k in range(self.n_base, len(lines))}
+        self.grams: dict[tuple[int, ...], set[int]] = defaultdict(set)
+        for k in self.own:
+            for i in range(len(coded[k]) - LEAST_MATCH + 1):
+                self.grams[tuple(coded[k][i : i + LEAST_MATCH])].add(k)
         # phrases that end wherever a state's longest string ends: (length, phrase)
         here = defaultdict(list)
         for k in range(self.n_base):
@@ -144,13 +157,14 @@ class LicenseScanner:
         words = alnum_words(text)
         follow, link, length, phrases = self.automaton.next, self.automaton.link, self.automaton.length, self.phrases
         hits: list[tuple[int, int]] = []
-        matches: list[tuple[int, int, int]] = []  # (start, stop, state)
+        stretches: list[tuple[int, list[int]]] = []  # where matches of some length lie: start, codes
         for begin, codes in self._runs(words):
             state = size = 0
-            for i, symbol in enumerate(codes, begin):
+            matches: list[tuple[int, int]] = []
+            for i, symbol in enumerate(codes):
                 if symbol not in follow[state]:
                     if size >= LEAST_MATCH:
-                        matches.append((i - size, i, state))
+                        matches.append((i - size, i))
                     while state and symbol not in follow[state]:
                         state = link[state]
                         size = length[state]
@@ -159,18 +173,20 @@ class LicenseScanner:
                     size += 1
                 for n, k in phrases[state]:
                     if n <= size:
-                        hits.append((i + 1 - n, k))
+                        hits.append((begin + i + 1 - n, k))
             if size >= LEAST_MATCH:
-                matches.append((begin + len(codes) - size, begin + len(codes), state))
-        return len(words), hits, self._chain(matches) if matches else []
+                matches.append((len(codes) - size, len(codes)))
+            for lo, hi in _merged(matches):
+                stretches.append((begin + lo, codes[lo:hi]))
+        return len(words), hits, self._chain(stretches) if stretches else []
 
-    def _chain(self, matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
+    def _chain(self, stretches: list[tuple[int, list[int]]]) -> list[tuple[int, int, int, float]]:
         """Spans of templates whose chained matches cover enough of them."""
         by_template: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
-        for start, stop, state in matches:
-            for k, end in self.automaton.ends[state]:
-                if k >= self.n_base:
-                    by_template[k].append((start, stop, end - (stop - start), end))
+        for begin, codes in stretches:
+            grams = zip(*[codes[i:] for i in range(LEAST_MATCH)])
+            for k in sorted(set().union(*[self.grams.get(g, ()) for g in grams])):
+                by_template[k] += [(begin + lo, begin + hi, end - (hi - lo), end) for lo, hi, ends in self.own[k].matches(codes) for _, end in ends]
         spans = []
         for k, found in by_template.items():
             found.sort()
