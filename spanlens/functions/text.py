@@ -76,12 +76,23 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+#: Items that one walk takes; longer arrays are walked in parts of this (even) size.
+STEP = 64
+
+
+def in_parts(items: Column, walk: Callable[[Column, Column], Column]) -> Column:
+    """Arrays that ``walk(part, number of the part)`` makes of parts of an array, one after the other."""
+    last = F.floor((F.size(items) - 1) / STEP).cast("int")
+    return F.flatten(F.transform(F.sequence(F.lit(0), last), lambda c: walk(F.slice(items, c * STEP + 1, F.lit(STEP)), c)))
+
+
 def spans(text: Column, rule: str, groups: int = 0) -> Column:
     """All matches of a pattern, as an array of ``(idx, quote, g1, ...)`` in order of place.
 
     Matches are put between marks and the text is cut there, so every second
     piece is a match and places are running lengths.  The marks' own characters
-    count as spaces.
+    count as spaces.  Pieces are walked in parts that begin at sums of lengths, as
+    one walk copies all it has found at every step.
     """
     clear = F.translate(text, MARK + PART, "  ")
     inner = "".join(f"${g}{PART}" for g in range(1, groups + 1)) + "$0"
@@ -93,16 +104,29 @@ def spans(text: Column, rule: str, groups: int = 0) -> Column:
         named = [at.alias("idx"), F.element_at(parts, -1).alias("quote")]
         return F.struct(*named, *[parts[g - 1].alias(f"g{g}") for g in range(1, groups + 1)])
 
+    def length(piece: Column) -> Column:
+        return F.char_length(F.substring_index(piece, PART, -1))
+
     def step(state: Column, piece: Column) -> Column:
         odd = state["odd"]
-        quote = F.when(odd, F.element_at(F.split(piece, PART, -1), -1)).otherwise(piece)
         found = F.when(odd, F.concat(state["found"], F.array(match(piece, state["at"]))).cast(kind)).otherwise(state["found"])
-        return F.struct((state["at"] + F.char_length(quote)).alias("at"), (~odd).alias("odd"), found.alias("found"))
+        return F.struct((state["at"] + length(piece)).alias("at"), (~odd).alias("odd"), found.alias("found"))
+
+    def walk(part: Column, at: Column) -> Column:
+        start = F.struct(at.alias("at"), F.lit(False).alias("odd"), F.array().cast(kind).alias("found"))
+        return F.aggregate(part, start, step, lambda s: s["found"])
+
+    def begins(all_pieces: Column) -> Column:
+        sums = in_parts(all_pieces, lambda part, c: F.array(F.aggregate(part, F.lit(0), lambda n, piece: n + length(piece))))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+        return F.aggregate(sums, start, lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")), lambda s: s["all"])
+
+    def scan(all_pieces: Column) -> Column:
+        long = let(begins(all_pieces), lambda at: in_parts(all_pieces, lambda part, c: walk(part, F.get(at, c))))
+        return F.when(F.size(all_pieces) <= STEP, walk(all_pieces, F.lit(0))).otherwise(long)
 
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd"), F.array().cast(kind).alias("found"))
-    walked = F.aggregate(pieces, start, step, lambda s: s["found"])
     # no marks, no walk: most texts hold no match of most patterns
-    return F.when(text.isNotNull() & text.rlike(rule), walked).otherwise(F.array().cast(kind))
+    return F.when(text.isNotNull() & text.rlike(rule), let(pieces, scan)).otherwise(F.array().cast(kind))
 
 
 def first_replaced(text: Column, part: Column, by: str = "") -> Column:

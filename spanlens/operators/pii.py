@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanlens.functions.text import let, pattern, spans
+from spanlens.functions.text import STEP, in_parts, let, pattern, spans
 
 #: Kinds and patterns, in order of priority; the flag is for letter case.
+#: White space stands beside character classes, not in them, as `pattern` puts a class in its place.
 PATTERNS = (
     ("email", r"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}|[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\n[A-Za-z0-9.-]*[A-Za-z]{2,}", False),
     ("cpf", r"(?:CPF\s*:?\s*)?\b\d{3}\.\d{3}\.\d{3}-\d{2}\b", True),
@@ -22,8 +23,8 @@ PATTERNS = (
     ("idade", r"(?:idade\s*:?\s*)?\b(?:1[6-9]|[2-9]\d)\s+anos\b(?!\s*(?:\d|e\s+\d|de|em|no|na|meses))", True),
 )
 
-#: What a text must hold for a kind to be worth its pattern: one of some words in
-#: lower case, or (after the marker) a shape of digits.
+#: What every match of a kind's patterns holds, so that most texts are spared the patterns: one
+#: of some words in lower case, or (after the marker) a shape of digits, written as the patterns are.
 SHAPE = "\x00"
 HINTS = {
     "email": ("@",),
@@ -31,7 +32,7 @@ HINTS = {
     "rg": ("rg", "identidade", "registro geral"),
     "nascimento": ("nasc",),
     "cep": (SHAPE, r"\d{5}-\d{3}"),
-    "telefone": (SHAPE, r"\d{4}[\s\u00A0.-]*\d{4}"),
+    "telefone": (SHAPE, r"\d{4}(?:\s|[.-])*\d{4}"),
     "endereco": ("rua", "r.", "av.", "avenida", "alameda", "travessa", "praça", "praca", "estrada", "rodovia"),
     "sexo": ("sexo", "gênero", "genero"),
     "estado-civil": ("solteir", "casad", "divorciad", "viúv", "viuv", "separad", "união", "uniao"),
@@ -71,48 +72,84 @@ def lookup(names: dict[str, str], key: Column) -> Column:
     return F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[key]
 
 
-def pii_spans(text: Column) -> Column:
-    """Spans in order of place; one that touches a span of higher priority is left out whole."""
-    def tagged(kind: str, found: Column) -> Column:
-        return F.transform(found, lambda s: F.struct(F.lit(kind).alias("kind"), s["idx"].alias("idx"), s["quote"].alias("quote")))
+#: Letters that patterns without case take for others, and what lower case leaves as they are.
+_ALIKE = ("\u017F\u0131\u0130\u212A", "siik")
+
+
+def lowered(text: Column) -> Column:
+    """A text in the form in which hints are looked for."""
+    return F.lower(F.translate(text, *_ALIKE))
+
+
+def hinted(kind: str, low: Column) -> Column:
+    """Whether a `lowered` text holds what every match of a kind holds; false only where nothing can match."""
+    first, *rest = HINTS[kind]
+    if first == SHAPE:
+        return low.rlike(pattern(rest[0], ignore_case=False))
+    hit = F.contains(low, F.lit(first))
+    for word in rest:
+        hit = hit | F.contains(low, F.lit(word))
+    return hit
+
+
+_FOUND = "array<struct<idx:int,kind:string,quote:string>>"
 
-    def hinted(kind: str, low: Column) -> Column:
-        first, *rest = HINTS[kind]
-        if first == SHAPE:
-            return low.rlike(rest[0])
-        hit = F.contains(low, F.lit(first))
-        for word in rest:
-            hit = hit | F.contains(low, F.lit(word))
-        return hit
 
-    none = F.array().cast(SPAN)
+def _end(span: Column) -> Column:
+    return span["idx"] + F.char_length(span["quote"])
 
-    def scan(low: Column) -> Column:
-        return F.concat(*[F.when(hinted(kind, low), tagged(kind, spans(text, pattern(rule, ignore)))).otherwise(none) for kind, rule, ignore in PATTERNS])
 
-    found = let(F.lower(text), scan)
+def _added(taken: Column, new: Column) -> Column:
+    """``taken`` (disjoint, in order) with those of ``new`` that touch none of it, again in order.
+
+    Where ``taken`` is long, a span is held only against the parts of it that lie around the span.
+    """
 
     def clash(a: Column, b: Column) -> Column:
-        return (a["idx"] < b["idx"] + F.char_length(b["quote"])) & (b["idx"] < a["idx"] + F.char_length(a["quote"]))
+        return (a["idx"] < _end(b)) & (b["idx"] < _end(a))
+
+    def apart(old: Column) -> Column:
+        return F.filter(new, lambda s: ~F.exists(old, lambda t: clash(s, t)))
+
+    def apart_by_part(old: Column) -> Column:
+        part = lambda part, c: F.array(F.struct(c.alias("c"), part[0]["idx"].alias("idx"), _end(F.element_at(part, -1)).alias("end")))
+        near = lambda s, p: (s["idx"] < p["end"]) & (p["idx"] < _end(s)) & F.exists(F.slice(old, p["c"] * STEP + 1, F.lit(STEP)), lambda t: clash(s, t))
+        return let(in_parts(old, part), lambda parts: F.filter(new, lambda s: ~F.exists(parts, lambda p: near(s, p))))
+
+    kept = F.when(F.size(taken) <= STEP, apart(taken)).otherwise(apart_by_part(taken))
+    return F.when(F.size(new) == 0, taken).otherwise(F.sort_array(F.concat(taken, kept)))
+
+
+def pii_spans(text: Column) -> Column:
+    """Spans in order of place; one that touches a span of higher priority is left out whole."""
+    def found(low: Column, kind: str, rule: str, ignore: bool) -> Column:
+        tagged = F.transform(spans(text, pattern(rule, ignore)), lambda s: F.struct(s["idx"].alias("idx"), F.lit(kind).alias("kind"), s["quote"].alias("quote")))
+        return F.when(hinted(kind, low), tagged).otherwise(F.array().cast(_FOUND))
 
-    accepted = F.aggregate(
-        found.cast(SPAN), F.array().cast(SPAN), lambda got, new: F.when(F.exists(got, lambda old: clash(old, new)), got).otherwise(F.concat(got, F.array(new)).cast(SPAN))
-    )
-    return F.array_sort(accepted, lambda a, b: a["idx"] - b["idx"])
+    by_kind = let(lowered(text), lambda low: F.array(*[found(low, *p) for p in PATTERNS]))
+    taken = F.aggregate(by_kind, F.array().cast(_FOUND), lambda taken, new: _added(taken, new).cast(_FOUND))
+    taken = F.coalesce(taken, F.array().cast(_FOUND))  # a null text
+    return F.transform(taken, lambda s: F.struct(s["kind"].alias("kind"), s["idx"].alias("idx"), s["quote"].alias("quote"))).cast(SPAN)
 
 
 def replace_spans(text: Column, found: Column) -> Column:
     """``text`` with each span of ``found`` (disjoint, in order) as the label of its kind."""
 
-    def step(state: Column, span: Column) -> Column:
-        between = F.call_function("substring", text, state["at"] + 1, span["idx"] - state["at"])
-        return F.struct(
-            F.concat(state["out"], between, lookup(LABELS, span["kind"])).alias("out"), (span["idx"] + F.char_length(span["quote"])).alias("at")
+    def before(i: Column) -> Column:  # where the span before ends
+        return F.when(i == 0, 0).otherwise(_end(F.get(found, i - 1)))
+
+    def cut(part: Column, c: Column) -> Column:  # a part's own stretch of text, so that no place is far from its start
+        first = c * STEP
+        stretch = F.call_function("substring", text, before(first) + 1, _end(F.element_at(part, -1)) - before(first))
+        return let(
+            F.struct(stretch.alias("text"), before(first).alias("at")),
+            lambda own: F.transform(
+                part, lambda s, i: F.concat(F.call_function("substring", own["text"], before(first + i) - own["at"] + 1, s["idx"] - before(first + i)), lookup(LABELS, s["kind"]))
+            ),
         )
 
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    done = F.aggregate(found, start, step, lambda s: F.concat(s["out"], F.call_function("substring", text, s["at"] + 1)))
-    return F.when(F.size(found) == 0, text).otherwise(done)
+    rest = F.call_function("substring", text, _end(F.element_at(found, -1)) + 1)
+    return F.when(F.size(found) == 0, text).otherwise(F.concat(F.array_join(in_parts(found, cut), ""), rest))
 
 
 def redact(text: Column) -> Column:
