@@ -10,15 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanlens.functions.text import pattern, trim
-from spanlens.operators.clean import is_location
-from spanlens.operators.sections import by_line, detect_heading, so_far
+from spanlens.operators.sections import by_line, so_far
 from spanlens.operators.stints import classed_lines
 
 LEAST_CHARS = 40
 OPEN_CARDS = 7
 BULLET = r"\A\s*(?:[•·▪●◦‣*–—-]|\d{1,2}[.)])\s+"
 
-#: What to ask for where a number is missing.
+#: What to ask for where a number is missing, by topic.
 QUESTIONS = (
     ("quantidade", "Quantos itens, pessoas ou clientes isso envolveu?"),
     ("resultado", "Quanto mudou, comparado com antes?"),
@@ -47,7 +46,7 @@ def paragraphs(lines: DataFrame) -> DataFrame:
     over = (ahead(1) == "period") | (ahead(1).isin("label", "duration") & (ahead(2) == "period"))
     under = (behind == "period") & (F.upper(line) == line) & (F.lower(line) != line)
     header = (F.col("sort") == "label") & ~marked & (F.coalesce(over, F.lit(False)) | F.coalesce(under, F.lit(False)))
-    wall = F.col("sort").isin("blank", "period", "duration") | detect_heading(line).isNotNull() | is_location(line)
+    wall = F.col("sort").isin("blank", "period", "duration") | F.col("heading") | F.col("place")
     rows = rows.withColumns({"wall": wall, "header": header & ~wall, "marked": marked})
     lag = lambda c: F.lag(c).over(by_line())
     opens = F.col("marked") | F.coalesce(lag("wall"), F.lit(True)) | (F.col("header") != F.coalesce(lag("header"), F.lit(False)))
@@ -59,9 +58,9 @@ def paragraphs(lines: DataFrame) -> DataFrame:
     return found.where("text <> ''")
 
 
-def described(lines: DataFrame) -> DataFrame:
-    """Sentences of paragraphs that are no headers: ``(doc_id, line_no, ord, quote)``."""
-    rows = paragraphs(lines).where(~F.col("is_header"))
+def described(paras: DataFrame) -> DataFrame:
+    """Sentences of `paragraphs` that are no headers: ``(doc_id, line_no, ord, quote)``."""
+    rows = paras.where(~F.col("is_header"))
     return rows.select("doc_id", "line_no", F.posexplode(sentences(F.col("text"))).alias("ord", "quote"))
 
 
@@ -74,13 +73,13 @@ def _as_of(rows: DataFrame, stints: DataFrame) -> DataFrame:
     return both.where("after = 1").select("doc_id", "own.*", "stint")
 
 
-def missing_metrics(lines: DataFrame, stints: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
-    """``(doc_id, ord, quote, label, metric_key)``: sentences of some length without a digit.
+def missing_metrics(paras: DataFrame, stints: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
+    """``(doc_id, ord, quote, label, metric_key)``: sentences of `paragraphs` of some length without a digit.
 
     Those of the latest period come first, in order of the document; those
     without a period come last.
     """
-    found = described(lines).where((F.char_length("quote") >= least) & ~F.col("quote").rlike("[0-9]"))
+    found = described(paras).where((F.char_length("quote") >= least) & ~F.col("quote").rlike("[0-9]"))
     rows = _as_of(found, stints)
     order = Window.partitionBy("doc_id").orderBy(F.col("stint.start_ym").desc_nulls_last(), F.col("stint.pos").asc_nulls_last(), "line_no", "ord")
     return rows.select(
@@ -96,9 +95,9 @@ def metric_key(label: Column, quote: Column) -> Column:
     return F.concat_ws("\x01", F.coalesce(label, F.lit("")), quote)
 
 
-def silent_stints(lines: DataFrame, stints: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
-    """Stints without a paragraph of some length before the next period: a left anti join."""
-    texts = paragraphs(lines).where(~F.col("is_header") & (F.char_length("text") >= least)).select("doc_id", "line_no", "para_no")
+def silent_stints(paras: DataFrame, stints: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
+    """Stints without one of `paragraphs` of some length before the next period: a left anti join."""
+    texts = paras.where(~F.col("is_header") & (F.char_length("text") >= least)).select("doc_id", "line_no", "para_no")
     spoken = _as_of(texts, stints).where("stint IS NOT NULL").select("doc_id", F.col("stint.pos").alias("pos"))
     return stints.join(spoken, ["doc_id", "pos"], "left_anti")
 
@@ -112,3 +111,10 @@ def metric_answers(metrics: DataFrame, answers: DataFrame) -> DataFrame:
 def metric_cards(metrics: DataFrame, most: int = OPEN_CARDS) -> DataFrame:
     """Findings with whether they are shown open: the first ``most`` of a document."""
     return metrics.withColumn("shown", F.col("ord") <= most)
+
+
+def metric_questions(cards: DataFrame) -> DataFrame:
+    """``(doc_id, ord, k, topic, question)``: what to ask for each finding of `metric_cards` that is shown open."""
+    asked = F.array(*[F.struct(F.lit(topic).alias("topic"), F.lit(question).alias("question")) for topic, question in QUESTIONS])
+    rows = cards.where("shown").select("doc_id", "ord", F.posexplode(asked).alias("k", "q"))
+    return rows.select("doc_id", "ord", "k", "q.topic", "q.question")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanlens.functions.text import flat, pattern
-from spanlens.operators.metrics import LEAST_CHARS, paragraphs, sentences
+from spanlens.operators.metrics import LEAST_CHARS, sentences
 
 #: Axes, their names, and what is said where an axis has no evidence.
 AXES = ("decisao", "responsabilidade", "lideranca")
@@ -63,10 +63,10 @@ def _evidence(paras: DataFrame, strict: bool) -> DataFrame:
     return rows.select("doc_id", "para_no", "text", "part", F.col("c.quote").alias("quote"), F.explode_outer("c.axes").alias("axis"))
 
 
-def scope_evidence(experience_lines: DataFrame, claim_lines: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
-    """``(doc_id, status, axis, quote, ord)``: proven in experience, claimed elsewhere, or unclassified."""
-    inside = _evidence(paragraphs(experience_lines).where(~F.col("is_header")), strict=True)
-    outside = _evidence(paragraphs(claim_lines), strict=False)
+def scope_evidence(experience: DataFrame, claims: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
+    """``(doc_id, status, axis, quote, ord)`` of `paragraphs`: proven in experience, claimed elsewhere, or unclassified."""
+    inside = _evidence(experience.where(~F.col("is_header")), strict=True)
+    outside = _evidence(claims, strict=False)
     rank = F.array_position(F.array(*[F.lit(a) for a in AXES]), F.col("axis")).cast("int")
     order = (F.col("para_no") * 1_000_000 + F.col("part") * 10 + F.coalesce(rank, F.lit(0))).cast("long")
     proven = inside.where("axis IS NOT NULL").select("doc_id", F.lit("proven").alias("status"), "axis", "quote", order.alias("ord"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanlens.functions.text import SPACE, collapse, first_replaced, flat, is_blank, let, pattern, strip_accents, words
+from spanlens.operators.clean import is_location
 from spanlens.operators.periods import has_period
 from spanlens.operators.sections import by_line, detect_heading
 
@@ -54,8 +55,15 @@ def same_line_label(line: Column, quote: Column) -> Column:
 
 
 def classed_lines(lines: DataFrame) -> DataFrame:
-    """Lines with ``label`` (cleaned) and ``sort``: blank, period, duration, label or other."""
-    rows = lines.withColumns({"label": clean_label(F.col("line")), "has_one": has_period(F.col("line"))})
+    """Lines with ``label`` (cleaned), ``sort``: blank, period, duration, label or other, and ``heading`` and ``place``.
+
+    The patterns of periods and headings make this the dearest step on lines; lines that have
+    been classified are taken as they are.
+    """
+    if "sort" in lines.columns:
+        return lines
+    rows = lines.withColumns({"heading": detect_heading(F.col("line")).isNotNull(), "place": is_location(F.col("line"))})
+    rows = rows.withColumns({"label": clean_label(F.col("line")), "has_one": has_period(F.col("line"))})
     rows = rows.withColumn("labels", _is_label(F.col("label"), F.col("has_one")))
     sort = (
         F.when(is_blank(F.col("line")), "blank")

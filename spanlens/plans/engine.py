@@ -71,11 +71,19 @@ class Analysis:
 
     @cached_property
     def experience_lines(self) -> DataFrame:
-        return self._shared(sections.line_rows(self.experience))
+        return sections.line_rows(self.experience)
 
     @cached_property
-    def claim_lines(self) -> DataFrame:
-        return sections.line_rows(sections.kind_text(self.blocks, scope.CLAIMING))
+    def classed_lines(self) -> DataFrame:
+        return self._shared(stints.classed_lines(self.experience_lines))
+
+    @cached_property
+    def paragraphs(self) -> DataFrame:
+        return self._shared(metrics.paragraphs(self.classed_lines))
+
+    @cached_property
+    def claims(self) -> DataFrame:
+        return metrics.paragraphs(sections.line_rows(sections.kind_text(self.blocks, scope.CLAIMING)))
 
     @cached_property
     def periods(self) -> DataFrame:
@@ -83,7 +91,7 @@ class Analysis:
 
     @cached_property
     def stints(self) -> DataFrame:
-        return self._shared(stints.job_stints(self.experience_lines, self.periods))
+        return self._shared(stints.job_stints(self.classed_lines, self.periods))
 
     @cached_property
     def gaps(self) -> DataFrame:
@@ -111,15 +119,15 @@ class Analysis:
 
     @cached_property
     def missing_metrics(self) -> DataFrame:
-        return metrics.missing_metrics(self.experience_lines, self.stints)
+        return self._shared(metrics.missing_metrics(self.paragraphs, self.stints))
 
     @cached_property
     def silent_stints(self) -> DataFrame:
-        return metrics.silent_stints(self.experience_lines, self.stints)
+        return metrics.silent_stints(self.paragraphs, self.stints)
 
     @cached_property
     def scope(self) -> DataFrame:
-        return self._shared(scope.scope_evidence(self.experience_lines, self.claim_lines))
+        return self._shared(scope.scope_evidence(self.paragraphs, self.claims))
 
     @cached_property
     def empty_axes(self) -> DataFrame:

@@ -62,13 +62,19 @@ def extract_fenced(markdown: Column) -> Column:
 
 
 def write_dossiers(dossiers: DataFrame, path: str) -> None:
-    """One Markdown text for each document, in files by ``doc_id`` bucket; readable by `read_dossiers`."""
+    """One Markdown text for each document; readable by `read_dossiers`."""
     dossiers.select("doc_id", "markdown").write.mode("overwrite").parquet(path)
 
 
-def write_markdown(dossiers: DataFrame, path: str) -> None:
-    """Plain ``.md`` text below ``doc_id=...`` folders."""
-    dossiers.select("doc_id", F.col("markdown").alias("value")).repartition("doc_id").write.mode("overwrite").partitionBy("doc_id").text(path)
+def write_markdown(dossiers: DataFrame, path: str, buckets: int = 256) -> None:
+    """Plain text below ``bucket=...`` folders, a file with many documents in each.
+
+    Every document is headed by a line ``<!-- document <id> -->``; the number of files is bounded
+    by ``buckets``, not by the documents.
+    """
+    marked = F.concat(F.lit("<!-- document "), F.col("doc_id").cast("string"), F.lit(" -->\n"), F.col("markdown"))
+    rows = dossiers.select(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket"), "doc_id", marked.alias("value"))
+    rows.repartition("bucket").sortWithinPartitions("bucket", "doc_id").drop("doc_id").write.mode("overwrite").partitionBy("bucket").text(path)
 
 
 def read_dossiers(spark: SparkSession, path: str) -> DataFrame:

@@ -80,9 +80,10 @@ def test_metrics(spark):
     from spanlens.operators.periods import period_rows
 
     found = stints.job_stints(lines, period_rows(docs(spark, text)))
-    missing = metrics.missing_metrics(lines, found).collect()
+    paras = metrics.paragraphs(lines)
+    missing = metrics.missing_metrics(paras, found).collect()
     assert [(r.quote, r.label) for r in missing] == [("Conduzi a implantação do novo sistema de vendas da empresa em todas as regionais.", "Acme — Analista")]
-    assert [r.label for r in metrics.silent_stints(lines, found).collect()] == ["Beta — Gerente"]
+    assert [r.label for r in metrics.silent_stints(paras, found).collect()] == ["Beta — Gerente"]
 
 
 def test_scope_axes(spark):
@@ -234,8 +235,103 @@ def test_stream(spark, tmp_path):
 def test_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text("Olá\nmundo")
     assert read_text_files(spark, str(tmp_path / "a.txt")).first().text == "Olá\nmundo"
-    write_markdown(spark.createDataFrame([(7, "# x\ny")], "doc_id long, markdown string"), str(tmp_path / "md"))
-    assert [r.value for r in spark.read.text(str(tmp_path / "md" / "doc_id=7")).collect()] == ["# x", "y"]
+    write_markdown(spark.createDataFrame([(7, "# x\ny"), (5, "z")], "doc_id long, markdown string"), str(tmp_path / "md"), buckets=1)
+    files = list((tmp_path / "md" / "bucket=0").glob("*.txt"))
+    assert [f.read_text() for f in files] == ["<!-- document 5 -->\nz\n<!-- document 7 -->\n# x\ny\n"]
+
+
+def test_pdf_pages_become_items(spark, tmp_path, monkeypatch):
+    """With a stand-in for the library: its spans are items in the order and places that layout takes."""
+    from spanlens.sources import pdf
+
+    (tmp_path / "fitz.py").write_text(
+        """
+class Page:
+    class rect:
+        width, height = 600.0, 800.0
+    def __init__(self, spans):
+        self.spans = spans
+    def get_text(self, kind):
+        lines = [{"spans": [{"text": t, "bbox": (x, 0, x + w, 0), "size": 10, "origin": (x, y)} for t, x, y, w in self.spans]}]
+        return {"blocks": [{"lines": lines}, {"image": b""}]}
+class Document(list):
+    def __enter__(self):
+        return self
+    def __exit__(self, *a):
+        pass
+def open(stream, filetype):
+    assert filetype == "pdf"
+    return Document(Page(eval(p)) for p in stream.decode().splitlines())
+"""
+    )
+    spark.sparkContext.addPyFile(str(tmp_path / "fitz.py"))
+    (tmp_path / "a.pdf").write_text("[('mundo', 60.0, 100.0, 30.0), ('Olá', 20.0, 100.0, 30.0)]\n[('fim', 20.0, 50.0, 9.0)]")
+    monkeypatch.setattr(pdf, "available", lambda: True)
+    raw = pdf.read_pdf_items(spark, str(tmp_path / "*.pdf"))
+    pages = raw.select("doc_id", "page_no", F.col("page_width").alias("width"), F.col("page_height").alias("height")).distinct()
+    found = layout.page_text(layout.normalize_items(raw), pages).orderBy("page_no").collect()
+    assert [(r.page_no, r.text) for r in found] == [(1, "Olá mundo"), (2, "fim")]
+
+
+def slow_page(items, width):
+    """Text of a page from its definition, item by item."""
+    blank = lambda t: not t.strip()
+
+    def lines(some):
+        left = sorted((i for i in some if i[0] != ""), key=lambda i: (-i[2], i[1]))
+        tall = sorted(i[4] for i in left if i[4] > 0)
+        reach = 0.5 * (tall[len(tall) // 2] if tall else 10.0)
+        out = []
+        while left:
+            row = [i for i in left if left[0][2] - i[2] <= reach]
+            left = left[len(row) :]
+            said, edge = "", None
+            for t, x, _, w, h in sorted(row, key=lambda i: i[1]):
+                said += (" " if edge is not None and x - edge > 0.2 * h and not said[-1].isspace() else "") + t
+                edge = x + w
+            out.append(" ".join(said.split()))
+        return [x for x in out if x]
+
+    body = [i for i in items if not blank(i[0]) and i[3] < 0.6 * width]
+    covered = {b for _, x, _, w, _ in body for b in range(max(0, int(x // 1)), min(int(width + 0.5) - 1, -int(-(x + w) // 1)) + 1)}
+    best = None
+    for a in range(int(width + 0.5)):
+        for b in range(a + 1, int(width + 0.5) + 1):
+            if any(k in covered for k in range(a, b)):
+                break
+            if (a == 0 or a - 1 in covered) and (b == int(width + 0.5) or b in covered) and b - a >= 0.03 * width and 0.2 * width <= (a + b) / 2 <= 0.8 * width:
+                best = max(best or (0, 0.0), (b - a, (a + b) / 2), key=lambda r: r[0])
+    g = best and best[1]
+    if not g or min(sum(i[1] + i[3] <= g for i in body), sum(i[1] >= g for i in body)) < 0.15 * len(body):
+        return "\n".join(lines(items))
+    cross = [i for i in items if i[1] < g < i[1] + i[3]]
+    tops = sorted({i[2] for i in cross if not blank(i[0])}, reverse=True)
+    out = []
+    for k in range(len(tops) + 1):
+        own = [i for i in items if i not in cross and sum(t > i[2] + 1 for t in tops) == k]
+        out += lines([i for i in own if i[1] + i[3] <= g]) + lines([i for i in own if i[1] > g])
+        if k < len(tops):
+            out += lines([i for i in cross if i[2] == tops[k] and not blank(i[0])])
+    return "\n".join(out)
+
+
+def test_layout_equals_its_definition():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(8)
+    two = 0
+    for _ in range(150):
+        items = []
+        for _ in range(rng.randint(0, 30)):
+            x = rng.choice([rng.uniform(0, 20), rng.uniform(52, 60), rng.uniform(0, 90)])
+            items.append((rng.choice(["a", "bc", " ", "", "d ", " e"]), x, rng.choice([10.0, 11.0, 14.0, 20.0, 23.0, 40.0]), rng.choice([5.0, 20.0, 30.0, 95.0]), rng.choice([0.0, 4.0, 10.0])))
+        columns = [np.array([i[k] for i in items], object if k == 0 else float) for k in range(5)]
+        page = layout.Page(*columns, 100.0)
+        two += page.gutter() is not None
+        assert page.reading() == slow_page(items, 100.0), items
+    assert two > 20
 
 
 def test_pdf_needs_a_library(spark, tmp_path):
