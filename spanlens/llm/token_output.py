@@ -35,7 +35,8 @@ from spanlens.llm.textbytes import map_texts
 MAGIC = b"TOKREC01"
 SHARD_BYTES = 32 << 20
 MOST_SHARDS = 100_000
-CACHE_UNITS = 330_000
+#: Most bytes of each of an encoder's three tables, and what an entry takes besides its word and ids.
+TABLE_BYTES, ENTRY_BYTES = 16 << 20, 200
 READ_PIECE = 8 << 20
 
 
@@ -50,8 +51,8 @@ class Encoder:
     For a byte-level BPE with its usual splitting pattern, a space that follows
     a non-space always starts a new piece, so a text falls into units there and
     the units' ids are the text's ids.  Units met before come from a table;
-    one that holds ``CACHE_UNITS`` entries becomes the older of two and a new one
-    is begun, so memory is bounded and words that come again are kept.
+    one of ``TABLE_BYTES`` becomes the older of two and a new one is begun, so
+    memory is bounded and words that come again are kept.
     Other kinds of tokenizers encode each whole text.  Strings of special
     tokens within a text are ordinary text.
     """
@@ -59,6 +60,7 @@ class Encoder:
     #: The splitting pattern and the bytes that stand for themselves in byte-level BPE.
     PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
     PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*\Z")
+    MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
     CUT = re.compile(r"(?<=\S)(?= )")
 
     def __init__(self, path: str, end_id: int):
@@ -85,6 +87,7 @@ class Encoder:
         self.units: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.units_bytes = self.pieces_bytes = 0
 
     def _pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.type).tobytes()
@@ -101,28 +104,45 @@ class Encoder:
         if found is None:
             found = self._bpe(piece)
             if piece[0] != " ":
-                if len(self.pieces) >= CACHE_UNITS:
-                    self.pieces.clear()
+                self.pieces_bytes += len(piece) + len(found) + ENTRY_BYTES
+                if self.pieces_bytes > TABLE_BYTES:
+                    self.pieces, self.pieces_bytes = {}, 0
                 self.pieces[piece] = found
         return found
 
-    def _learn(self, words: set[str]) -> None:
+    def _unit(self, word: str) -> bytes | None:
+        """Ids of a space and a word of plain characters, piece by piece; None for other words."""
+        if word.isascii() and word.isalpha():
+            return self._bpe(" " + word)  # such a unit is one piece
+        if not self.PLAIN.match(word):
+            return None
+        if word.isalpha():
+            return self._bpe(" " + word)
+        stem, mark = word[:-1], word[-1]
+        if stem.isalpha() and mark in self.MARKS:
+            found = self.units.get(stem)
+            return (self._bpe(" " + stem) if found is None else found) + self._piece(mark)
+        return b"".join(map(self._piece, self.PATTERN.findall(" " + word)))
+
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
         """Ids of units that are a space and a word, by word."""
-        if len(self.units) + len(words) > CACHE_UNITS:
-            self.units, self.older = {}, self.units
-        odd, learnt, older = [], self.units, self.older.get
+        odd, learnt, older = [], {}, self.older.get
         for word in words:
             found = older(word)
-            if found is not None:
-                learnt[word] = found
-            elif word.isascii() and word.isalpha():
-                learnt[word] = self._bpe(" " + word)  # such a unit is one piece
-            elif self.PLAIN.match(word):
-                learnt[word] = b"".join(map(self._piece, self.PATTERN.findall(" " + word)))
-            else:
+            if found is None:
+                found = self._unit(word)
+            if found is None:
                 odd.append(word)
+            else:
+                learnt[word] = found
         for word, found in zip(odd, self._whole([" " + w for w in odd])):
             learnt[word] = found
+        for word, found in learnt.items():
+            self.units_bytes += len(word) + len(found) + ENTRY_BYTES
+            if self.units_bytes > TABLE_BYTES:
+                self.units, self.older, self.units_bytes = {}, self.units, 0
+            self.units[word] = found
+        return learnt
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [self._pack(found.ids) for found in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -135,9 +155,8 @@ class Encoder:
             new = {w for w, f in zip(words, found) if f is None}
             if any(not w or w[-1].isspace() for w in new):
                 return None
-            self._learn(new)
-            known = self.units.get
-            found = [known(w) if f is None else f for w, f in zip(words, found)]
+            learnt = self._learn(new)
+            found = [learnt[w] if f is None else f for w, f in zip(words, found)]
         return b"".join(found)
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
