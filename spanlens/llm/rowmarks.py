@@ -13,11 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanlens.llm.storage import materialize, new_folder, open_store, publish
-from spanlens.llm.textbytes import map_texts, tidy
+from spanlens.llm.textbytes import BATCH_BYTES, map_texts, tidy
 
 FILE, ROW = "__file", "__row"
 CHUNK = 1 << 20
@@ -77,12 +78,23 @@ class Placed:
             for batch in batches:
                 copies = marks.copies(batch.column(width).to_numpy(), batch.column(width + 1).to_numpy())
                 kept = batch.select(range(width))
-                for more in range(int(copies.max(initial=0))):  # a round for each copy, so that no batch grows
-                    yield kept.filter(pa.array(copies > more))
+                order = np.repeat(np.arange(len(copies)), copies)  # copies side by side, in batches that do not grow
+                ends = np.cumsum(_row_bytes(kept)[order])
+                for part in np.split(order, np.searchsorted(ends, np.arange(BATCH_BYTES, int(ends[-1]) if len(ends) else 0, BATCH_BYTES), side="right")):
+                    yield kept.take(pa.array(part))
 
         return map_texts(self.docs.select("*", *self._place(self._free(FILE), self._free(ROW))), run, self.docs.schema)
 
 
+def _row_bytes(batch: pa.RecordBatch) -> np.ndarray:
+    """About how many bytes each row takes."""
+    size = np.full(batch.num_rows, 16 * (batch.num_columns + 1), np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    return size
+
+
 def _runs(file: np.ndarray, chunk: np.ndarray) -> Iterator[tuple[int, int]]:
     """Where runs of rows of the same chunk begin and end."""
     if len(file):
