@@ -36,7 +36,7 @@ MAGIC = b"TOKREC01"
 SHARD_BYTES = 32 << 20
 MOST_SHARDS = 100_000
 #: Most bytes of each of an encoder's three tables, and what an entry takes besides its word and ids.
-TABLE_BYTES, ENTRY_BYTES = 16 << 20, 200
+TABLE_BYTES, ENTRY_BYTES = 56 << 20, 200
 READ_PIECE = 8 << 20
 
 
