@@ -80,53 +80,64 @@ def lines_of(text: Column) -> Column:
 STEP = 64
 
 
-def in_parts(items: Column, walk: Callable[[Column, Column], Column]) -> Column:
+def quoted(text: str) -> str:
+    """A Python string as a literal of Spark SQL, taken as it stands."""
+    if '"' in text:
+        raise ValueError("a raw literal cannot hold a quotation mark")
+    return f'r"{text}"'
+
+
+def in_parts_sql(items: str, walk: Callable[[str, str], str]) -> str:
     """Arrays that ``walk(part, number of the part)`` makes of parts of an array, one after the other."""
-    last = F.floor((F.size(items) - 1) / STEP).cast("int")
-    return F.flatten(F.transform(F.sequence(F.lit(0), last), lambda c: walk(F.slice(items, c * STEP + 1, F.lit(STEP)), c)))
+    cut = f"slice({items}, c * {STEP} + 1, {STEP})"
+    return f"flatten(transform(sequence(0, CAST(floor((size({items}) - 1) / {STEP}) AS INT)), c -> {walk(cut, 'c')}))"
 
 
-def spans(text: Column, rule: str, groups: int = 0) -> Column:
-    """All matches of a pattern, as an array of ``(idx, quote, g1, ...)`` in order of place.
+def bound(value: Column, sql: Callable[[str], str]) -> Column:
+    """SQL text over a value that it knows by name and that is computed once.
 
-    Matches are put between marks and the text is cut there, so every second
-    piece is a match and places are running lengths.  The marks' own characters
-    count as spaces.  Pieces are walked in parts that begin at sums of lengths, as
-    one walk copies all it has found at every step.
+    Large expressions are put together as text: to parse one is far cheaper than to build it call by call.
     """
-    clear = F.translate(text, MARK + PART, "  ")
-    inner = "".join(f"${g}{PART}" for g in range(1, groups + 1)) + "$0"
-    pieces = F.split(F.regexp_replace(clear, rule, MARK + inner + MARK), MARK, -1)
-    kind = "array<struct<idx:int,quote:string" + "".join(f",g{g}:string" for g in range(1, groups + 1)) + ">>"
+    return F.call_function("transform", F.array(value), F.expr(f"t -> {sql('t')}"))[0]
 
-    def match(piece: Column, at: Column) -> Column:
-        parts = F.split(piece, PART, -1)
-        named = [at.alias("idx"), F.element_at(parts, -1).alias("quote")]
-        return F.struct(*named, *[parts[g - 1].alias(f"g{g}") for g in range(1, groups + 1)])
 
-    def length(piece: Column) -> Column:
-        return F.char_length(F.substring_index(piece, PART, -1))
+def let_sql(name: str, value: str, use: str) -> str:
+    return f"transform(array({value}), {name} -> {use})[0]"
 
-    def step(state: Column, piece: Column) -> Column:
-        odd = state["odd"]
-        found = F.when(odd, F.concat(state["found"], F.array(match(piece, state["at"]))).cast(kind)).otherwise(state["found"])
-        return F.struct((state["at"] + length(piece)).alias("at"), (~odd).alias("odd"), found.alias("found"))
 
-    def walk(part: Column, at: Column) -> Column:
-        start = F.struct(at.alias("at"), F.lit(False).alias("odd"), F.array().cast(kind).alias("found"))
-        return F.aggregate(part, start, step, lambda s: s["found"])
+def spans_sql(text: str, rule: str, groups: int = 0) -> str:
+    """`spans` as SQL text."""
+    kind = "ARRAY<STRUCT<idx: INT, quote: STRING" + "".join(f", g{g}: STRING" for g in range(1, groups + 1)) + ">>"
+    inner = "".join(f"${g}{PART}" for g in range(1, groups + 1)) + "$0"
+    pieces = f"split(regexp_replace(translate({text}, '{MARK}{PART}', '  '), {quoted(rule)}, '{MARK}{inner}{MARK}'), '{MARK}', -1)"
+    named = "'idx', s.at, 'quote', element_at(split(x, '{0}', -1), -1)" + "".join(f", 'g{g}', split(x, '{{0}}', -1)[{g - 1}]" for g in range(1, groups + 1))
+    named = named.format(PART)
+
+    def length(piece: str) -> str:
+        return f"char_length(substring_index({piece}, '{PART}', -1))"
+
+    def walk(part: str, at: str) -> str:
+        found = f"CASE WHEN s.odd THEN CAST(concat(s.found, array(named_struct({named}))) AS {kind}) ELSE s.found END"
+        start = f"named_struct('at', {at}, 'odd', false, 'found', CAST(array() AS {kind}))"
+        return f"aggregate({part}, {start}, (s, x) -> named_struct('at', s.at + {length('x')}, 'odd', NOT s.odd, 'found', {found}), s -> s.found)"
+
+    sums = in_parts_sql("p", lambda part, c: f"array(aggregate({part}, 0, (n, x) -> n + {length('x')}))")
+    begins = f"aggregate({sums}, named_struct('at', 0, 'all', CAST(array() AS ARRAY<INT>)), (s, n) -> named_struct('at', s.at + n, 'all', CAST(concat(s.all, array(s.at)) AS ARRAY<INT>)), s -> s.all)"
+    long = let_sql("b", begins, in_parts_sql("p", lambda part, c: walk(part, f"b[{c}]")))
+    scan = f"CASE WHEN size(p) <= {STEP} THEN {walk('p', '0')} ELSE {long} END"
+    # no marks, no walk: most texts hold no match of most patterns
+    return f"CASE WHEN {text} IS NOT NULL AND {text} RLIKE {quoted(rule)} THEN {let_sql('p', pieces, scan)} ELSE CAST(array() AS {kind}) END"
 
-    def begins(all_pieces: Column) -> Column:
-        sums = in_parts(all_pieces, lambda part, c: F.array(F.aggregate(part, F.lit(0), lambda n, piece: n + length(piece))))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
-        return F.aggregate(sums, start, lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")), lambda s: s["all"])
 
-    def scan(all_pieces: Column) -> Column:
-        long = let(begins(all_pieces), lambda at: in_parts(all_pieces, lambda part, c: walk(part, F.get(at, c))))
-        return F.when(F.size(all_pieces) <= STEP, walk(all_pieces, F.lit(0))).otherwise(long)
+def spans(text: Column, rule: str, groups: int = 0) -> Column:
+    """All matches of a pattern, as an array of ``(idx, quote, g1, ...)`` in order of place.
 
-    # no marks, no walk: most texts hold no match of most patterns
-    return F.when(text.isNotNull() & text.rlike(rule), let(pieces, scan)).otherwise(F.array().cast(kind))
+    Matches are put between marks and the text is cut there, so every second
+    piece is a match and places are running lengths.  The marks' own characters
+    count as spaces.  Pieces are walked in parts that begin at sums of lengths, as
+    one walk copies all it has found at every step.
+    """
+    return bound(text, lambda t: spans_sql(t, rule, groups))
 
 
 def first_replaced(text: Column, part: Column, by: str = "") -> Column:

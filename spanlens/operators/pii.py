@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanlens.functions.text import STEP, in_parts, let, pattern, spans
+from spanlens.functions.text import STEP, bound, in_parts_sql, let_sql, pattern, quoted, spans_sql
 
 #: Kinds and patterns, in order of priority; the flag is for letter case.
 #: White space stands beside character classes, not in them, as `pattern` puts a class in its place.
@@ -65,7 +65,8 @@ TITLES = {
     "sexo": "sexo",
 }
 
-SPAN = "array<struct<kind:string,idx:int,quote:string>>"
+SPAN = "ARRAY<STRUCT<kind: STRING, idx: INT, quote: STRING>>"
+_FOUND = "ARRAY<STRUCT<idx: INT, kind: STRING, quote: STRING>>"
 
 
 def lookup(names: dict[str, str], key: Column) -> Column:
@@ -76,90 +77,83 @@ def lookup(names: dict[str, str], key: Column) -> Column:
 _ALIKE = ("\u017F\u0131\u0130\u212A", "siik")
 
 
-def lowered(text: Column) -> Column:
+def lowered_sql(text: str) -> str:
     """A text in the form in which hints are looked for."""
-    return F.lower(F.translate(text, *_ALIKE))
+    return f"lower(translate({text}, '{_ALIKE[0]}', '{_ALIKE[1]}'))"
 
 
-def hinted(kind: str, low: Column) -> Column:
-    """Whether a `lowered` text holds what every match of a kind holds; false only where nothing can match."""
+def hinted_sql(kind: str, low: str) -> str:
+    """Whether a lowered text holds what every match of a kind holds; false only where nothing can match."""
     first, *rest = HINTS[kind]
     if first == SHAPE:
-        return low.rlike(pattern(rest[0], ignore_case=False))
-    hit = F.contains(low, F.lit(first))
-    for word in rest:
-        hit = hit | F.contains(low, F.lit(word))
-    return hit
+        return f"{low} RLIKE {quoted(pattern(rest[0], ignore_case=False))}"
+    return "(" + " OR ".join(f"contains({low}, '{word}')" for word in (first, *rest)) + ")"
 
 
-_FOUND = "array<struct<idx:int,kind:string,quote:string>>"
+def _end(span: str) -> str:
+    return f"({span}.idx + char_length({span}.quote))"
 
 
-def _end(span: Column) -> Column:
-    return span["idx"] + F.char_length(span["quote"])
-
-
-def _added(taken: Column, new: Column) -> Column:
+def _added_sql(taken: str, new: str) -> str:
     """``taken`` (disjoint, in order) with those of ``new`` that touch none of it, again in order.
 
     Where ``taken`` is long, a span is held only against the parts of it that lie around the span.
     """
 
-    def clash(a: Column, b: Column) -> Column:
-        return (a["idx"] < _end(b)) & (b["idx"] < _end(a))
+    def clash(span: str, other: str) -> str:
+        return f"{span}.idx < {_end(other)} AND {other}.idx < {_end(span)}"
 
-    def apart(old: Column) -> Column:
-        return F.filter(new, lambda s: ~F.exists(old, lambda t: clash(s, t)))
+    part = in_parts_sql(taken, lambda part, c: f"array(named_struct('c', {c}, 'idx', {part}[0].idx, 'end', {_end(f'element_at({part}, -1)')}))")
+    near = f"n.idx < q.end AND q.idx < {_end('n')} AND exists(slice({taken}, q.c * {STEP} + 1, {STEP}), o -> {clash('n', 'o')})"
+    by_part = let_sql("around", part, f"filter({new}, n -> NOT exists(around, q -> {near}))")
+    kept = f"CASE WHEN size({taken}) <= {STEP} THEN filter({new}, n -> NOT exists({taken}, o -> {clash('n', 'o')})) ELSE {by_part} END"
+    return f"CASE WHEN size({new}) = 0 THEN {taken} ELSE sort_array(concat({taken}, {kept})) END"
 
-    def apart_by_part(old: Column) -> Column:
-        part = lambda part, c: F.array(F.struct(c.alias("c"), part[0]["idx"].alias("idx"), _end(F.element_at(part, -1)).alias("end")))
-        near = lambda s, p: (s["idx"] < p["end"]) & (p["idx"] < _end(s)) & F.exists(F.slice(old, p["c"] * STEP + 1, F.lit(STEP)), lambda t: clash(s, t))
-        return let(in_parts(old, part), lambda parts: F.filter(new, lambda s: ~F.exists(parts, lambda p: near(s, p))))
 
-    kept = F.when(F.size(taken) <= STEP, apart(taken)).otherwise(apart_by_part(taken))
-    return F.when(F.size(new) == 0, taken).otherwise(F.sort_array(F.concat(taken, kept)))
+def pii_spans_sql(text: str) -> str:
+    """`pii_spans` as SQL text."""
 
+    def found(kind: str, rule: str, ignore: bool) -> str:
+        tagged = f"transform({spans_sql(text, pattern(rule, ignore))}, m -> named_struct('idx', m.idx, 'kind', '{kind}', 'quote', m.quote))"
+        return f"CASE WHEN {hinted_sql(kind, 'low')} THEN CAST({tagged} AS {_FOUND}) ELSE CAST(array() AS {_FOUND}) END"
 
-def pii_spans(text: Column) -> Column:
-    """Spans in order of place; one that touches a span of higher priority is left out whole."""
-    def found(low: Column, kind: str, rule: str, ignore: bool) -> Column:
-        tagged = F.transform(spans(text, pattern(rule, ignore)), lambda s: F.struct(s["idx"].alias("idx"), F.lit(kind).alias("kind"), s["quote"].alias("quote")))
-        return F.when(hinted(kind, low), tagged).otherwise(F.array().cast(_FOUND))
+    by_kind = let_sql("low", lowered_sql(text), "array(" + ", ".join(found(*p) for p in PATTERNS) + ")")
+    taken = f"aggregate({by_kind}, CAST(array() AS {_FOUND}), (taken, new) -> CAST({_added_sql('taken', 'new')} AS {_FOUND}))"
+    return f"CAST(transform(coalesce({taken}, CAST(array() AS {_FOUND})), m -> named_struct('kind', m.kind, 'idx', m.idx, 'quote', m.quote)) AS {SPAN})"
 
-    by_kind = let(lowered(text), lambda low: F.array(*[found(low, *p) for p in PATTERNS]))
-    taken = F.aggregate(by_kind, F.array().cast(_FOUND), lambda taken, new: _added(taken, new).cast(_FOUND))
-    taken = F.coalesce(taken, F.array().cast(_FOUND))  # a null text
-    return F.transform(taken, lambda s: F.struct(s["kind"].alias("kind"), s["idx"].alias("idx"), s["quote"].alias("quote"))).cast(SPAN)
 
+def replace_sql(text: str, found: str) -> str:
+    """``text`` with each span of ``found`` (disjoint, in order) as the label of its kind, as SQL text."""
+    labels = "map(" + ", ".join(f"'{k}', '{v}'" for k, v in LABELS.items()) + ")"
 
-def replace_spans(text: Column, found: Column) -> Column:
-    """``text`` with each span of ``found`` (disjoint, in order) as the label of its kind."""
+    def before(i: str) -> str:  # where the span before ends
+        return f"CASE WHEN {i} = 0 THEN 0 ELSE {_end(f'get({found}, {i} - 1)')} END"
 
-    def before(i: Column) -> Column:  # where the span before ends
-        return F.when(i == 0, 0).otherwise(_end(F.get(found, i - 1)))
+    def cut(part: str, c: str) -> str:  # a part's own stretch of text, so that no place is far from its start
+        first = f"{c} * {STEP}"
+        last = _end(f"element_at({part}, -1)")
+        own = f"named_struct('text', substring({text}, {before(first)} + 1, {last} - ({before(first)})), 'at', {before(first)})"
+        piece = f"concat(substring(own.text, {before(f'{first} + i')} - own.at + 1, m.idx - ({before(f'{first} + i')})), {labels}[m.kind])"
+        return let_sql("own", own, f"transform({part}, (m, i) -> {piece})")
 
-    def cut(part: Column, c: Column) -> Column:  # a part's own stretch of text, so that no place is far from its start
-        first = c * STEP
-        stretch = F.call_function("substring", text, before(first) + 1, _end(F.element_at(part, -1)) - before(first))
-        return let(
-            F.struct(stretch.alias("text"), before(first).alias("at")),
-            lambda own: F.transform(
-                part, lambda s, i: F.concat(F.call_function("substring", own["text"], before(first + i) - own["at"] + 1, s["idx"] - before(first + i)), lookup(LABELS, s["kind"]))
-            ),
-        )
+    rest = f"substring({text}, {_end(f'element_at({found}, -1)')} + 1)"
+    return f"CASE WHEN size({found}) = 0 THEN {text} ELSE concat(array_join({in_parts_sql(found, cut)}, ''), {rest}) END"
 
-    rest = F.call_function("substring", text, _end(F.element_at(found, -1)) + 1)
-    return F.when(F.size(found) == 0, text).otherwise(F.concat(F.array_join(in_parts(found, cut), ""), rest))
+
+def pii_spans(text: Column) -> Column:
+    """Spans in order of place; one that touches a span of higher priority is left out whole."""
+    return bound(text, pii_spans_sql)
 
 
 def redact(text: Column) -> Column:
-    return let(text, lambda t: let(pii_spans(t), lambda found: replace_spans(t, found)))
+    """``text`` with personal data replaced by labels."""
+    return bound(text, lambda t: let_sql("found", pii_spans_sql(t), replace_sql(t, "found")))
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
     """``(doc_id, text, pii)``: redacted text and the spans that were taken out of it."""
     found = docs.select("doc_id", "text", pii_spans(F.col("text")).alias("pii"))
-    return found.select("doc_id", replace_spans(F.col("text"), F.col("pii")).alias("text"), "pii")
+    return found.select("doc_id", F.expr(replace_sql("text", "pii")).alias("text"), "pii")
 
 
 def pii_rows(redacted: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """The findings of each document as one Markdown text.
 
-The wording is this engine's own.  Quotes are redacted once more on the way out,
+The wording is this engine's own, but for the labels of fixed values.  Quotes are redacted once more on the way out,
 contact sections never come out, and where a detector found nothing the text
 states the limits of the detector instead of an absence.
 """
@@ -70,9 +70,9 @@ def render_context(contexts: DataFrame) -> DataFrame:
         field("País / mercado", F.col("country")),
         field("Restrições de divulgação", F.col("disclosure")),
     ]
-    no_target = F.when(trim(_or(F.col("target_role"), "")) == "", "\n> **Sem cargo-alvo definido.** Proponha direções a partir do histórico e peça que a pessoa escolha uma.")
+    no_target = F.when(trim(_or(F.col("target_role"), "")) == "", "\n> **Cargo-alvo em aberto.** Sugira caminhos que o histórico sustenta e deixe a escolha com a pessoa.")
     missing = F.when(F.col("artifact") == "linkedin", "O currículo").when(F.col("artifact") == "curriculo", "O perfil do LinkedIn")
-    one_only = F.concat(F.lit("\n> **Veio só um documento.** "), missing, F.lit(" não foi fornecido; diga o que não pôde ser avaliado."))
+    one_only = F.concat(F.lit("\n> **Falta um dos documentos.** "), missing, F.lit(" não foi fornecido; diga o que não pôde ser avaliado."))
     return contexts.select("doc_id", F.concat_ws("\n", F.lit("## Respostas já dadas"), F.lit(""), *fields, no_target, one_only).alias("context"))
 
 
@@ -88,8 +88,8 @@ def render_answers(answered: DataFrame) -> DataFrame:
     open_ones = answered.where(~done)
     left = listed(open_ones, ["ord"], said, "left").join(open_ones.groupBy("doc_id").agg(F.count("*").alias("n_left")), "doc_id")
     rows = answered.select("doc_id").distinct().join(given, "doc_id", "left").join(left, "doc_id", "left")
-    still = F.concat(F.lit("\n### Ainda sem número ("), F.col("n_left").cast("string"), F.lit(f")\n\nMantenha `{PLACEHOLDER}` nesses trechos.\n\n"), F.col("left"))
-    text = F.concat_ws("\n", F.lit("## Respostas da pessoa\n"), _or(F.col("given"), "- Nenhuma resposta ainda."), still)
+    still = F.concat(F.lit("\n### Trechos sem número ("), F.col("n_left").cast("string"), F.lit(f")\n\nMantenha `{PLACEHOLDER}` nesses trechos.\n\n"), F.col("left"))
+    text = F.concat_ws("\n", F.lit("## Respostas da pessoa\n"), _or(F.col("given"), "- A pessoa ainda não respondeu nada."), still)
     return rows.select("doc_id", text.alias("answers"))
 
 
@@ -134,11 +134,11 @@ def render_findings(
     say = lambda title, name: F.when(F.col(name).isNotNull(), F.concat(F.lit(f"- **{title}:**\n"), F.col(name)))
     text = F.concat_ws(
         "\n",
-        F.lit("## Achados determinísticos\n\nDatas e contagens medidas no texto: dados, não conclusões.\n"),
-        _or(say("Períodos na experiência, do mais antigo ao mais recente", "p"), "- **Períodos na experiência:** o detector de datas não reconheceu nenhum; pode ser formato que ele não cobre."),
-        say("Períodos que correm ao mesmo tempo", "o"),
-        say("Frases idênticas em mais de uma seção", "r"),
-        say("Vínculos sem descrição abaixo da data", "s"),
+        F.lit("## Achados medidos\n\nO que se contou no texto, sem conclusão.\n"),
+        _or(say("Linha do tempo da experiência, em ordem de início", "p"), "- **Períodos na experiência:** o detector de datas não reconheceu nenhum; pode ser formato que ele não cobre."),
+        say("Períodos sobrepostos", "o"),
+        say("Trechos que se repetem entre seções", "r"),
+        say("Períodos sem texto próprio", "s"),
         _or(F.concat(F.lit("- **Termos genéricos:** "), F.col("b")), "- **Termos genéricos:** nenhum da lista do detector, que é curta e literal."),
         F.concat(F.lit("- **Dados pessoais encontrados"), _or(F.concat(F.lit(" e removidos:** "), F.col("i")), ":** nenhum que o detector reconheça")),
         F.concat(F.lit("- **Resumo:** "), F.col("n_about").cast("string"), F.lit(f" caracteres; o campo aceita {LIMITS['about']}"), over),
@@ -156,13 +156,13 @@ def render_scope(docs: DataFrame, evidence: DataFrame) -> DataFrame:
         rows = rows.join(listed(proven, ["ord"], F.concat(F.lit('- "'), redact(F.col("quote")), F.lit('"')), axis), "doc_id", "left")
     claimed = evidence.where("status = 'claimed'")
     rows = rows.join(listed(claimed, ["ord"], F.concat(F.lit("- "), lookup(AXIS_LABEL, F.col("axis")), F.lit(': "'), redact(F.col("quote")), F.lit('"')), "claimed"), "doc_id", "left")
-    blocks = [F.concat(F.lit(f"\n**{AXIS_LABEL[a]}**\n"), _or(F.col(a), "- O detector não reconheceu termo deste eixo na experiência.")) for a in AXES]
+    blocks = [F.concat(F.lit(f"\n**{AXIS_LABEL[a]}**\n"), _or(F.col(a), "- Nenhum termo deste eixo foi reconhecido na experiência.")) for a in AXES]
     text = F.concat_ws(
         "\n",
-        F.lit(f"## Evidência de escopo\n\nTrechos agrupados por termos literais; não são uma classificação de nível.\n\n{form}\n\n### Comprovado"),
+        F.lit(f"## Evidência de escopo\n\nTrechos por termo literal; nenhum nível é atribuído aqui.\n\n{form}\n\n### Comprovado"),
         *blocks,
         F.lit("\n### Declarado\n"),
-        _or(F.col("claimed"), "- Nenhum termo de escopo no resumo ou nas competências."),
+        _or(F.col("claimed"), "- O resumo e as competências não trazem termo de escopo."),
     )
     return rows.select("doc_id", text.alias("scope"))
 
@@ -187,8 +187,8 @@ def phase_gate(contexts: DataFrame, postings: DataFrame, stints: DataFrame, answ
 def render_state(gate: DataFrame) -> DataFrame:
     """``(doc_id, state)``: the phase to begin with, and what is still to be asked."""
     ask = [
-        F.when(F.col("no_target"), "- O cargo-alvo, que a pessoa ainda não declarou."),
-        F.when(F.col("no_jobs"), "- O texto de vagas-alvo, que ninguém colou."),
+        F.when(F.col("no_target"), "- O cargo-alvo."),
+        F.when(F.col("no_jobs"), "- O texto de ao menos uma vaga."),
         F.when(F.col("n_open") > 0, F.concat(F.lit("- Os números de "), plural(F.col("n_open"), "trecho", "trechos"), F.lit(" dos dois vínculos mais recentes."))),
         F.when(F.col("n_overlaps") > 0, F.concat(F.lit("- O que eram os "), plural(F.col("n_overlaps"), "período sobreposto", "períodos sobrepostos"), F.lit("."))),
     ]
@@ -204,7 +204,8 @@ def render_jobs(docs: DataFrame, postings: DataFrame, contexts: DataFrame, stint
     note = F.concat(F.lit("  - "), F.col("kind_label"), F.lit(" (modalidade declarada: "), F.col("modality"), F.lit(") — "), F.col("detail"), F.lit('\n    - "'), redact(F.col("quote")), F.lit('"'))
     items = F.array_sort(F.collect_list(F.struct("ord", note.alias("t"))))
     notes = notes.groupBy("doc_id", "job_no").agg(F.array_join(F.transform(items, lambda s: s["t"]), "\n").alias("notes"))
-    odd = job_ops.odd_jobs(postings, contexts).withColumn("odd", F.lit(True))
+    roles = contexts.select("doc_id", redact(trim(F.col("target_role"))).alias("odd"))
+    odd = job_ops.odd_jobs(postings, contexts).join(roles, "doc_id")
     past = job_ops.job_employer_mentions(postings, stints)
     named = F.array_sort(F.collect_list(F.concat(F.lit("> **Menciona empregador do histórico:** "), redact(F.col("company")), F.lit(" ("), F.col("periods"), F.lit(")."))))
     past = past.groupBy("doc_id", "job_no").agg(F.array_join(named, "\n").alias("past"))
@@ -214,7 +215,7 @@ def render_jobs(docs: DataFrame, postings: DataFrame, contexts: DataFrame, stint
     part = F.concat_ws(
         "\n",
         F.concat(F.lit("### Vaga "), number),
-        F.when(F.col("odd"), F.concat(F.lit("> **A Vaga "), number, F.lit(" não contém nenhum termo do cargo-alvo.** Confirme se deve entrar."))),
+        F.concat(F.lit("> **Fora do cargo-alvo:** a Vaga "), number, F.lit(" não traz termo de \""), F.col("odd"), F.lit("\". Confirme se deve entrar.")),
         F.col("past"),
         F.when(F.col("notes").isNotNull(), F.concat(F.lit("- **Requisitos que a Vaga "), number, F.lit(" declara:**\n"), F.col("notes"))),
         F.concat(F.lit("\n"), F.col("text")),
@@ -225,9 +226,9 @@ def render_jobs(docs: DataFrame, postings: DataFrame, contexts: DataFrame, stint
     words = listed(top, ["rank"], cell, "words").join(top.groupBy("doc_id").agg(F.max("more").alias("more")), "doc_id")
     rest = F.when(F.col("more") > 0, F.concat(F.lit("\n\nMais "), plural(F.col("more"), "termo ficou", "termos ficaram"), F.lit(" abaixo do corte da tabela.")))
     table = F.concat(F.lit("\n### Vocabulário das vagas, contado\n\n| Termo | Vagas | Ocorrências | Está no documento |\n| --- | --- | --- | --- |\n"), F.col("words"), _or(rest, ""))
-    single = F.when(F.col("n") == 1, "> **Só uma vaga.** Trate como amostra de uma empresa, não do mercado.\n")
+    single = F.when(F.col("n") == 1, "> **Uma única vaga.** Ela fala por uma empresa, não pelo mercado.\n")
     full = docs.select("doc_id").join(said, "doc_id", "left").join(words, "doc_id", "left")
-    text = F.when(F.col("parts").isNull(), "## Vagas-alvo\n\nNenhuma vaga colada; a comparação com o vocabulário das vagas não pode ser feita.").otherwise(
+    text = F.when(F.col("parts").isNull(), "## Vagas-alvo\n\nSem vagas; o vocabulário delas fica sem comparação.").otherwise(
         F.concat_ws("\n", F.lit("## Vagas-alvo\n"), single, F.col("parts"), table)
     )
     return full.select("doc_id", text.alias("jobs"))

@@ -43,6 +43,12 @@ def shared_shingles(found: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "shingle").agg(secs.alias("secs")).where(F.size("secs") > 1)
 
 
+def shingle_counts(found: DataFrame) -> DataFrame:
+    """``(doc_id, shingle, n_secs)`` of shared shingles, for any number of sections: no set of them is gathered."""
+    once = found.select("doc_id", "sec", "shingle").distinct()
+    return once.groupBy("doc_id", "shingle").agg(F.count("*").alias("n_secs")).where("n_secs > 1")
+
+
 def kind_sections(blocks: DataFrame) -> DataFrame:
     """``(doc_id, sec, kind, text)``: all blocks of a kind as one, in order of first appearance."""
     ordered = F.array_sort(F.collect_list(F.struct("block_no", "text")))

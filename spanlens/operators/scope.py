@@ -12,27 +12,72 @@ from spanlens.operators.metrics import LEAST_CHARS, sentences
 AXES = ("decisao", "responsabilidade", "lideranca")
 AXIS_LABEL = {"decisao": "Escopo de decisão", "responsabilidade": "Escopo de responsabilidade", "lideranca": "Liderança"}
 
-#: Stems by axis, in lower case without accents.  NUMBER stems count only
-#: beside a digit, PEOPLE stems (in experience) only beside a word for people.
-OF_TOOL = " ?(?:d[aeo]s?|[ao]s?) (chat|site|planilha|documento|arquivo|apresenta|relatorio|post|arte|conteudo|texto|formulario|dashboard|plataforma|material|banner|e-?mail)"
-PEOPLE_WORDS = "equipes?|times?|pessoas|colaboradores|funcionarios|liderados|subordinados|analistas|estagiarios|profissionais|staff|teams?|direct reports?|headcount"
-MANAGED = "caixa|fluxo de caixa|orcament|verba|custos|capital|divida|carteira|contas|equipe|time|pessoas|pessoal|area|areas|unidade|regia|filia|portfolio"
 PLAIN, NUMBER, PEOPLE = "plain", "number", "people"
-STEMS = {
-    ("decisao", PLAIN): (
-        "defin", "decid", "estrutur", "implant", "redesenh", "reformul", "concebi", "estabelec", "prioriz", rf"cri(acao|ar|ei|ou)\b(?!{OF_TOOL})",
-        "propus", "establish", "restructur", "overhaul", "prioriti", "creat",
-    ),
-    ("responsabilidade", PLAIN): (
-        "orcament", "faturament", "receita", "responsavel por", "sob minha", f"gest(ao|ionar|ionei) d[aeo]s? ({MANAGED})", "carteira d",
-        "ambito (nacional|regional|global)", "budget", "revenue", "responsible for", "accountable for", "owner(ship)? of", "portfolio of",
-    ),
-    ("responsabilidade", NUMBER): (
-        "clientes", "usuarios", "unidades", "filiais", "estados", "paises", "contratos", "chamados", "(customers|clients)", "users", "countries",
-    ),
-    ("lideranca", PLAIN): ("subordinad", "reportavam", "equipe (de|com) ", "time (de|com) ", "team (of|with) ", "direct report", "headcount"),
-    ("lideranca", PEOPLE): ("lider", "gerenci", "coorden", "mentor", "chefi", r"led\b", "leader", "manag", "supervis", "coach"),
-}
+
+#: Words for people, and stems with their axis, in lower case without accents.
+#: NUMBER stems count only beside a digit, PEOPLE stems (in experience) only beside a word for people.
+PEOPLE_WORDS = "equipes?|times?|pessoas|colaboradores|funcionarios|liderados|subordinados|analistas|estagiarios|profissionais|staff|teams?|direct reports?|headcount"
+OF_TOOL = " ?(?:d[aeo]s?|[ao]s?) (chat|site|planilha|documento|arquivo|apresenta|relatorio|post|arte|conteudo|texto|formulario|dashboard|plataforma|material|banner|e-?mail)"
+STEMS = (
+    ("decisao", "defin", PLAIN),
+    ("decisao", "decid", PLAIN),
+    ("decisao", "estrutur", PLAIN),
+    ("decisao", "implant", PLAIN),
+    ("decisao", "redesenh", PLAIN),
+    ("decisao", "reformul", PLAIN),
+    ("decisao", "concebi", PLAIN),
+    ("decisao", "estabelec", PLAIN),
+    ("decisao", "prioriz", PLAIN),
+    ("decisao", rf"cri(acao|ar|ei|ou)\b(?!{OF_TOOL})", PLAIN),
+    ("decisao", "propus", PLAIN),
+    ("decisao", "establish", PLAIN),
+    ("decisao", "restructur", PLAIN),
+    ("decisao", "overhaul", PLAIN),
+    ("decisao", "prioriti", PLAIN),
+    ("decisao", "creat", PLAIN),
+    ("responsabilidade", "orcament", PLAIN),
+    ("responsabilidade", "faturament", PLAIN),
+    ("responsabilidade", "receita", PLAIN),
+    ("responsabilidade", "responsavel por", PLAIN),
+    ("responsabilidade", "sob minha", PLAIN),
+    ("responsabilidade", "gest(ao|ionar|ionei) d[aeo]s? (caixa|fluxo de caixa|orcament|verba|custos|capital|divida|carteira|contas|equipe|time|pessoas|pessoal|area|areas|unidade|regia|filia|portfolio)", PLAIN),
+    ("responsabilidade", "carteira d", PLAIN),
+    ("responsabilidade", "ambito (nacional|regional|global)", PLAIN),
+    ("responsabilidade", "clientes", NUMBER),
+    ("responsabilidade", "usuarios", NUMBER),
+    ("responsabilidade", "unidades", NUMBER),
+    ("responsabilidade", "filiais", NUMBER),
+    ("responsabilidade", "estados", NUMBER),
+    ("responsabilidade", "paises", NUMBER),
+    ("responsabilidade", "contratos", NUMBER),
+    ("responsabilidade", "chamados", NUMBER),
+    ("responsabilidade", "budget", PLAIN),
+    ("responsabilidade", "revenue", PLAIN),
+    ("responsabilidade", "responsible for", PLAIN),
+    ("responsabilidade", "accountable for", PLAIN),
+    ("responsabilidade", "owner(ship)? of", PLAIN),
+    ("responsabilidade", "portfolio of", PLAIN),
+    ("responsabilidade", "(customers|clients)", NUMBER),
+    ("responsabilidade", "users", NUMBER),
+    ("responsabilidade", "countries", NUMBER),
+    ("lideranca", "lider", PEOPLE),
+    ("lideranca", "gerenci", PEOPLE),
+    ("lideranca", "coorden", PEOPLE),
+    ("lideranca", "subordinad", PLAIN),
+    ("lideranca", "reportavam", PLAIN),
+    ("lideranca", "mentor", PEOPLE),
+    ("lideranca", "chefi", PEOPLE),
+    ("lideranca", "equipe (de|com) ", PLAIN),
+    ("lideranca", "time (de|com) ", PLAIN),
+    ("lideranca", r"led\b", PEOPLE),
+    ("lideranca", "leader", PEOPLE),
+    ("lideranca", "manag", PEOPLE),
+    ("lideranca", "supervis", PEOPLE),
+    ("lideranca", "coach", PEOPLE),
+    ("lideranca", "team (of|with) ", PLAIN),
+    ("lideranca", "direct report", PLAIN),
+    ("lideranca", "headcount", PLAIN),
+)
 
 CLAIMING = ["resumo", "competencias"]
 
@@ -42,7 +87,8 @@ def scope_axes(text: Column, strict: bool) -> Column:
     bare = flat(text)
     digit, people = bare.rlike("[0-9]"), bare.rlike(pattern(rf"\b({PEOPLE_WORDS})\b", ignore_case=False))
     hits = {axis: F.lit(False) for axis in AXES}
-    for (axis, needs), stems in STEMS.items():
+    for axis, needs in dict.fromkeys((axis, needs) for axis, _, needs in STEMS):
+        stems = [stem for of, stem, condition in STEMS if (of, condition) == (axis, needs)]
         hit = bare.rlike(pattern(rf"\b(?:{'|'.join(stems)})", ignore_case=False))
         if needs == NUMBER:
             hit = hit & digit

@@ -60,7 +60,7 @@ def job_vocabulary(spark, sf_dir):
 
 
 def vocabulary_top(spark, sf_dir):
-    return jobs.vocabulary_top(jobs.job_vocabulary(*_turns(spark, sf_dir)), 5).select("doc_id", "rank", "term", "more")
+    return jobs.vocabulary_top(jobs.job_vocabulary(*_turns(spark, sf_dir))).select("doc_id", "rank", "term", "more")
 
 
 def odd_jobs(spark, sf_dir):
@@ -107,8 +107,7 @@ asked AS (
   UNION ALL SELECT doc_id, 3, 1, 'idioma', 'não declarada', NULL, 'Espanhol.' FROM d WHERE doc_id % 4 <> 0 AND doc_id % 3 = 0),
 total AS (SELECT doc_id, sum(greatest(0, CASE WHEN covered IS NULL OR start_ym > covered THEN till - start_ym + 1 ELSE till - covered END)) AS t FROM c GROUP BY doc_id)
 """
-_TERMS = """
-WITH turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS job_no, text FROM conversations WHERE regexp_matches(coalesce(text, ''), '\\S')),
+_TERMS_OF = """
 seg AS (SELECT conv_id, job_no, i AS seg, regexp_extract_all(s[i], '[\\p{L}\\p{N}]+') AS w FROM (SELECT conv_id, job_no, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT conv_id, job_no, regexp_extract_all(text, '[^.,;:!?()\\n]+') AS s FROM turns))),
 word AS (SELECT conv_id, job_no, seg, k, w[k] AS a, CASE WHEN k < len(w) THEN w[k + 1] END AS b FROM (SELECT *, unnest(range(1, len(w) + 1)) AS k FROM seg)),
 useful AS (SELECT *, length(a) > 2 AND NOT list_contains(STOPS, lower(strip_accents(a))) AS ua, b IS NOT NULL AND length(b) > 2 AND NOT list_contains(STOPS, lower(strip_accents(b))) AS ub FROM word),
@@ -116,11 +115,14 @@ term AS (SELECT conv_id, job_no, seg, k, 0 AS n, a AS term FROM useful WHERE ua
 keyed AS (SELECT *, lower(strip_accents(term)) AS key, row_number() OVER (PARTITION BY conv_id, lower(strip_accents(term)) ORDER BY job_no, seg, k, n) AS nth FROM term),
 merged AS (SELECT conv_id, key, count(DISTINCT job_no) AS jobs, count(*) AS count, min(CASE WHEN nth = 1 THEN term END) AS term FROM keyed GROUP BY conv_id, key),
 posted AS (SELECT conv_id, count(*) AS n FROM turns GROUP BY conv_id),
-first_text AS (SELECT conv_id, arg_min(text, turn) AS text FROM conversations GROUP BY conv_id),
 vocab AS (
   SELECT conv_id AS doc_id, term, jobs, count, contains(lower(strip_accents(coalesce(text, ''))), key) AS present, row_number() OVER (PARTITION BY conv_id ORDER BY jobs DESC, count DESC, term) AS rank
   FROM merged JOIN posted USING (conv_id) LEFT JOIN first_text USING (conv_id) WHERE jobs >= CASE WHEN n > 1 THEN 2 ELSE 1 END)
 """.replace("STOPS", "[" + ", ".join(f"'{w}'" for w in jobs.STOPWORDS) + "]")
+#: Words of the turns of conversations, as postings of the first of them.
+_TERMS = """
+WITH turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS job_no, text FROM conversations WHERE regexp_matches(coalesce(text, ''), '\\S')),
+first_text AS (SELECT conv_id, arg_min(text, turn) AS text FROM conversations GROUP BY conv_id),""" + _TERMS_OF
 
 ORACLE_SQL = {
     "modality": """
@@ -143,7 +145,7 @@ SELECT doc_id, CAST(job_no AS INTEGER) AS job_no, CAST(ord AS INTEGER) AS ord, C
     WHEN 'certificacao' THEN CASE WHEN doc_id % 2 = 0 THEN 'CPA-20: não aparece no documento | ' ELSE '' END || 'PMP: não aparece no documento' ELSE 'confira contra a seção correspondente do documento' END AS detail
 FROM asked JOIN total USING (doc_id)""",
     "job_vocabulary": _TERMS + "SELECT doc_id, term, jobs, count, present FROM vocab",
-    "vocabulary_top": _TERMS + "SELECT doc_id, CAST(rank AS INTEGER) AS rank, term, more FROM (SELECT *, greatest(0, count(*) OVER (PARTITION BY doc_id) - 5) AS more FROM vocab) WHERE rank <= 5",
+    "vocabulary_top": _TERMS + "SELECT doc_id, CAST(rank AS INTEGER) AS rank, term, more FROM (SELECT *, greatest(0, count(*) OVER (PARTITION BY doc_id) - 20) AS more FROM vocab) WHERE rank <= 20",
     "odd_jobs": """
 WITH d AS (SELECT DISTINCT o_custkey AS doc_id FROM orders)
 SELECT doc_id, CAST(job_no AS INTEGER) AS job_no FROM d, (VALUES (1), (2), (3)) AS v(job_no) WHERE doc_id % 6 <> 0 AND (
@@ -164,7 +166,7 @@ SELECT c_custkey AS doc_id, concat_ws(chr(10), '## Respostas já dadas', '',
   '- **Nível-alvo:** ' || CASE WHEN c_custkey % 2 = 0 THEN 'Pleno' ELSE '(não informado)' END,
   '- **Setor / tipo de empregador:** ' || upper(c_mktsegment[1]) || lower(c_mktsegment[2:]),
   '- **País / mercado:** Nacao ' || CAST(c_nationkey AS VARCHAR), '- **Restrições de divulgação:** (não informado)',
-  CASE WHEN c_custkey % 6 = 0 THEN chr(10) || '> **Sem cargo-alvo definido.** Proponha direções a partir do histórico e peça que a pessoa escolha uma.' END,
-  CASE c_custkey % 3 WHEN 0 THEN chr(10) || '> **Veio só um documento.** O currículo não foi fornecido; diga o que não pôde ser avaliado.'
-    WHEN 1 THEN chr(10) || '> **Veio só um documento.** O perfil do LinkedIn não foi fornecido; diga o que não pôde ser avaliado.' END) AS context FROM customer""",
+  CASE WHEN c_custkey % 6 = 0 THEN chr(10) || '> **Cargo-alvo em aberto.** Sugira caminhos que o histórico sustenta e deixe a escolha com a pessoa.' END,
+  CASE c_custkey % 3 WHEN 0 THEN chr(10) || '> **Falta um dos documentos.** O currículo não foi fornecido; diga o que não pôde ser avaliado.'
+    WHEN 1 THEN chr(10) || '> **Falta um dos documentos.** O perfil do LinkedIn não foi fornecido; diga o que não pôde ser avaliado.' END) AS context FROM customer""",
 }

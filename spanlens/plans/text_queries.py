@@ -77,6 +77,7 @@ def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(n % 3 == 0, F.concat(F.lit("CEP 3"), four, F.lit("-123"))).otherwise(F.concat(F.lit("Mora na Rua das Flores, "), (n % 90 + 10).cast("string"))),
         F.when(n % 5 == 0, "Sou casada e tenho 34 anos").otherwise("Tenho 12 anos de casa e 34 anos de estudo"),
         F.when(n % 7 == 0, "Sexo: feminino").otherwise("RG: 12.345.678-9"),
+        F.when(n % 2 == 0, F.concat(F.lit("Ramal (31) 9"), four, F.lit("\u2009"), four)).otherwise(F.concat(F.lit("Ramal 31 9"), four, F.lit("\u202f"), four)),
     ]
     return table(spark, sf_dir, "customer").select(n.alias("doc_id"), F.concat_ws("\n", *parts).alias("text"))
 
@@ -87,7 +88,7 @@ def span_scan(spark, sf_dir):
 
 
 def pii_spans(spark, sf_dir):
-    return pii.pii_rows(pii.redact_documents(_personal(spark, sf_dir))).select("doc_id", "kind", "len")
+    return pii.pii_rows(pii.redact_documents(_personal(spark, sf_dir))).select("doc_id", "kind", "idx", "len")
 
 
 def pii_redact(spark, sf_dir):
@@ -99,14 +100,7 @@ def pii_summary(spark, sf_dir):
 
 
 def pii_panel(spark, sf_dir):
-    """Kinds of e-mail and others in the documents table, by title."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"[^A-Za-z0-9@._%+\-\n ]", "").alias("text"))
-    mails = pii.pii_rows(pii.redact_documents(docs)).where("kind = 'email'")
-    return pii.pii_panel(mails)
-
-
-def pii_panel_kinds(spark, sf_dir):
-    """All kinds in the unaltered texts of the documents table, by title; SQL has no form for the patterns."""
+    """All kinds in the documents table, by title; SQL has no form for the patterns."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.pii_panel(pii.pii_rows(pii.redact_documents(docs)))
 
@@ -132,7 +126,8 @@ def assign_lines(spark, sf_dir):
     return _analysis(spark, sf_dir).lines.select("doc_id", "line_no", "line", "kind")
 
 
-def _overridden(spark: SparkSession, sf_dir: str) -> DataFrame:
+def assign_override(spark, sf_dir):
+    """Kinds of all lines after the overrides."""
     lines = _analysis(spark, sf_dir).lines
     docs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"))
     change = F.explode(F.array(F.struct(F.lit(1).alias("seq"), F.lit(0).alias("from_line"), F.lit(2).alias("to_line"), F.lit("header").alias("kind")), F.struct(F.lit(2).alias("seq"), F.lit(1).alias("from_line"), F.lit(1).alias("to_line"), F.lit("outros").alias("kind"))))
@@ -140,15 +135,6 @@ def _overridden(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.assign_override(lines, overrides).select("doc_id", "line_no", "kind")
 
 
-def assign_override(spark, sf_dir):
-    return _overridden(spark, sf_dir).where("line_no < 4")
-
-
-def assign_override_lines(spark, sf_dir):
-    """Kinds of all lines after the overrides."""
-    return _overridden(spark, sf_dir)
-
-
 def section_blocks(spark, sf_dir):
     return _analysis(spark, sf_dir).blocks
 
@@ -171,7 +157,7 @@ def section_text(spark, sf_dir):
 
 def is_label_line(spark, sf_dir):
     rows = sections.line_rows(_analysis(spark, sf_dir).redacted)
-    return rows.where(stints.is_label_line(F.col("line"))).groupBy("doc_id").agg(F.count("*").alias("n_labels"))
+    return rows.where(stints.is_label_line(F.col("line"))).select("doc_id", "line_no", "line")
 
 
 def accents(spark, sf_dir):
@@ -196,6 +182,10 @@ def metric_answers(spark, sf_dir):
     return metrics.metric_answers(found, answers(found)).select("doc_id", "ord", "answer")
 
 
+def metric_questions(spark, sf_dir):
+    return metrics.metric_questions(metrics.metric_cards(_analysis(spark, sf_dir, keep=True).missing_metrics))
+
+
 def scope_axes(spark, sf_dir):
     lines = _analysis(spark, sf_dir).lines
     axes = F.array_join(scope.scope_axes(F.col("line"), strict=True), ",")
@@ -203,7 +193,7 @@ def scope_axes(spark, sf_dir):
 
 
 def scope_evidence(spark, sf_dir):
-    return _analysis(spark, sf_dir, keep=True).scope.groupBy("doc_id", "status", "axis").agg(F.count("*").alias("n"))
+    return _analysis(spark, sf_dir, keep=True).scope.select("doc_id", "status", "axis", "quote")
 
 
 def scope_empty_axes(spark, sf_dir):
@@ -219,10 +209,9 @@ def buzzword_line_counts(spark, sf_dir):
 
 
 def shared_shingles(spark, sf_dir):
-    """Shingles shared by documents, a hundred neighbours at a time."""
-    rows = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 100).alias("doc_id"), F.col("doc_id").alias("sec"), F.coalesce("text", F.lit("")).alias("text"))
-    found = repetition.shared_shingles(repetition.shingles(repetition.tokens(rows)))
-    return found.select("doc_id", "shingle", F.size("secs").cast("long").alias("n_secs"))
+    """Shingles that several documents share, over the whole table."""
+    rows = table(spark, sf_dir, "documents").select(F.lit(0).cast("long").alias("doc_id"), F.col("doc_id").alias("sec"), F.coalesce("text", F.lit("")).alias("text"))
+    return repetition.shingle_counts(repetition.shingles(repetition.tokens(rows))).select("shingle", "n_secs")
 
 
 def repeated_lines(spark, sf_dir):
@@ -267,14 +256,9 @@ def load_text(spark, sf_dir):
 
 
 def reject_no_text(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("n_chars") % 7 != 0, F.col("text")).otherwise(F.when(F.col("doc_id") % 2 == 0, "\n\t ")).alias("text"))
-    return sources.reject_no_text(docs)
-
-
-def reject_no_text_whole(spark, sf_dir):
     """The whole documents table by its own texts, and planted rows without text beside it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    planted = docs.where("doc_id % 7 = 0").select((-1 - F.col("doc_id")).alias("doc_id"), F.when(F.col("doc_id") % 2 == 0, "\n\t ").alias("text"))
+    planted = docs.select((-1 - F.col("doc_id")).alias("doc_id"), F.when(F.col("doc_id") % 2 == 0, "\n\t ").alias("text"))
     return sources.reject_no_text(docs.unionByName(planted))
 
 
@@ -345,7 +329,6 @@ QUERIES = {
     "items_normalize": items_normalize,
     "load_text": load_text,
     "reject_no_text": reject_no_text,
-    "reject_no_text_whole": reject_no_text_whole,
     "extract_fenced": extract_fenced,
     "page_gutter": page_gutter,
     "page_lines": page_lines,
@@ -361,13 +344,11 @@ QUERIES = {
     "pii_redact": pii_redact,
     "pii_summary": pii_summary,
     "pii_panel": pii_panel,
-    "pii_panel_kinds": pii_panel_kinds,
     "detect_heading": detect_heading,
     "line_offsets": line_offsets,
     "identity_block": identity_block,
     "assign_lines": assign_lines,
     "assign_override": assign_override,
-    "assign_override_lines": assign_override_lines,
     "section_blocks": section_blocks,
     "experience_text": experience_text,
     "split_sections": split_sections,
@@ -377,6 +358,7 @@ QUERIES = {
     "sentences": sentences,
     "paragraphs": paragraphs,
     "metric_answers": metric_answers,
+    "metric_questions": metric_questions,
     "scope_axes": scope_axes,
     "scope_evidence": scope_evidence,
     "scope_empty_axes": scope_empty_axes,
@@ -432,16 +414,24 @@ _RAW_LINE = """CASE o_orderkey % 8 WHEN 0 THEN '  Página ' || o_orderkey || ' d
 _LOC, _LOC_CUT = "'Curitiba, Parana, Brasil Responsavel pela operacao completa da unidade ' || o_orderkey", "'Curitiba, Parana, Brasil' || chr(10) || 'Responsavel pela operacao completa da unidade ' || o_orderkey"
 _GLUE, _GLUE_CUT = "'Fechei ' || o_orderkey || ' contas.Depois revi;Por fim'", "'Fechei ' || o_orderkey || ' contas. Depois revi; Por fim'"
 
+#: Lines of the texts with personal data, what is left of each, and what stands at which place of it.
 _PERSONAL = """
-WITH c AS (SELECT c_custkey AS doc_id, c_custkey AS n FROM customer),
+WITH c AS (SELECT c_custkey AS doc_id, c_custkey AS n, lpad(CAST(c_custkey % 90 + 10 AS VARCHAR), 2, '0') AS two, lpad(CAST(c_custkey % 9000 + 1000 AS VARCHAR), 4, '0') AS four, 'c' || c_custkey || '@example.com' AS mail FROM customer),
 parts AS (
-  SELECT doc_id, 1 AS k, 'Fale com [E-MAIL] ou [TELEFONE].' AS line, [{'kind': 'email', 'len': length('c' || n || '@example.com')}, {'kind': 'telefone', 'len': 15}] AS found FROM c
-  UNION ALL SELECT doc_id, 2, CASE WHEN n % 2 = 0 THEN '[CPF]' ELSE '[DATA DE NASCIMENTO]' END, [CASE WHEN n % 2 = 0 THEN {'kind': 'cpf', 'len': 19} ELSE {'kind': 'nascimento', 'len': 21} END] FROM c
-  UNION ALL SELECT doc_id, 3, CASE WHEN n % 3 = 0 THEN '[CEP]' ELSE 'Mora na [ENDEREÇO]' END, [CASE WHEN n % 3 = 0 THEN {'kind': 'cep', 'len': 13} ELSE {'kind': 'endereco', 'len': 18} END] FROM c
-  UNION ALL SELECT doc_id, 4, CASE WHEN n % 5 = 0 THEN 'Sou [ESTADO CIVIL] e tenho [IDADE]' ELSE 'Tenho 12 anos de casa e 34 anos de estudo' END,
-    CASE WHEN n % 5 = 0 THEN [{'kind': 'estado-civil', 'len': 6}, {'kind': 'idade', 'len': 7}] ELSE [] END FROM c
-  UNION ALL SELECT doc_id, 5, CASE WHEN n % 7 = 0 THEN '[SEXO]' ELSE '[RG]' END, [CASE WHEN n % 7 = 0 THEN {'kind': 'sexo', 'len': 14} ELSE {'kind': 'rg', 'len': 16} END] FROM c),
-spans AS (SELECT doc_id, s.kind AS kind, CAST(s.len AS INTEGER) AS len FROM (SELECT doc_id, unnest(found) AS s FROM parts))
+  SELECT doc_id, 1 AS k, 'Fale com ' || mail || ' ou (' || two || ') 9' || four || '-' || four || '.' AS raw, 'Fale com [E-MAIL] ou [TELEFONE].' AS line,
+    [{'kind': 'email', 'at': 9, 'len': length(mail)}, {'kind': 'telefone', 'at': 13 + length(mail), 'len': 15}] AS found FROM c
+  UNION ALL SELECT doc_id, 2, CASE WHEN n % 2 = 0 THEN 'CPF: 1' || two || '.456.789-' || two ELSE 'Nascida em 01/02/1990' END, CASE WHEN n % 2 = 0 THEN '[CPF]' ELSE '[DATA DE NASCIMENTO]' END,
+    [CASE WHEN n % 2 = 0 THEN {'kind': 'cpf', 'at': 0, 'len': 19} ELSE {'kind': 'nascimento', 'at': 0, 'len': 21} END] FROM c
+  UNION ALL SELECT doc_id, 3, CASE WHEN n % 3 = 0 THEN 'CEP 3' || four || '-123' ELSE 'Mora na Rua das Flores, ' || two END, CASE WHEN n % 3 = 0 THEN '[CEP]' ELSE 'Mora na [ENDEREÇO]' END,
+    [CASE WHEN n % 3 = 0 THEN {'kind': 'cep', 'at': 0, 'len': 13} ELSE {'kind': 'endereco', 'at': 8, 'len': 18} END] FROM c
+  UNION ALL SELECT doc_id, 4, CASE WHEN n % 5 = 0 THEN 'Sou casada e tenho 34 anos' ELSE 'Tenho 12 anos de casa e 34 anos de estudo' END, CASE WHEN n % 5 = 0 THEN 'Sou [ESTADO CIVIL] e tenho [IDADE]' ELSE 'Tenho 12 anos de casa e 34 anos de estudo' END,
+    CASE WHEN n % 5 = 0 THEN [{'kind': 'estado-civil', 'at': 4, 'len': 6}, {'kind': 'idade', 'at': 19, 'len': 7}] ELSE [] END FROM c
+  UNION ALL SELECT doc_id, 5, CASE WHEN n % 7 = 0 THEN 'Sexo: feminino' ELSE 'RG: 12.345.678-9' END, CASE WHEN n % 7 = 0 THEN '[SEXO]' ELSE '[RG]' END,
+    [CASE WHEN n % 7 = 0 THEN {'kind': 'sexo', 'at': 0, 'len': 14} ELSE {'kind': 'rg', 'at': 0, 'len': 16} END] FROM c
+  UNION ALL SELECT doc_id, 6, CASE WHEN n % 2 = 0 THEN 'Ramal (31) 9' || four || chr(8201) || four ELSE 'Ramal 31 9' || four || chr(8239) || four END, 'Ramal [TELEFONE]',
+    [{'kind': 'telefone', 'at': 6, 'len': CASE WHEN n % 2 = 0 THEN 15 ELSE 13 END}] FROM c),
+placed AS (SELECT *, coalesce(sum(length(raw) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM parts),
+spans AS (SELECT doc_id, s.kind AS kind, CAST(start + s.at AS INTEGER) AS idx, CAST(s.len AS INTEGER) AS len FROM (SELECT doc_id, start, unnest(found) AS s FROM placed))
 """
 
 _LAYOUT = """
@@ -461,9 +451,8 @@ SELECT doc_id, page_no, CAST(no * 4 AS INTEGER) AS item_no, 'linha ' || no AS st
 UNION ALL SELECT doc_id, page_no, CAST(no * 4 + 1 AS INTEGER), 'coluna ' || no || CASE WHEN no % 2 = 0 THEN '.' ELSE '' END, 350.0, (700 - 20 * no)::DOUBLE, 200.0, 10.0 FROM li WHERE o_orderkey % 3 <> 0
 UNION ALL SELECT doc_id, page_no, CAST(no * 4 + 2 AS INTEGER), 'Titulo ' || o_orderkey, 50.0, 720.0, 500.0, 10.0 FROM li WHERE o_orderkey % 5 = 0 AND no = 1""",
     "load_text": "SELECT c_custkey AS doc_id, c_name AS text FROM customer WHERE c_custkey % 4 <> 0",
-    "reject_no_text": "SELECT doc_id, 'sem-texto' AS reason FROM documents WHERE n_chars % 7 = 0 OR NOT regexp_matches(text, '\\S')",
-    "reject_no_text_whole": """
-WITH planted AS (SELECT -1 - doc_id AS doc_id, CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(9) || ' ' END AS text FROM documents WHERE doc_id % 7 = 0)
+    "reject_no_text": """
+WITH planted AS (SELECT -1 - doc_id AS doc_id, CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(9) || ' ' END AS text FROM documents)
 SELECT doc_id, 'sem-texto' AS reason FROM (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, text FROM planted) WHERE text IS NULL OR NOT regexp_matches(text, '\\S')""",
     "extract_fenced": """
 SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'corpo ' || o_orderkey WHEN 1 THEN 'sem cerca ' || o_orderkey WHEN 2 THEN 'aberta ' || o_orderkey || chr(10) || 'ate o fim' ELSE 'sim ' || o_orderkey END AS body FROM orders""",
@@ -485,18 +474,14 @@ SELECT o_custkey AS doc_id, coalesce(string_agg({_RAW_LINE.format(loc=_LOC_CUT,
 WITH d AS (SELECT doc_id, regexp_extract_all(text, '[0-9]+') AS m, string_split_regex(text, '[0-9]+') AS g FROM documents),
 e AS (SELECT doc_id, m, g, unnest(range(len(m))) AS k FROM d)
 SELECT doc_id, CAST(k AS INTEGER) AS k, CAST(coalesce(list_sum(list_transform(g[1:k + 1], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:k], lambda x: length(x))), 0) AS INTEGER) AS idx, m[k + 1] AS quote FROM e""",
-    "pii_spans": _PERSONAL + "SELECT doc_id, kind, len FROM spans",
+    "pii_spans": _PERSONAL + "SELECT doc_id, kind, idx, len FROM spans",
     "pii_redact": _PERSONAL + "SELECT doc_id, string_agg(line, chr(10) ORDER BY k) AS text FROM parts GROUP BY doc_id",
     "pii_summary": _PERSONAL + "SELECT doc_id, kind, count(*) AS n FROM spans GROUP BY doc_id, kind",
-    "pii_panel": """
-SELECT doc_id, 'e-mail' AS title, CAST(len(m) AS BIGINT) AS n FROM (
-  SELECT doc_id, regexp_extract_all(regexp_replace(text, '[^A-Za-z0-9@._%+\\-\\n ]', '', 'g'), '[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\\.)+[A-Za-z]{2,}|[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\n[A-Za-z0-9.-]*[A-Za-z]{2,}') AS m FROM documents) WHERE len(m) > 0""",
     "detect_heading": LINES + "SELECT doc_id, line_no, kind FROM lines WHERE a IN (2, 4, 8, 10, 13, 17)",
     "line_offsets": LINES + "SELECT doc_id, line_no, start_off FROM lines",
     "identity_block": LINES + "SELECT doc_id, line_no FROM lines WHERE a < 2",
     "assign_lines": LINES + "SELECT doc_id, line_no, line, kind FROM lines",
-    "assign_override": LINES + "SELECT doc_id, line_no, CASE line_no WHEN 1 THEN 'outros' WHEN 3 THEN kind ELSE 'header' END AS kind FROM lines WHERE line_no < 4",
-    "assign_override_lines": LINES + "SELECT doc_id, line_no, CASE WHEN line_no = 1 THEN 'outros' WHEN line_no IN (0, 2) THEN 'header' ELSE kind END AS kind FROM lines",
+    "assign_override": LINES + "SELECT doc_id, line_no, CASE WHEN line_no = 1 THEN 'outros' WHEN line_no IN (0, 2) THEN 'header' ELSE kind END AS kind FROM lines",
     "section_blocks": LINES + "SELECT doc_id, block_no, kind, from_line, to_line, text FROM blocks",
     "experience_text": LINES + "SELECT doc_id, text FROM blocks WHERE kind = 'experiencia'",
     "split_sections": LINES + """
@@ -507,7 +492,7 @@ SELECT doc_id, CAST(section_no AS INTEGER) AS section_no, min(kind) AS kind, min
 FROM marks WHERE section_no > 0 GROUP BY doc_id, section_no""",
     "section_text": LINES + "SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS text FROM lines WHERE a IN (14, 15) GROUP BY doc_id",
     "is_label_line": LINES + """
-SELECT doc_id, count(*) AS n_labels FROM lines WHERE a IN (0, 1, 11, 14, 18) OR (a = 5 AND doc_id % 3 <> 1) OR (a = 9 AND (c IN (1, 2) OR line = 'Atendi clientes.')) GROUP BY doc_id""",
+SELECT doc_id, line_no, line FROM lines WHERE a IN (0, 1, 11, 14, 18) OR (a = 5 AND doc_id % 3 <> 1) OR (a = 9 AND (c IN (1, 2) OR line = 'Atendi clientes.'))""",
     "strip_accents": "SELECT doc_id, strip_accents(text) AS plain FROM documents",
     "sentences": f"""
 SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) - 1 AS INTEGER) AS k, s AS sentence FROM (
@@ -520,14 +505,16 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos, h) AS I
 SELECT doc_id, CAST(n AS INTEGER) AS ord, CASE WHEN doc_id % 2 = 0 THEN 'cerca de ' || CAST(first_n * 10 AS VARCHAR) ELSE '' END AS answer FROM (
   SELECT doc_id, n, last_value(CAST(n AS VARCHAR)) OVER (PARTITION BY doc_id, company, role ORDER BY CAST(n * 10 AS VARCHAR) ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)::INTEGER AS first_n
   FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start_ym DESC, pos) AS n FROM st WHERE o_orderkey % 4 = 1))""",
+    "metric_questions": PERIODS + """
+SELECT doc_id, CAST(n AS INTEGER) AS ord, CAST(k AS INTEGER) AS k, topic, question FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start_ym DESC, pos) AS n FROM st WHERE o_orderkey % 4 = 1),
+  (VALUES (0, 'quantidade', 'Quantos itens, pessoas ou clientes isso envolveu?'), (1, 'resultado', 'Quanto mudou, comparado com antes?'), (2, 'prazo', 'Em quanto tempo, ou com que frequência?')) AS v(k, topic, question) WHERE n <= 7""",
     "scope_axes": LINES + f"""
 SELECT doc_id, line_no, CASE WHEN line LIKE 'Implantei%' THEN 'decisao' WHEN line LIKE 'Coordenei%' OR line LIKE 'Liderei%' THEN 'lideranca' ELSE 'responsabilidade' END AS axes
 FROM lines WHERE line LIKE 'Implantei%' OR line LIKE 'Coordenei%' OR line LIKE 'Liderei%' OR line = '{REPEATED}' OR line LIKE 'Gestão de equipe%'""",
     "scope_evidence": LINES + f"""
-SELECT doc_id, status, axis, count(*) AS n FROM (
-  SELECT doc_id, 'proven' AS status, CASE WHEN line LIKE 'Implantei%' THEN 'decisao' ELSE 'lideranca' END AS axis FROM lines WHERE a = 9 AND (line LIKE 'Implantei%' OR line LIKE 'Coordenei%')
-  UNION ALL SELECT doc_id, 'claimed', 'lideranca' FROM lines WHERE line LIKE 'Liderei%'
-  UNION ALL SELECT doc_id, 'claimed', 'responsabilidade' FROM lines WHERE a IN (6, 14)) GROUP BY ALL""",
+SELECT doc_id, 'proven' AS status, CASE WHEN line LIKE 'Implantei%' THEN 'decisao' ELSE 'lideranca' END AS axis, line AS quote FROM lines WHERE a = 9 AND (line LIKE 'Implantei%' OR line LIKE 'Coordenei%')
+UNION ALL SELECT doc_id, 'claimed', 'lideranca', line FROM lines WHERE line LIKE 'Liderei%'
+UNION ALL SELECT doc_id, 'claimed', 'responsabilidade', line || CASE WHEN a = 14 AND doc_id % 5 = 0 THEN ' {REPEATED}' ELSE '' END FROM lines WHERE a IN (6, 14)""",
     "scope_empty_axes": LINES + """
 SELECT w.doc_id, axis FROM who w, (VALUES ('decisao', 0), ('responsabilidade', 9), ('lideranca', 1)) AS v(axis, k)
 WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.doc_id = w.doc_id AND st.o_orderkey % 4 = k)""",
@@ -536,9 +523,9 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY idx) - 1 AS
   SELECT doc_id, term, start_off + instr(line, term) - 1 AS idx FROM lines, (VALUES ('proativo'), ('foco em resultados'), ('melhoria contínua')) AS v(term) WHERE a = 5 AND instr(line, term) > 0)""",
     "buzzword_line_counts": "SELECT doc_id, CAST(CASE doc_id % 3 WHEN 2 THEN 0 ELSE 1 END AS INTEGER) AS n_lines, CAST(CASE doc_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS INTEGER) AS n_terms FROM (SELECT DISTINCT o_custkey AS doc_id FROM orders)",
     "shared_shingles": """
-WITH t AS (SELECT doc_id // 100 AS part, doc_id AS sec, list_transform(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}][\\p{L}\\p{N}.,]*'), lambda x: lower(strip_accents(x))) AS w FROM documents),
-s AS (SELECT DISTINCT part, sec, array_to_string(w[i:i + 7], ' ') AS shingle FROM (SELECT part, sec, w, unnest(range(1, len(w) - 6)) AS i FROM t WHERE len(w) >= 8))
-SELECT CAST(part AS BIGINT) AS doc_id, shingle, count(*) AS n_secs FROM s GROUP BY part, shingle HAVING count(*) > 1""",
+WITH t AS (SELECT row_number() OVER () AS n, list_transform(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}][\\p{L}\\p{N}.,]*'), lambda x: lower(strip_accents(x))) AS w, doc_id AS sec FROM documents),
+s AS (SELECT DISTINCT sec, array_to_string(w[i:i + 7], ' ') AS shingle FROM (SELECT sec, w, unnest(range(1, len(w) - 6)) AS i FROM t WHERE len(w) >= 8))
+SELECT shingle, count(*) AS n_secs FROM s GROUP BY shingle HAVING count(*) > 1""",
     "repeated_lines": f"SELECT doc_id, CAST(1 AS INTEGER) AS ord, '{REPEATED}' AS quote, 'resumo,competencias' AS kinds, 'Resumo e Competências' AS names FROM (SELECT DISTINCT o_custkey AS doc_id FROM orders) WHERE doc_id % 5 = 0",
     "char_count": """
 SELECT 'document' AS kind, doc_id AS id, CAST(0 AS BIGINT) AS part, CAST(length(nfc_normalize(text)) AS BIGINT) AS n FROM documents

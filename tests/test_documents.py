@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from spanlens.functions.text import pattern
 from spanlens.operators import jobs, layout, metrics, pii, scope, sections, stints, validate
 from spanlens.operators.limits import char_count, length_check
 from spanlens.operators.repetition import repeated_lines
@@ -36,6 +37,27 @@ def test_personal_data_of_each_kind(spark):
     assert kinds(spark, *clean) == [[] for _ in clean]
 
 
+def test_hints_hold_wherever_a_pattern_matches(spark):
+    """Every way to write each kind, with all spaces and cases that its pattern takes, passes the hint."""
+    spaces = "\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2005\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+    base = [
+        "ana@example.com", "123.456.789-09", "RG: 12.345.678-9", "Carteira de Identidade 12345", "registro geral: MG-12.345", "data de nascimento: 1/2/90", "nascido em 01.02.1990", "CEP: 30123-456",
+        "(31) 99876 5432", "31 9987 5432", "+55 31 9 9876 . 5432", "Rua das Flores, 10", "R. Um dois", "AV. Central", "Praça da Sé", "praca Onze", "gênero: Feminino", "SEXO M", "Viúva", "união estável", "UNIAO ESTAVEL", "Idade: 34 anos", "24 ANOS",
+    ]
+    texts = [t.replace(" ", sp) for t in base for sp in spaces] + [f(t) for t in base for f in (str.upper, str.lower, str.title, lambda t: t.replace("s", "\u017f").replace("i", "\u0131"), lambda t: t.replace("i", "\u0130"))]
+    rows = docs(spark, *texts)
+    for kind in pii.HINTS:
+        rules = [F.col("text").rlike(pattern(rule, ignore)) for k, rule, ignore in pii.PATTERNS if k == kind]
+        hit = rules[0] if len(rules) == 1 else rules[0] | rules[1]
+        marked = rows.select("text", hit.alias("hit"), F.expr(pii.hinted_sql(kind, pii.lowered_sql("text"))).alias("hinted")).collect()
+        assert [r.text for r in marked if r.hit and not r.hinted] == [], kind
+        assert any(r.hit for r in marked), kind
+
+
+def test_numbers_with_odd_spaces_are_taken_out(spark):
+    assert one(spark, pii.redact, "(31) 99876\u20095432", "31 99876\u202f5432", "31\u30009987\u20285432") == ["[TELEFONE]"] * 3
+
+
 def test_redaction(spark):
     texts = ["Contato: a@example.com e (31) 99999-1234.", "nada aqui", "quebrado ana@gmail.c\nom fim", "🚀 a@example.com"]
     assert one(spark, pii.redact, *texts) == ["Contato: [E-MAIL] e [TELEFONE].", "nada aqui", "quebrado [E-MAIL] fim", "🚀 [E-MAIL]"]
@@ -196,9 +218,9 @@ def test_dossier(spark):
     (row,) = a.dossiers(context, posting, answers, prompt="INSTRUÇÕES").collect()
     said = row.markdown
     for part in (
-        "INSTRUÇÕES", "FASE INICIAL: 3", "- Os números de 1 trecho dos dois vínculos mais recentes.", "### Experiência", "### Ainda sem número (1)",
+        "INSTRUÇÕES", "FASE INICIAL: 3", "- Os números de 1 trecho dos dois vínculos mais recentes.", "### Experiência", "### Trechos sem número (1)",
         "[FALTA NÚMERO: o que medir]", "  - 01/2015 – 06/2016 (1 ano e 6 meses)\n    ↳ 21 meses até o começo do próximo", "03/2018 – atual", "Beta — Gerente",
-        '"proativa", "hands-on"', "e-mail", '- "Implantei o novo processo de compras de toda a empresa sem ajuda."', "> **Só uma vaga.**",
+        '"proativa", "hands-on"', "e-mail", '- "Implantei o novo processo de compras de toda a empresa sem ajuda."', "> **Uma única vaga.**",
     ):
         assert part in said, part
     assert "ana@example.com" not in said and "Ana Souza" not in said

@@ -36,6 +36,32 @@ def test_spans_equal_a_scan(spark, texts):
         assert [(s.idx, s.quote) for s in r.s] == [(m.start(), m[0]) for m in re.finditer("[0-9]+", texts[r.doc_id])]
 
 
+def test_spans_in_parts_and_groups(spark):
+    import re
+
+    texts = [" ".join(f"k{i}=é{i % 7}" for i in range(n)) for n in (31, 32, 33, 64, 65, 200, 1000)]
+    rows = docs(spark, *texts).select("doc_id", spans(F.col("text"), "k([0-9]+)=(.)", 2).alias("s")).collect()
+    for r in rows:
+        assert [(s.idx, s.quote, s.g1, s.g2) for s in r.s] == [(m.start(), m[0], m[1], m[2]) for m in re.finditer("k([0-9]+)=(.)", texts[r.doc_id])]
+
+
+def test_time_of_spans_and_redaction_grows_with_the_matches(spark):
+    import time
+
+    from spanlens.operators import pii
+
+    took = {}
+    for n in (16_000, 16_000, 64_000):
+        numbers = docs(spark, " ".join(f"x{i}" for i in range(n)))
+        mails = docs(spark, " ".join(f"a{i}@example.com, CEP 30123-456" for i in range(n // 2)))
+        start = time.time()
+        assert numbers.select(F.size(spans(F.col("text"), "[0-9]+")).alias("n")).first().n == n
+        middle = time.time()
+        assert pii.redact_documents(mails).select(F.size("pii").alias("n"), F.char_length("text").alias("c")).first().n == n
+        took[n] = (middle - start, time.time() - middle)
+    assert took[64_000][0] < 8 * took[16_000][0] + 2 and took[64_000][1] < 8 * took[16_000][1] + 2
+
+
 def test_page_footers(spark):
     lines = ["Page 1 of 2", "  Página 3 de 10 ", "pág 1 de 2", "pag 1 de 2", "2/5", "Page one of two", "see Page 1 of 2"]
     assert one(spark, clean.is_page_furniture, *lines) == [True, True, True, True, False, False, False]
