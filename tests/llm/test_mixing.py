@@ -2,8 +2,12 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
+from spanlens.llm import mixing
 from spanlens.llm.mixing import apply_mix, flight, mix
+from spanlens.llm.rowmarks import Placed
+from spanlens.llm.storage import materialize
 
 
 def slow_targets(rows):
@@ -51,6 +55,22 @@ def test_targets_and_totals(spark, seed, block):
     assert sorted(map(str, mix(docs.repartition(7), block=block).collect())) == sorted(map(str, got))
 
 
+def test_repeated_rows_beyond_a_block_are_cut(spark):
+    rows = [(7, "a", "x y z")] * 3000 + [(None, "b", "p")] * 900 + [(i, "a", "w " * (i % 9)) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    measured = docs.select("doc_id", "source", F.size(F.split("text", " ")).cast("long").alias("size"))
+    placed = Placed(materialize(measured.repartition(3), "sizes")).select(**{c: F.col(c) for c in ("doc_id", "source", "size")})
+    counts = mixing._numbered(placed, 64).groupBy("doc_id", "size", "piece").count().collect()
+    assert max(r["count"] for r in counts) <= 64 and sum(r["count"] for r in counts) == len(rows)
+    assert sorted(r.piece for r in counts if r.doc_id == 7 and r["count"] > 1) == list(range(47))
+    got = [sorted(map(str, mix(d, block=64).collect())) for d in (docs, docs.repartition(5))]
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+    size, target = slow_targets(rows)
+    for s in size:
+        taken = sum(r.taken for r in mix(docs, block=64).collect() if r.source == s)
+        assert abs(taken - target[s]) <= 9
+
+
 def test_flight_keeps_both_sums():
     rng = random.Random(3)
     size = [rng.choice([3, 3, 50, rng.randint(0, 900)]) for _ in range(500)]

@@ -51,7 +51,8 @@ def test_near_dedup_joins_all_similar_texts(spark):
 def test_large_groups_are_cut_into_parts(spark, monkeypatch):
     from spanlens.llm import shingles as module
 
-    monkeypatch.setattr(module, "PART", 2)
+    monkeypatch.setattr(module, "SET_PART", 2)
+    monkeypatch.setattr(module, "SKETCH_PART", 2)
     rows = corpus()
     got = near_dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert sorted(map(tuple, got.collect())) == expected(rows)[0]

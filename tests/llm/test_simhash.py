@@ -5,6 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from spanlens.llm import simhash
 from spanlens.llm.simhash import TrieJoin, keep_one, near_duplicates
 
 
@@ -51,8 +52,10 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_equals_brute_force(spark, seed):
+@pytest.mark.parametrize("seed, subtree, part", [(1, 4096, 1 << 16), (2, 2, 1 << 16), (3, 8, 3)])
+def test_equals_brute_force(spark, monkeypatch, seed, subtree, part):
+    monkeypatch.setattr(simhash, "SUBTREE", subtree)
+    monkeypatch.setattr(simhash, "PART", part)
     rows = corpus(seed)
     docs = spark.createDataFrame([(d, t, "x", "y") for d, t in rows], "doc_id long, text string, fingerprint string, component_id string")
     got = sorted((tuple(r) for r in near_duplicates(docs).collect()), key=str)
@@ -64,6 +67,11 @@ def test_no_rows(spark):
     assert near_duplicates(docs).collect() == []
 
 
+def test_very_long_text():
+    words = [f"w{i % 911}x{i % 7}" for i in range(130_000)]
+    assert simhash.fingerprint(" ".join(words)) == slow_fingerprint(" ".join(words))
+
+
 def test_trie_join_links_what_all_pairs_link():
     rng = np.random.default_rng(3)
     values = []

@@ -31,7 +31,7 @@ def test_units_encode_as_whole_texts(monkeypatch):
     assert e.by_unit and e.type.itemsize == 2
     want = [t.encode(x, add_special_tokens=False).ids + [0] for x in texts(1)]
     assert [np.frombuffer(b, "<u2").tolist() for b in e.encode(texts(1))] == want
-    monkeypatch.setattr(token_output, "CACHE_UNITS", 5)
+    monkeypatch.setattr(token_output, "TABLE_BYTES", 1100)
     assert [np.frombuffer(b, "<u2").tolist() for b in e.encode(texts(1))] == want
 
 
