@@ -8,28 +8,12 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from spanlens.llm import mixing, quality
 from spanlens.llm.queries import table, tokenizer_path
-from spanlens.llm.simhash import fingerprint
 from tests.llm.test_decontam import slow as slow_contamination
+from tests.llm.test_shingles import expected as slow_groups
 
 SF = "/root/testdata/sf0.001"
 
 
-def groups(prints):
-    root = list(range(len(prints)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in range(len(prints)):
-        for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 4:
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
-    return [find(i) for i in range(len(prints))]
-
-
 @pytest.fixture(scope="module")
 def stages(spark):
     docs, seen = table(spark, SF, "documents"), []
@@ -53,9 +37,11 @@ def test_quality_keeps_what_scores(spark, stages):
 
 
 def test_near_dedup_keeps_the_first_of_each_group(stages):
+    """Groups are those of fingerprints within 4 bits and of texts whose five-word shingles are similar by 0.8."""
     before, after, _ = stages[1]
-    group = groups([fingerprint(r.text) for r in before])
-    assert after == [r for i, r in enumerate(before) if group[i] == i]
+    kept, far = slow_groups([(r.doc_id, r.text) for r in before])
+    assert far > 0
+    assert after == [r for r in before if (r.doc_id, r.text) in kept]
 
 
 def test_decontamination_equals_brute_force(spark, stages):
