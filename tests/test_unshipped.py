@@ -22,6 +22,6 @@ def tables(tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["requirement_gap", "requirement_notes", "buzzword_line_counts", "repeated_lines"])
+@pytest.mark.parametrize("name", ["requirement_gap", "requirement_notes", "buzzword_line_counts", "repeated_lines", "render_jobs", "dossier"])
 def test_query_equals_its_sql(spark, tables, name):
     assert same_rows(QUERIES[name](spark, tables), ORACLE_SQL[name], tables) > 0
