@@ -1,6 +1,6 @@
 """Plans that hold each expensive expression once."""
 
-from spanlens.operators import periods, scope
+from spanlens.operators import render, scope
 
 
 def plan_of(frame):
@@ -27,7 +27,8 @@ def test_scope_statuses(spark):
     ]
 
 
-def test_periods_are_read_once(spark):
-    docs = spark.createDataFrame([(1, "01/2020 - 02/2021")], "doc_id long, text string")
-    # whether there is a match at all, and the matches
-    assert plan_of(periods.period_rows(docs)).count("em andamento)") <= 3
+def test_bodies_are_redacted_once(spark):
+    blocks = spark.createDataFrame([(1, 0, "resumo", "Resumo\nAna, 34 anos"), (1, 1, "outros", "\n \n")], "doc_id long, block_no int, kind string, text string")
+    found = render.bodies(blocks)
+    assert plan_of(found).count("[ESTADO CIVIL]") == 1
+    assert [tuple(r) for r in found.collect()] == [(1, 0, "resumo", "Ana, [IDADE]")]
